@@ -54,14 +54,14 @@ def contract(edges: DataFrame, keys: list[str] = TILE) -> DataFrame:
         e = step.df
         # large star: link every larger neighbour to the smallest neighbour
         both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("_m"))
         large = (both.join(low, [*keys, "u"]).filter("v > u")
-                 .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"))
+                 .select(*keys, F.col("v").alias("u"), F.col("_m").alias("v")).filter("u <> v"))
         # small star: link the smaller neighbours and the node itself to the smallest one
-        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        small = (large.join(low, [*keys, "u"]).filter("v <> m")
-                 .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")))
-        small = small.unionByName(low.select(*keys, "u", F.col("m").alias("v")))
+        low = large.groupBy(*keys, "u").agg(F.min("v").alias("_m"))
+        small = (large.join(low, [*keys, "u"]).filter("v <> _m")
+                 .select(*keys, F.col("v").alias("u"), F.col("_m").alias("v")))
+        small = small.unionByName(low.select(*keys, "u", F.col("_m").alias("v")))
         following = StepTable(small.distinct(), "edges")
         old_mark, mark = mark, fingerprint(following.df)
         step.drop()

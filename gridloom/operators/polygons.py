@@ -58,14 +58,12 @@ def ring_vertices(comp: DataFrame, key: list[str]) -> DataFrame:
     while True:
         a = step.df
         b = a.select(*key, F.col("eid").alias("nxt"), F.col("nxt").alias("_n2"), F.col("ring").alias("_r2"))
-        nxt = StepTable(a.join(b, [*key, "nxt"]).select(
+        following = StepTable(a.join(b, [*key, "nxt"]).select(
             *key, "eid", F.col("_n2").alias("nxt"), F.least("ring", "_r2").alias("ring"), (F.col("_r2") < F.col("ring")).alias("_moved")), "ring")
-        moved = nxt.df.filter("_moved").limit(1).count()
         step.drop()
-        step = StepTable(nxt.df.drop("_moved"), "ring") if moved else nxt
-        if not moved:
+        step = following
+        if not step.df.filter("_moved").limit(1).count():
             break
-        nxt.drop()
     rings = step.df.select(*key, "eid", "ring")
     # cut each ring before its first edge and count the steps to the cut
     linked = edges.join(rings, [*key, "eid"]).withColumn("nxt", F.when(F.col("nxt") != F.col("ring"), F.col("nxt")))
