@@ -32,30 +32,27 @@ class PairwiseConfig:
     steps: int = 5
 
 
+KERNEL_PARAMS = ["pos_w", "pos_xy_std", "bilateral_w", "bilateral_xy_std", "bilateral_rgb_std"]
 _AXES = ["vy", "vx", "vr", "vg", "vb"]
 
 
-def _taps(cells: DataFrame, cfg: PairwiseConfig, keys: list[str]) -> DataFrame:
-    """Grid vertices of every cell: four corners in space, nearest bin in colour."""
-    kernels = []
-    if cfg.pos_w > 0:
-        kernels.append((0, cfg.pos_w, cfg.pos_xy_std, None))
-    if cfg.bilateral_w > 0:
-        kernels.append((1, cfg.bilateral_w, cfg.bilateral_xy_std, cfg.bilateral_rgb_std))
+def _taps(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Grid vertices of every cell: four corners in space, nearest bin in colour. Kernel parameters are columns."""
+    kernels = [(0, "pos_w", "pos_xy_std", None), (1, "bilateral_w", "bilateral_xy_std", "bilateral_rgb_std")]
     corners = []
     for kernel, weight, s_xy, s_rgb in kernels:
-        u, v = F.col("y") / F.lit(float(s_xy)), F.col("x") / F.lit(float(s_xy))
-        bins = [F.floor(F.col(c) / F.lit(float(s_rgb)) + 0.5).cast("int") if s_rgb else F.lit(0) for c in ("r", "g", "b")]
+        u, v = F.col("y") / F.col(s_xy), F.col("x") / F.col(s_xy)
+        bins = [F.floor(F.col(c) / F.col(s_rgb) + 0.5).cast("int") if s_rgb else F.lit(0) for c in ("r", "g", "b")]
         for dy in (0, 1):
             for dx in (0, 1):
                 wy = (u - F.floor(u)) if dy else (1.0 - (u - F.floor(u)))
                 wx = (v - F.floor(v)) if dx else (1.0 - (v - F.floor(v)))
                 corners.append(F.struct(
-                    F.lit(kernel).alias("kernel"), F.lit(float(weight)).alias("kw"), (F.floor(u) + dy).cast("int").alias("vy"),
+                    F.lit(kernel).alias("kernel"), F.col(weight).alias("kw"), (F.floor(u) + dy).cast("int").alias("vy"),
                     (F.floor(v) + dx).cast("int").alias("vx"), bins[0].alias("vr"), bins[1].alias("vg"), bins[2].alias("vb"),
                     (wy * wx).alias("w")))
     return (cells.select(*keys, "y", "x", F.explode(F.array(*corners)).alias("_t"))
-            .select(*keys, "y", "x", "_t.*").filter("w > 0"))
+            .select(*keys, "y", "x", "_t.*").filter("w > 0 and kw > 0"))
 
 
 def _blur(vertices: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,29 +77,32 @@ def _filter(taps: DataFrame, weight: str, keys: list[str], carry: list[str]) ->
 
 
 def pairwise_refine(cells: DataFrame, cfg: PairwiseConfig, keys: list[str] = TILE) -> DataFrame:
-    """Foreground probability and refined mask of a dense table with r, g, b, p (unary) and optional `buffer`."""
+    """Foreground probability and refined mask of a dense table with r, g, b, p (unary) and optional `buffer`.
+
+    A kernel parameter that is a column of `cells` overrides `cfg`, so many settings can run in one plan with a setting id among the keys.
+    """
     cell = [*keys, "y", "x"]
     clip = F.col("buffer") if "buffer" in cells.columns else F.lit(True)
-    base = cut(cells.select(*cell, "r", "g", "b", scores.clip01(F.col("p")).alias("q"), clip.alias("buffer")), "unary")
+    params = [(F.col(n) if n in cells.columns else F.lit(getattr(cfg, n))).cast("double").alias(n) for n in KERNEL_PARAMS]
+    base = cut(cells.select(*cell, "r", "g", "b", scores.clip01(F.col("p")).alias("q"), clip.alias("buffer"), *params), "unary")
     base = base.withColumn("logit", F.ln(F.col("q") / (1.0 - F.col("q"))))
-    if cfg.pos_w <= 0 and cfg.bilateral_w <= 0:
-        return base.select(*cell, F.col("q").alias("p_fg"), ((F.col("q") > 0.5) & F.col("buffer")).alias("mask"))
-    taps = cut(_taps(base, cfg, keys), "taps")
+    taps = cut(_taps(base, keys), "taps")
     # symmetric normalisation: every tap carries w / sqrt(K 1)
     ones = _filter(taps, "w", keys, ["w"]).groupBy(*cell, "kernel").agg(F.sum(F.col("w") * F.col("val")).alias("_k1"))
     normed = cut(taps.join(ones, [*cell, "kernel"]).select(
         *cell, "kernel", *_AXES, "kw", (F.col("w") / F.sqrt(F.col("_k1") + 1e-20)).alias("wn")), "normed")
     total = _filter(normed, "wn", keys, ["wn", "kw"]).groupBy(*cell).agg(
         F.sum(F.col("kw") * F.col("wn") * F.col("val")).alias("_m1"))
-    fixed = cut(base.join(total, cell).select(*cell, "logit", "_m1", "buffer", "q"), "fixed")
+    # cells whose kernel weights are all 0 have no taps and keep their unary value
+    fixed = cut(base.join(total, cell, "left").fillna(0.0, ["_m1"]).select(*cell, "logit", "_m1", "buffer", "q"), "fixed")
     state = None
     q = fixed.select(*cell, "q")
     for _ in range(cfg.steps):
         weighted = normed.join(q, cell).withColumn("_v", F.col("wn") * F.col("q"))
         message = _filter(weighted, "_v", keys, ["wn", "kw"]).groupBy(*cell).agg(
             F.sum(F.col("kw") * F.col("wn") * F.col("val")).alias("_m"))
-        nxt = fixed.select(*cell, "logit", "_m1").join(message, cell).select(
-            *cell, (1.0 / (1.0 + F.exp(-(F.col("logit") + 2.0 * F.col("_m") - F.col("_m1"))))).alias("q"))
+        nxt = fixed.select(*cell, "logit", "_m1").join(message, cell, "left").select(
+            *cell, (1.0 / (1.0 + F.exp(-(F.col("logit") + 2.0 * F.coalesce("_m", F.lit(0.0)) - F.col("_m1"))))).alias("q"))
         following = StepTable(nxt, "field")
         if state is not None:
             state.drop()

@@ -175,9 +175,12 @@ def clip_to_boxes(pairs: DataFrame) -> DataFrame:
 
         return F.flatten(F.transform(ring_edges(ring), step))
 
+    def one_side(axis: str, above: bool, bound: str) -> Column:
+        return F.transform("rings", lambda r: clip(r, axis, above, F.col(bound)))
+
     out = pairs
     for axis, above, bound in (("x", True, "min_x_b"), ("x", False, "max_x_b"), ("y", True, "min_y_b"), ("y", False, "max_y_b")):
-        out = out.withColumn("rings", F.transform("rings", lambda r, a=axis, up=above, c=bound: clip(r, a, up, F.col(c))))
+        out = out.withColumn("rings", one_side(axis, above, bound))
     out = out.withColumn("rings", F.filter("rings", lambda r: F.size(r) >= 3))
     return out.filter((F.size("rings") > 0) & (ring_area_sum(F.col("rings")) > 0))
 

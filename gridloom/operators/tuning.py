@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from .metrics import first_best, sweep, weighted_or_zero, weighted_sweep
+from .focal import dilate
+from .metrics import confusion, first_best, sweep, weighted_mean, weighted_or_zero, weighted_sweep
+from .refine import KERNEL_PARAMS, PairwiseConfig, pairwise_refine
 from .tiling import TILE
 
 
@@ -75,3 +79,42 @@ def tune_shadow(cells: DataFrame, weight_sets, thresholds: list[float], protects
     mean = joined.groupBy(*by, "thr_idx", "threshold").agg(
         weighted_or_zero(F.col("iou"), F.col("weight")).alias("iou"), F.sum("weight").alias("_w")).filter("_w > 0").drop("_w")
     return first_best(mean, "iou", ["w_ord", "thr_idx", "p_ord"])
+
+
+def crf_candidates(values: dict[str, list], max_configs: int) -> list[dict]:
+    """Cartesian grid in nested order (softness, band, position, bilateral parameters), cut to the first `max_configs`."""
+    names = ["prob_softness", "trimap_band", *KERNEL_PARAMS]
+    return [dict(zip(names, combo)) for combo in product(*[values[n] for n in names])][:max_configs]
+
+
+def crf_grid(cells: DataFrame, tiles: DataFrame, configs: list[dict], center: float, weights: DataFrame, steps: int = 5,
+             keys: list[str] = TILE) -> DataFrame:
+    """First refinement setting with the highest weighted IoU: all settings run in one plan, the setting is a key.
+
+    `cells` is dense with r, g, b, score and boolean gt and buffer.
+    """
+    cell = [*keys, "y", "x"]
+    rows = F.array(*[F.struct(F.lit(i).alias("cfg_ord"), *[F.lit(float(c[n])).alias(n) for n in c]) for i, c in enumerate(configs)])
+    long = cells.withColumn("_c", F.explode(rows)).select(*cell, "r", "g", "b", "score", "gt", "buffer", "_c.*")
+    seed = (F.col("score") >= center) & F.col("buffer")
+    p = F.when(F.col("trimap_band") > 0, F.lit(None)).otherwise(_logistic(F.col("score"), center, F.col("prob_softness")))
+    bands = sorted({int(c["trimap_band"]) for c in configs if c["trimap_band"] > 0})
+    long = long.withColumn("seed", seed)
+    if bands:
+        base = cells.filter(seed).select(*cell)
+        wide = None
+        for band in bands:
+            part = dilate(base, tiles, band, "ellipse", keys).withColumn("trimap_band", F.lit(float(band))).withColumn("wide", F.lit(True))
+            wide = part if wide is None else wide.unionByName(part)
+        long = long.join(wide, [*cell, "trimap_band"], "left")
+        p = F.coalesce(p, scores.trimap(F.col("seed"), F.coalesce("wide", F.lit(False))))
+    p = F.when(F.col("buffer"), scores.clip01(p)).otherwise(F.lit(scores.CLIP))
+    keyed = [*keys, "cfg_ord"]
+    refined = pairwise_refine(long.withColumn("p", p), PairwiseConfig(steps=steps), keyed)
+    judged = refined.join(cells.select(*cell, "gt"), cell)
+    per_tile = confusion(judged, F.col("mask"), F.col("gt"), keyed).join(weights.select(*keys, "weight"), keys)
+    return first_best(per_tile.groupBy("cfg_ord").agg(weighted_mean(F.col("iou"), F.col("weight")).alias("iou")), "iou", ["cfg_ord"])
+
+
+def _logistic(score: Column, center: float, softness: Column) -> Column:
+    return 1.0 / (1.0 + F.exp(-(score - F.lit(float(center))) / softness))

@@ -8,14 +8,12 @@ from ..operators import catalog
 from .data import buffer, done_log, geoms, mask, part_catalog, query, table, tiles
 from .sources import GRID, label_raster
 
-LABEL_GRID = {**GRID, "height": 60}
-KEEP = """EXISTS (SELECT 1 FROM part WHERE p_size % 3 > 0 AND p_partkey // 50 < 60 AND p_partkey % 50 * 2 + 1 >= "left" AND p_partkey % 50 * 2 + 1 < "left" + width
+KEEP = """EXISTS (SELECT 1 FROM part WHERE p_size % 3 > 0 AND p_partkey % 50 * 2 + 1 >= "left" AND p_partkey % 50 * 2 + 1 < "left" + width
     AND -(p_partkey // 50 * 2 + 1) > top - height AND -(p_partkey // 50 * 2 + 1) <= top)"""
 
 
 def kept(spark, d, t):
-    """Label raster of 60 rows: the raster's own extent, so tiles beyond it are excluded."""
-    return catalog.tiles_with_label(t, label_raster(spark, d).filter(F.col("src_row") < LABEL_GRID["height"]), LABEL_GRID)
+    return catalog.tiles_with_label(t, label_raster(spark, d), GRID)
 
 
 @query("CAT-01", f"SELECT tile_id, {KEEP} AS keep FROM tiles")
