@@ -102,28 +102,45 @@ def search_iou(rows: DataFrame, image: DataFrame, params: list[dict], thresholds
     return best
 
 
-def upsample_bilinear(patch_scores: DataFrame, cells: DataFrame, ps: int, score: str = "score", keys: list[str] = TILE) -> DataFrame:
+def upsample_bilinear(patch_scores: DataFrame, windows: DataFrame, ps: int, score: str = "score", keys: list[str] = TILE) -> DataFrame:
     """Patch grid to cell grid with half-cell centres, mirrored edges and linear weights.
 
-    `cells` are window cells with h_eff and w_eff; each asks for its (at most) four patches.
+    The four patches around a block of cells are brought together on the patch grid; cells are then generated and
+    interpolated in place, so only patch rows are shuffled. `windows` has h_eff and w_eff.
     """
     win = [*keys, *WINDOW]
-    hp, wp = F.expr(f"cast(h_eff div {ps} as int)"), F.expr(f"cast(w_eff div {ps} as int)")
-
-    def taps(axis: str, origin: str, size: str, n: str) -> Column:
-        u = (F.col(axis) - F.col(origin) + F.lit(0.5)) * F.col(n) / F.col(size) - F.lit(0.5)
-        lo = F.floor(u).cast("int")
-        t = u - F.floor(u)
-        return F.array(F.struct(scores.mirror(lo, F.col(n)).cast("int").alias("at"), (1.0 - t).alias("w")),
-                       F.struct(scores.mirror(lo + 1, F.col(n)).cast("int").alias("at"), t.alias("w")))
-
-    asked = (cells.select(*win, "y", "x", "h_eff", "w_eff").withColumn("_hp", hp).withColumn("_wp", wp).filter("_hp > 0 and _wp > 0")
-             .withColumn("_ty", F.explode(taps("y", "win_y", "h_eff", "_hp")))
-             .withColumn("_tx", F.explode(taps("x", "win_x", "w_eff", "_wp")))
-             .select(*win, "y", "x", F.col("_ty.at").alias("py"), F.col("_tx.at").alias("px"), (F.col("_ty.w") * F.col("_tx.w")).alias("_w"))
-             .filter("_w <> 0"))
-    return (asked.join(patch_scores.select(*win, *PATCH, score), [*win, *PATCH])
-            .groupBy(*win, "y", "x").agg(F.sum(F.col("_w") * F.col(score)).alias(score)))
+    shape = windows.select(*win, F.col("h_eff").alias("_h"), F.col("w_eff").alias("_w"),
+                           F.expr(f"cast(h_eff div {ps} as int)").alias("_hp"), F.expr(f"cast(w_eff div {ps} as int)").alias("_wp"))
+
+    def roles(p: str, n: str) -> Column:
+        """Blocks (index of the lower patch) a patch belongs to, as lower (0) or upper (1) neighbour."""
+        at, size = F.col(p), F.col(n)
+        return F.filter(F.array(
+            F.struct(at.alias("q"), F.lit(0).alias("side")), F.struct((at - 1).alias("q"), F.lit(1).alias("side")),
+            F.when(at == scores.mirror(F.lit(-1), size), F.struct(F.lit(-1).alias("q"), F.lit(0).alias("side"))),
+            F.when(at == scores.mirror(size, size), F.struct((size - 1).alias("q"), F.lit(1).alias("side")))), lambda r: r.isNotNull())
+
+    spread = (patch_scores.select(*win, *PATCH, F.col(score).alias("_s")).join(shape, win)
+              .withColumn("_ry", F.explode(roles("py", "_hp"))).withColumn("_rx", F.explode(roles("px", "_wp"))))
+    corner = {f"_s{a}{b}": F.max(F.when((F.col("_ry.side") == a) & (F.col("_rx.side") == b), F.col("_s"))) for a in (0, 1) for b in (0, 1)}
+    blocks = spread.groupBy(*win, "_h", "_w", "_hp", "_wp", F.col("_ry.q").alias("_qy"), F.col("_rx.q").alias("_qx")).agg(
+        *[v.alias(k) for k, v in corner.items()])
+
+    def first_cell(q: str, size: str, n: str, shift: int) -> Column:
+        """Smallest offset whose position on the patch grid is not below q + shift."""
+        return F.expr(f"-floor(-(((2 * ({q} + {shift}) + 1) * {size} - {n}) / (2 * {n})))").cast("int")
+
+    def offsets(q: str, size: str, n: str) -> Column:
+        lo, hi = F.greatest(first_cell(q, size, n, 0), F.lit(0)), F.least(first_cell(q, size, n, 1) - 1, F.col(size) - 1)
+        return F.when(lo <= hi, F.sequence(lo, hi))
+
+    def fraction(i: str, q: str, size: str, n: str) -> Column:
+        return ((2 * F.col(i) + 1) * F.col(n) - (2 * F.col(q) + 1) * F.col(size)) / (2.0 * F.col(size))
+
+    cells = blocks.withColumn("_i", F.explode(offsets("_qy", "_h", "_hp"))).withColumn("_j", F.explode(offsets("_qx", "_w", "_wp")))
+    ty, tx = fraction("_i", "_qy", "_h", "_hp"), fraction("_j", "_qx", "_w", "_wp")
+    value = ((F.col("_s00") * (1.0 - tx) + F.col("_s01") * tx) * (1.0 - ty) + (F.col("_s10") * (1.0 - tx) + F.col("_s11") * tx) * ty)
+    return cells.select(*win, (F.col("win_y") + F.col("_i")).cast("int").alias("y"), (F.col("win_x") + F.col("_j")).cast("int").alias("x"), value.alias(score))
 
 
 def blend_windows(df: DataFrame, dense: DataFrame, score: str = "score", keys: list[str] = TILE) -> DataFrame:

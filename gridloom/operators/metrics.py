@@ -62,7 +62,7 @@ def sweep(df: DataFrame, score: Column, thresholds: list[float], keys: list[str]
     """Confusion at every threshold in one pass over the cells.
 
     Cells are counted by threshold rank (`keep` false ranks 0, `always` true ranks last), then counts are accumulated
-    from the top. The cost does not depend on the number of thresholds; a window holds thresholds + 1 rows.
+    in rank order. The cost does not depend on the number of thresholds; a window holds at most thresholds + 1 rows.
     """
     ordered = sorted(set(float(t) for t in thresholds))
     rank = threshold_rank(score, ordered)
@@ -73,13 +73,21 @@ def sweep(df: DataFrame, score: Column, thresholds: list[float], keys: list[str]
     hit = F.col(gt).cast("bigint")
     counts = df.select(*keys, rank.alias("_r"), hit.alias("_p"), (1 - hit).alias("_n")).groupBy(*keys, "_r").agg(
         F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(len(ordered)))).alias("_r")
-    zero = counts.select(*keys).distinct().select(*keys, grid, F.lit(0).cast("bigint").alias("_p"), F.lit(0).cast("bigint").alias("_n"))
-    full = counts.unionByName(zero).groupBy(*keys, "_r").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    # each counted rank answers for all thresholds above the previous counted one; the last also for those nobody reached
+    w = Window.partitionBy(*keys).orderBy("_r")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cum = full.select(*keys, "_r", F.sum("_p").over(w).alias("tp"), F.sum("_n").over(w).alias("fp"),
-                      F.sum("_p").over(every).alias("_P"), F.sum("_n").over(every).alias("_N")).filter("_r > 0")
+    steps = counts.select(
+        *keys, "_r", F.sum("_p").over(every).alias("_P"), F.sum("_n").over(every).alias("_N"),
+        F.coalesce(F.sum("_p").over(past), F.lit(0)).alias("_below_p"), F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_below_n"),
+        F.coalesce(F.lag("_r").over(w), F.lit(-1)).alias("_prev"), F.lead("_r").over(w).isNull().alias("_last"))
+    top = F.lit(len(ordered))
+    pieces = F.array(
+        F.struct(F.sequence(F.col("_prev") + 1, F.col("_r")).alias("at"), (F.col("_P") - F.col("_below_p")).alias("tp"), (F.col("_N") - F.col("_below_n")).alias("fp")),
+        F.when(F.col("_last") & (F.col("_r") < top), F.struct(
+            F.sequence(F.least(F.col("_r") + 1, top), top).alias("at"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))))
+    cum = (steps.select(*keys, "_P", "_N", F.explode(pieces).alias("_c")).filter("_c is not null")
+           .select(*keys, "_P", "_N", "_c.tp", "_c.fp", F.explode("_c.at").alias("_r")).filter("_r > 0"))
     # original positions, so that the first of equal values keeps its place
     rows = F.array(*[F.struct(F.lit(ordered.index(float(t)) + 1).alias("r"), F.lit(i).alias("thr_idx"), F.lit(float(t)).alias("threshold"))
                      for i, t in enumerate(thresholds)])

@@ -20,9 +20,14 @@ def with_dims(df: DataFrame, tiles: DataFrame, keys: list[str] = TILE) -> DataFr
 
 
 def dense_cells(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
-    """One row per cell of every tile, generated in place (no join)."""
+    """One row per cell of every tile, generated in place (no join).
+
+    The tile rows are spread over all tasks before columns are generated: a catalog is a small file, and one tile may hold
+    most of the cells. The partition number is explicit so that the small rows are not merged back into one task.
+    """
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = tiles.filter("height > 0 and width > 0").select(
-        *keys, "width", F.explode(F.sequence(F.lit(0), (F.col("height") - 1).cast("int"))).alias("y"))
+        *keys, "width", F.explode(F.sequence(F.lit(0), (F.col("height") - 1).cast("int"))).alias("y")).repartition(n, *keys, "y")
     return rows.select(*keys, "y", F.explode(F.sequence(F.lit(0), (F.col("width") - 1).cast("int"))).alias("x"))
 
 

@@ -243,7 +243,7 @@ def with_ctes(body: str) -> str:
     body = body.strip()
     extra = ""
     if body.upper().startswith("WITH "):
-        extra, body = ", " + body[5:], ""
+        extra, body = ", " + re.sub(r"^WITH (RECURSIVE )?", "", body), ""
     head = ", ".join(f"{n} AS ({CTES[n]})" for n in order)
     return f"WITH RECURSIVE {head}{extra} {body}".strip()
 

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..operators import banks, boosting, knn
+from ..operators.tiling import windows
 from ..plans.scratch import new_path
 from ..sources import stores
 from .data import PS, SIZE, STRIDE, THRESHOLDS, context, dense, grid_patches, mask, placed, query, r6, tiles, vecs
@@ -135,10 +136,8 @@ UP = f"""(WITH s AS (SELECT {KEYS}, AVG(score) AS score FROM placed GROUP BY ALL
 
 
 def upsampled(spark, d):
-    from .features import placed_full
-
     scores = placed(spark, d).groupBy(*KEY).agg(F.avg("score").alias("score"))
-    return boosting.upsample_bilinear(scores, placed_full(spark, d), PS)
+    return boosting.upsample_bilinear(scores, windows(tiles(spark, d), SIZE, STRIDE), PS)
 
 
 @query("MOD-12", f"SELECT tile_id, win_y, win_x, y, x, ROUND(score + 1e-10, 6) AS score FROM {UP}")

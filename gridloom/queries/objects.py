@@ -87,11 +87,11 @@ def _(spark, d):
 BASIC = ["centroid_row", "centroid_col", "mean_score", "road_overlap", "pca_ratio"]
 
 
-@query("PRO-02", """SELECT tile_id, zone, root, area_px, ROUND(centroid_row, 6) AS centroid_row, ROUND(centroid_col, 6) AS centroid_col, ROUND(mean_score, 6) AS mean_score,
+@query("PRO-02", """SELECT tile_id, zone, root, area_px, ROUND(centroid_row, 6) AS centroid_row, ROUND(centroid_col, 6) AS centroid_col, ROUND(mean_score + 1e-10, 6) AS mean_score,
     ROUND(road_overlap, 6) AS road_overlap FROM pro_basic""")
 def _(spark, d):
     out = proposals.basic_metrics(object_cells(spark, d), proposals.object_key())
-    return out.select("tile_id", "zone", root(), "area_px", *r6(*BASIC[:4]))
+    return out.withColumn("mean_score", F.col("mean_score") + 1e-10).select("tile_id", "zone", root(), "area_px", *r6(*BASIC[:4]))
 
 
 @query("PRO-03", "SELECT tile_id, zone, root, ROUND(least(pca_ratio, 1e6), 4) AS pca_ratio FROM pro_basic")
