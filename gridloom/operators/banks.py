@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordering import group_ordinal
 from .focal import erode
 from .tiling import PATCH, TILE, WINDOW, patch_labels, patches
 
+# largest rank for which the optimizer limits groups before the shuffle (its default threshold)
+RANK_LIMIT = 1000
+
 
 def labelled_patches(tiles: DataFrame, cells: DataFrame, label: DataFrame, size: int, stride: int, ps: int, thr: float,
                      erosion: int = 0, keys: list[str] = TILE) -> DataFrame:
@@ -29,9 +33,13 @@ def build_bank(features: DataFrame, labels: DataFrame, keys: list[str] = TILE) -
 def cap_sample(df: DataFrame, n: int, seed: int, by: list[str], key: list[str]) -> DataFrame:
     """Exactly min(n, group size) rows per group without replacement, in seeded hash order.
 
-    The rank filter lets every task drop all but n rows per group before the shuffle.
+    For a small n the rank filter lets every task drop all but n rows per group before the shuffle. A large n would sort a whole
+    group in one task, so there the ranks come from a range-partitioned order.
     """
     order = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
+    if n > RANK_LIMIT:
+        hashed = df.withColumn("_h", order)
+        return group_ordinal(hashed, by, [F.col("_h"), *[F.col(c) for c in key]], "_rn").filter(F.col("_rn") <= n).drop("_rn", "_h")
     w = Window.partitionBy(*by).orderBy(order, *[F.col(c) for c in key])
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -43,6 +43,22 @@ def run_links(spans: DataFrame, conn: int, keys: list[str] = TILE) -> DataFrame:
             .select(*keys, F.col("rid").alias("u"), F.col("_o.rid").alias("v")))
 
 
+_SALTS = 16
+
+
+def _smallest_neighbour(pairs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pairs with `_m`, the smallest v of their u, and the table (u, _m).
+
+    Contraction makes hubs: the root of a huge component neighbours all its nodes. So the neighbours of a node are split by a
+    hash of v: minima are taken per part, then over at most 16 parts, and sent back only to the parts that exist.
+    """
+    salted = pairs.withColumn("_z", F.pmod(F.xxhash64("v"), F.lit(_SALTS)).cast("int"))
+    part = salted.groupBy(*keys, "u", "_z").agg(F.min("v").alias("_m"))
+    low = part.groupBy(*keys, "u").agg(F.min("_m").alias("_m"), F.collect_list("_z").alias("_zs"))
+    answer = low.select(*keys, "u", "_m", F.explode("_zs").alias("_z"))
+    return salted.join(answer, [*keys, "u", "_z"]).drop("_z"), low
+
+
 def contract(edges: DataFrame, keys: list[str] = TILE) -> DataFrame:
     """Smallest reachable node of every node that has an edge: rows (keys, node, root)."""
     def fingerprint(df: DataFrame):
@@ -54,14 +70,12 @@ def contract(edges: DataFrame, keys: list[str] = TILE) -> DataFrame:
         e = step.df
         # large star: link every larger neighbour to the smallest neighbour
         both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("_m"))
-        large = (both.join(low, [*keys, "u"]).filter("v > u")
-                 .select(*keys, F.col("v").alias("u"), F.col("_m").alias("v")).filter("u <> v"))
+        told, _ = _smallest_neighbour(both, keys)
+        large = (told.filter("v > u").select(*keys, F.col("v").alias("u"), F.least("_m", "u").alias("v")).filter("u <> v"))
         # small star: link the smaller neighbours and the node itself to the smallest one
-        low = large.groupBy(*keys, "u").agg(F.min("v").alias("_m"))
-        small = (large.join(low, [*keys, "u"]).filter("v <> _m")
-                 .select(*keys, F.col("v").alias("u"), F.col("_m").alias("v")))
-        small = small.unionByName(low.select(*keys, "u", F.col("_m").alias("v")))
+        told, low = _smallest_neighbour(large, keys)
+        small = (told.filter("v <> _m").select(*keys, F.col("v").alias("u"), F.col("_m").alias("v"))
+                 .unionByName(low.select(*keys, "u", F.col("_m").alias("v"))))
         following = StepTable(small.distinct(), "edges")
         old_mark, mark = mark, fingerprint(following.df)
         step.drop()

@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
 
-# fixed budget of a bank sent whole to the executors, and rows per block otherwise
+# budget of a bank sent whole to the executors, and of one block of vectors otherwise
 BANK_BYTES = 256 << 20
-BANK_BLOCK = 8192
-QUERY_BLOCK = 4096
+BLOCK_BYTES = 32 << 20
 
 
-def _best(q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row number, bank id and similarity of the k best per query; equal similarities go to the smaller id."""
     rows, found, sims = [], [], []
     k = min(k, len(ids))
+    chunk = max(16, (8 << 20) // len(ids))  # at most about 64 MB of similarities at a time
     for start in range(0, len(q), chunk):
         s = q[start:start + chunk] @ b.T
         kth = -np.partition(-s, k - 1, axis=1)[:, k - 1:k]
@@ -67,10 +67,11 @@ def _partial_broadcast(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame
 _OUT = "query_id bigint, bank_id bigint, sim double"
 
 
-def _partial_blocks(queries: DataFrame, bank: DataFrame, n_queries: int, n_bank: int, k: int) -> DataFrame:
-    nb, nq = -(-n_bank // BANK_BLOCK), -(-n_queries // QUERY_BLOCK)
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(nq))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("side", F.lit(0))
-    b = bank.withColumn("bb", F.pmod(F.xxhash64("vec_id"), F.lit(nb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("bigint")).withColumn("side", F.lit(1))
+def _partial_blocks(queries: DataFrame, bank: DataFrame, n_queries: int, n_bank: int, k: int, block_rows: int) -> DataFrame:
+    """Each side is sent once per block of the other side, so blocks as large as memory allows keep the shuffle small."""
+    nb, nq = -(-n_bank // block_rows), max(1, -(-n_queries // block_rows))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(nq))).withColumn("bb", F.explode(F.expr(f"sequence(0L, {nb - 1}L)"))).withColumn("side", F.lit(0))
+    b = bank.withColumn("bb", F.pmod(F.xxhash64("vec_id"), F.lit(nb))).withColumn("qb", F.explode(F.expr(f"sequence(0L, {nq - 1}L)"))).withColumn("side", F.lit(1))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -83,7 +84,7 @@ def _partial_blocks(queries: DataFrame, bank: DataFrame, n_queries: int, n_bank:
     return q.select(*cols).unionByName(b.select(*cols)).groupBy("qb", "bb").applyInPandas(score, _OUT)
 
 
-def topk(queries: DataFrame, bank: DataFrame, k: int, budget: int = BANK_BYTES) -> DataFrame:
+def topk(queries: DataFrame, bank: DataFrame, k: int, budget: int = BANK_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, bank_id, sim) with min(k, bank rows) neighbours; both inputs have (vec_id BIGINT, vec ARRAY)."""
     queries = queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), "vec")
     bank = cut(bank.select(F.col("vec_id").cast("bigint").alias("vec_id"), "vec"), "bank")
@@ -91,7 +92,8 @@ def topk(queries: DataFrame, bank: DataFrame, k: int, budget: int = BANK_BYTES)
     if (size["bytes"] or 0) <= budget:
         part = _partial_broadcast(queries, bank, k)
     else:
-        part = _partial_blocks(queries, bank, queries.count(), size["n"], k)
+        rows = max(1, block_bytes // (size["bytes"] // size["n"]))
+        part = _partial_blocks(queries, bank, queries.count(), size["n"], k, rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "bank_id")
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "bank_id", "sim")
 
