@@ -58,9 +58,11 @@ def _taps(cells: DataFrame, keys: list[str]) -> DataFrame:
 def _blur(vertices: DataFrame, keys: list[str]) -> DataFrame:
     """1-2-1 pass along each axis; results are kept only on vertices that exist."""
     out = vertices
-    shifts = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(c).alias("c")) for d, c in ((-1, 0.25), (0, 0.5), (1, 0.25))])
+    wide = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(c).alias("c")) for d, c in ((-1, 0.25), (0, 0.5), (1, 0.25))])
+    here = F.array(F.struct(F.lit(0).alias("d"), F.lit(1.0).alias("c")))
     for axis in _AXES:
-        # colour axes of the purely spatial kernel have a single bin
+        # the purely spatial kernel has a single colour bin
+        shifts = wide if axis in ("vy", "vx") else F.when(F.col("kernel") == 0, here).otherwise(wide)
         spread = out.withColumn("_s", F.explode(shifts))
         spread = spread.select(*keys, "kernel", *[c for c in _AXES if c != axis], (F.col(axis) + F.col("_s.d")).alias(axis),
                                (F.col("val") * F.col("_s.c")).alias("val"), (F.col("_s.d") == 0).alias("_own"))
