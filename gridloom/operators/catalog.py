@@ -77,7 +77,8 @@ def split_gt_tiles(tiles: DataFrame, kept: DataFrame, touching: DataFrame, effec
 
 
 def seeded_order(df: DataFrame, path: str, seed: int, name: str) -> DataFrame:
-    return ordinal(df.withColumn("_h", F.xxhash64(path, F.lit(seed))), [F.col("_h"), F.col(path)], name).drop("_h")
+    """Positions from 1 in the order of a seeded digest, which any engine can repeat."""
+    return ordinal(df.withColumn("_h", F.md5(F.concat_ws("|", path, F.lit(str(seed))))), [F.col("_h"), F.col(path)], name).drop("_h")
 
 
 def train_val_split(tiles: DataFrame, fraction: float, seed: int, path: str = "path") -> DataFrame:

@@ -54,7 +54,8 @@ def _(spark, d):
     return catalog.split_gt_tiles(t, kept(spark, d, t), touching, effective).select("tile_id", "gt_cells", "split")
 
 
-@query("CAT-06")
+@query("CAT-06", """SELECT path, CASE WHEN row_number() OVER (ORDER BY md5(path || '|42'), path) <= round_even(COUNT(*) OVER () * CAST(0.3 AS DOUBLE), 0) THEN 'val' ELSE 'train' END AS "role"
+    FROM part_catalog""")
 def _(spark, d):
     return catalog.train_val_split(part_catalog(spark, d), 0.3, 42)
 
