@@ -1,12 +1,16 @@
 """Connected components on row runs, hole filling, distance and thinning.
 
 Vertices are runs, so a long bar is one vertex. Two runs of neighbouring rows are linked by one window pass
-(no join and no cell list), then edges are contracted by alternating large-star and small-star
-steps, with the edge table written once per round and the old one dropped.
+(no join and no cell list). Nearby edges are contracted in bounded chunks, the rest by alternating large-star and
+small-star steps, with the edge table written once per round and the old one dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,12 +63,64 @@ def _smallest_neighbour(pairs: DataFrame, keys: list[str]) -> tuple[DataFrame, D
     return salted.join(answer, [*keys, "u", "_z"]).drop("_z"), low
 
 
+_BLOCK = 128
+_CHUNK = 200_000
+
+
+def _stars(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Connected parts of a set of edges, each node linked to the smallest one."""
+    ends = pd.concat([pdf[[*keys, c]].rename(columns={c: "u"}) for c in ("u", "v")], ignore_index=True)
+    code = ends.groupby([*keys, "u"], sort=True, dropna=False).ngroup().to_numpy()
+    nodes = ends.assign(code=code).drop_duplicates("code").sort_values("code")
+    a, b = code[: len(pdf)], code[len(pdf):]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for at in (root[a], root[b]):
+            np.minimum.at(new, at, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    v = nodes["u"].to_numpy()[root]
+    return nodes.drop(columns="code").assign(v=v)[root != np.arange(len(nodes))]
+
+
+def _contract_nearby(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace edges by stars inside bounded chunks of nearby ones.
+
+    Any subset of edges may be contracted on its own, so the result is right however rows fall into chunks; placing
+    edges by blocks of 128 x 128 cells leaves the distributed rounds little more than the links between blocks.
+    """
+    types = dict(edges.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "u", "v"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= _CHUNK:
+                yield _stars(pd.concat(held, ignore_index=True), keys)
+                held, size = [], 0
+        if size:
+            yield _stars(pd.concat(held, ignore_index=True), keys)
+
+    row, col = F.expr(f"u div {_ROW} div {_BLOCK}"), F.expr(f"(u & {_ROW - 1}) div {_BLOCK}")
+    placed = edges.withColumn("_by", row).withColumn("_bx", col)
+    block = [*keys, "_by", "_bx"]
+    return placed.repartition(*block).sortWithinPartitions(*block).select(*keys, "u", "v").mapInPandas(run, schema)
+
+
 def contract(edges: DataFrame, keys: list[str] = TILE) -> DataFrame:
     """Smallest reachable node of every node that has an edge: rows (keys, node, root)."""
     def fingerprint(df: DataFrame):
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "u", "v"))).first())
 
-    step = StepTable(edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    directed = edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    step = StepTable(_contract_nearby(directed, keys), "edges")
     mark = fingerprint(step.df)
     while mark[0]:
         e = step.df
