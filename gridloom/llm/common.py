@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch are handled in slices of at most this many bytes of text (one longer text is a slice of its own).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 U64 = np.uint64
 
 

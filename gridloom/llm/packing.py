@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, slices, starts
-from .token_ids import Encoder
+from .token_ids import encoder as encoder_of
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, plan: Plan = Plan(), ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()),
                             ("offset", pa.int64()), ("capacity", pa.int64()), ("cost", pa.float64()), ("ids", pa.list_(pa.int32()))])
-        encoder, keys, held, size = Encoder(tokenizer), [], [], 0
+        encoder, keys, held, size = encoder_of(tokenizer), [], [], 0
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
 
         def emit() -> pa.RecordBatch:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, slices, starts
-from .token_ids import Encoder
+from .token_ids import encoder as encoder_of
 
 SEGMENT = "shard long, segment long, first long, n_ids long, doc_ids array<long>, doc_lengths array<int>, chunk_offset array<int>, chunk_length array<int>, block int, mode string, payload binary"
 ROW = "shard long, doc_id long, in_shard long, n_tokens long, ids_crc32 long"
@@ -81,7 +81,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, f: Format =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int64()), ("segment", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int32())),
                             ("chunk_offset", pa.list_(pa.int32())), ("chunk_length", pa.list_(pa.int32())), ("block", pa.int32()), ("mode", pa.string()), ("payload", pa.binary())])
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId() if TaskContext.get() else 0
+        encoder, shard = encoder_of(tokenizer), TaskContext.get().partitionId() if TaskContext.get() else 0
         keys, held, size, segment, first = [], [], 0, 0, 0
 
         def emit() -> pa.RecordBatch:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import new_path
-from . import importance, packing, plane_files, quality_rules, token_ids, toxicity
+from . import importance, lexicon, metric_join, ngram_join, packing, plane_files, quality_rules, secret_scan, token_ids, toxicity
 from .common import fold, table
 
 
@@ -35,11 +35,30 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_files.read(spark, folder)
 
 
+def op6_prefix_orders_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.report(docs, secret_scan.train(docs))
+
+
+def op8_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, file = table(spark, sf_dir, "documents"), token_ids.path(token_ids.BYTE_BPE)
+    return lexicon.encoded(docs.select("doc_id", "text"), file, lexicon.build(docs, file), with_ids=False).drop("text")
+
+
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.references(docs))
     return judged.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_cost_balanced_packing, op3_importance_resampling, op4_noisy_or_toxicity, op5_plane_files, op10_divergence_rules)}
+QUERIES = {f.__name__: f for f in (op2_cost_balanced_packing, op3_importance_resampling, op4_noisy_or_toxicity, op5_plane_files, op6_prefix_orders_join, op7_markov_secrets, op8_pivot_range_join,
+                                  op9_transducer_bpe, op10_divergence_rules)}
 SQL: dict[str, str] = {}

@@ -55,27 +55,59 @@ class Store:
         return ragged(self.flat, self.begin[numbers], self.length[numbers])
 
 
+_POINTS = ".,;:!?"
+
+
 class Encoder:
-    """Ids of texts. `spaced` tokenizers keep a piece's leading space, the others drop white space."""
+    """Ids of texts. `spaced` tokenizers keep a piece's leading space, the others drop white space.
+
+    Pieces are remembered up to `most`; then the half used more often stays.
+    """
 
     def __init__(self, file: str, most: int = 500_000):
         self.library, self.most = load(file), most
         self.spaced = '"type":"Lowercase"' not in self.library.to_str().replace(" ", "")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
         self.store, self.first, self.later = Store(), {}, {}
-        self.begins_white, self.ends_white = np.zeros(1 << 14, bool), np.zeros(1 << 14, bool)
+        self.begins_white, self.ends_white, self.uses = (np.zeros(1 << 14, k) for k in (bool, bool, np.int64))
+
+    def forget(self) -> None:
+        """Keep the half of the pieces that were used most."""
+        n = self.store.count
+        keep = np.sort(np.argsort(-self.uses[:n], kind="stable")[:self.most // 2])
+        place = np.full(n, -1)
+        place[keep] = np.arange(len(keep))
+        old, self.store = self.store, Store()
+        self.store.add(old.ids(keep), old.length[keep])
+        for name in ("begins_white", "ends_white", "uses"):
+            setattr(self, name, np.concatenate([getattr(self, name)[keep], np.zeros(self.most, getattr(self, name).dtype)]))
+        self.uses //= 2
+        at = place.tolist()
+        self.first, self.later = ({p: at[i] for p, i in known.items() if at[i] >= 0} for known in (self.first, self.later))
 
     def learn(self, known: dict[str, int], pieces: list[str], prefix: str) -> None:
-        at = self.store.add(*self.encode([prefix + p for p in pieces]))
-        known.update(zip(pieces, range(at, at + len(pieces)), strict=True))
-        self.mark(at, [not p or p[0].isspace() for p in pieces], [bool(p) and p[-1].isspace() or bool(prefix) and not p for p in pieces])
+        """Add pieces; points after a letter are split off, as both tokenizers do, so that a word is merged once whatever follows it."""
+        parts = []
+        for p in pieces:
+            core = p.rstrip(_POINTS)
+            parts.append((core, p[len(core):]) if core != p and core and core[-1].isalpha() else (p, ""))
+        ends = sorted({t for _, t in parts if t and t not in self.first})
+        cores = sorted({c for c, _ in parts if c not in known})
+        for names, held, before in ((ends, self.first, ""), (cores, known, prefix)):
+            if names:
+                at = self.store.add(*self.encode([before + c for c in names]))
+                held.update(zip(names, range(at, at + len(names)), strict=True))
+                self.mark(at, [not p or p[0].isspace() for p in names], [bool(p) and p[-1].isspace() or bool(before) and not p for p in names])
+        joined = [(p, known[c], self.first[t]) for p, (c, t) in zip(pieces, parts, strict=True) if t]
+        if joined:
+            numbers = np.array([(c, t) for _, c, t in joined], np.int64)
+            at = self.store.add(self.store.ids(numbers.reshape(-1)), self.store.length[numbers].sum(1))
+            known.update(zip((p for p, _, _ in joined), range(at, at + len(joined)), strict=True))
+            self.mark(at, [p[0].isspace() for p, _, _ in joined], [False] * len(joined))
 
     def mark(self, at: int, begins: list[bool], ends: list[bool]) -> None:
         while len(self.begins_white) < self.store.count:
-            self.begins_white, self.ends_white = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins_white, self.ends_white))
+            self.begins_white, self.ends_white, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins_white, self.ends_white, self.uses))
         self.begins_white[at:at + len(begins)], self.ends_white[at:at + len(ends)] = begins, ends
 
     def encode(self, texts: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -90,42 +122,56 @@ class Encoder:
         ends = np.flatnonzero(flat == self.library.token_to_id(apart))
         return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
 
-    def numbers(self, known: dict[str, int], pieces: list[str], prefix: str) -> np.ndarray:
-        out = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(out < 0)
-        if len(missing):
-            self.learn(known, sorted({pieces[i] for i in missing}), prefix)
-            out[missing] = [known[pieces[i]] for i in missing]
-        return out
-
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.store.count > self.most:
-            self.clear()
-        split = [(t if self.spaced else t.replace("\n", " ")).split(" ") for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
+            self.forget()
+        plain = texts if self.spaced else [t.replace("\n", " ") for t in texts]
+        sizes = np.fromiter((t.count(" ") + 1 for t in plain), np.int64, len(plain))
         at = starts(sizes)
-        pieces = [p for s in split for p in s]
-        number = np.zeros(len(pieces), np.int64)
-        opening = np.zeros(len(pieces), bool)
-        opening[at[:-1]] = True
-        number[~opening] = self.numbers(self.later, [p for s in split for p in s[1:]], " " if self.spaced else "")
-        number[opening] = self.numbers(self.first, [s[0] for s in split], "")
+        pieces = " ".join(plain).split(" ")
+        opening = at[:-1]
+        number = np.fromiter(map(self.later.get, pieces, repeat(-1)), np.int64, len(pieces))
+        prefix = " " if self.spaced else ""
+        for where, known, before in ((None, self.later, prefix), (opening, self.first, "")):
+            if where is not None:
+                number[where] = [known.get(pieces[i], -1) for i in where]
+            missing = np.flatnonzero(number < 0) if where is None else where[number[where] < 0]
+            if where is None and len(missing):
+                first = np.zeros(len(pieces), bool)
+                first[opening] = True
+                missing = missing[~first[missing]]
+            if len(missing):
+                new = [pieces[i] for i in missing]
+                self.learn(known, sorted(set(new)), before)
+                number[missing] = [known[p] for p in new]
         whole = np.zeros(len(texts), bool)
         if self.spaced and len(pieces) > 1:
-            joined = np.flatnonzero(self.ends_white[number[:-1]] & self.begins_white[number[1:]] & ~opening[1:])
+            joined = np.flatnonzero(self.ends_white[number[:-1]] & self.begins_white[number[1:]]) + 1
+            joined = joined[~np.isin(joined, opening)] if len(joined) else joined
             whole[np.searchsorted(at, joined, side="right") - 1] = True
         for i, t in enumerate(texts):
             if "<|" in t and any(s in t for s in self.special):
                 whole[i] = True
+        self.uses[:self.store.count] += np.bincount(number, minlength=self.store.count)
         if whole.any():
-            keep = ~np.repeat(whole, sizes)
-            odd = np.flatnonzero(whole)
+            odd, keep = np.flatnonzero(whole), ~np.repeat(whole, sizes)
             extra = self.store.add(*self.encode([texts[i] for i in odd]))
             self.mark(extra, [False] * len(odd), [False] * len(odd))
-            kept = np.insert(number[keep], starts(np.where(whole, 0, sizes))[odd], extra + np.arange(len(odd)))
-            number, sizes = kept, np.where(whole, 1, sizes)
-        each = self.store.length[number]
-        total = np.concatenate([[0], np.cumsum(each)])
+            number = np.insert(number[keep], starts(np.where(whole, 0, sizes))[odd], extra + np.arange(len(odd)))
+            sizes = np.where(whole, 1, sizes)
+        total = np.concatenate([[0], np.cumsum(self.store.length[number])])
         at = starts(sizes)
         return self.store.ids(number), total[at[1:]] - total[at[:-1]]
+
+
+_HELD: dict[str, Encoder] = {}
+
+
+def encoder(file: str) -> Encoder:
+    """One encoder for each Python worker, so that what one task has learned serves the next; results do not depend on it."""
+    if file not in _HELD:
+        _HELD[file] = Encoder(file)
+    return _HELD[file]
