@@ -77,8 +77,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key
     return np.log(share[0]) - np.log(share[1])
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with `log_ratio` and `gumbel_key` (the log ratio plus Gumbel noise)."""
+def weigh(docs: DataFrame, ratios: np.ndarray, s: Settings = Settings(), key: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
+    """`docs` with `log_ratio` and `gumbel_key` (the log ratio plus Gumbel noise); `prefix` stands before the new names."""
     table = docs.sparkSession.sparkContext.broadcast(ratios)  # 2^bits numbers, a parameter
     bits, seed = s.bits, s.seed
     memo = word_hashes()
@@ -89,7 +89,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, s: Settings = Settings(), key: st
         u = np.array([(xxhash.xxh3_64_intdigest(str(k), seed) >> 11) + 0.5 for k in part.column("key").to_pylist()]) / (1 << 53)
         return [weight, weight - np.log(-np.log(u))]
 
-    return with_columns(docs, "log_ratio double, gumbel_key double", values, ["key", "text"], [key, text])
+    return with_columns(docs, f"{prefix}log_ratio double, {prefix}gumbel_key double", values, ["key", "text"], [key, text])
 
 
 def best_cut(weighed: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str = "doc_id", label: str = "quality") -> float:

@@ -122,8 +122,8 @@ def learn(bags: list[tuple[int, list[int], list[bytes]]], fit: Fit) -> Model:
     return Model(weights.astype(np.float32), float(bias), fit)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", most: int = 3, at_least: float = 0.05) -> DataFrame:
-    """`docs` with `score`, and `offending`: up to `most` sentences (number and score) of at least `at_least`, worst first."""
+def score(docs: DataFrame, model: Model, text: str = "text", most: int = 3, at_least: float = 0.05, prefix: str = "") -> DataFrame:
+    """`docs` with `score`, and `offending`: up to `most` sentences (number and score) of at least `at_least`, worst first; `prefix` stands before the new names."""
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)  # 2^bits numbers, a parameter
     bias, fit = model.bias, model.fit
     weight = Memo(lambda w: float(weights.value[_parts(w, fit)].sum()), 300_000)
@@ -145,4 +145,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", most: int = 3, at_l
         found = [sorted(f, key=lambda x: (-x["score"], x["sentence"]))[:most] for f in found]
         return [np.clip(total, 0.0, 1.0), found]
 
-    return with_columns(docs, "score double, offending array<struct<sentence:int,score:double>>", values, ["text"], [text])
+    return with_columns(docs, f"{prefix}score double, {prefix}offending array<struct<sentence:int,score:double>>", values, ["text"], [text])
