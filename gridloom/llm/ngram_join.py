@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
-from .common import U64, batch_of, looked_up, mix, ragged, slices, starts, texts, word_hashes
+from .common import U64, batch_of, lean, looked_up, mix, ragged, slices, starts, texts, word_hashes
 from .links import components, local_roots
 
 _LOW = U64((1 << 48) - 1)
@@ -312,6 +312,11 @@ def link_forest(sets: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of `docs`."""
+    with lean(docs.sparkSession):
+        return _near_duplicates(docs, s, key, text)
+
+
+def _near_duplicates(docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
     table = shingle_table(docs, s, key, text)
     alive = table.filter("toks is not null and doc_id is not null")
     # equal sets: no unshared shingle, and the same shared ones

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import new_path
-from . import importance, lexicon, metric_join, ngram_join, packing, plane_files, quality_rules, secret_scan, token_ids, toxicity
+from . import importance, katz, lexicon, metric_join, ngram_join, packing, plane_files, quality_rules, secret_scan, token_ids, toxicity
 from .common import fold, table
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), fold("doc_id", 5) == 1)
+
+
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.packed(docs, token_ids.path(token_ids.WORD_BPE), 1, with_ids=False)
@@ -59,6 +63,6 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_cost_balanced_packing, op3_importance_resampling, op4_noisy_or_toxicity, op5_plane_files, op6_prefix_orders_join, op7_markov_secrets, op8_pivot_range_join,
+QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_cost_balanced_packing, op3_importance_resampling, op4_noisy_or_toxicity, op5_plane_files, op6_prefix_orders_join, op7_markov_secrets, op8_pivot_range_join,
                                   op9_transducer_bpe, op10_divergence_rules)}
 SQL: dict[str, str] = {}
