@@ -13,6 +13,8 @@ are not learned from; repeated rows score alike.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +33,7 @@ _ENDS = bytes.maketrans(b".!?\n", b"\n\n\n\n")
 class Fit:
     """`sample` labelled documents at most are learned from; `bits` is the log2 of the number of hashed parts."""
 
-    sample: int = 6000
+    sample: int = 5000
     bits: int = 18
     grams: tuple[int, ...] = (5, 6, 7)
     epochs: int = 130
@@ -85,33 +87,41 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str = "doc_
                     yield batch_of(schema, [y], [[len(s) for s in bag]], [b" ".join(w for s in bag for w in s)])
 
     seen = rows.select("y", "text").mapInArrow(words, "y int, sizes array<int>, words binary").collect()  # fit.sample rows at most
-    return learn([(r["y"], list(r["sizes"]), bytes(r["words"]).split()) for r in seen], fit)
+    return learn(((r["y"], r["sizes"], bytes(r["words"]).split()) for r in seen), fit)
 
 
-def learn(bags: list[tuple[int, list[int], list[bytes]]], fit: Fit) -> Model:
+def learn(bags: Iterable[tuple[int, list[int], list[bytes]]], fit: Fit) -> Model:
     """Maximum likelihood of the noisy-or by Adam; a bag is a label, the sizes of its sentences and their words one after another."""
-    if not bags:
-        return Model(np.zeros(1 << fit.bits, np.float32), -np.inf, fit)
     number: dict[bytes, int] = {}
-    tokens = np.concatenate([np.fromiter((number.setdefault(w, len(number)) for w in r[2]), np.int32) for r in bags])
-    sizes = np.concatenate([np.array(r[1], np.int64) for r in bags])
-    docs_at = starts(np.array([len(r[1]) for r in bags]))
-    y = np.array([r[0] for r in bags], float)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    parts = [_parts(w, fit) for w in number]
-    part_word = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    part = np.fromiter((x for p in parts for x in p), np.int64)
+    labels, counts, each, tokens = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for label, own, words in bags:
+        labels.append(label)
+        counts.append(len(own))
+        each.append(np.array(own, np.int32))
+        tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+    if not labels:
+        return Model(np.zeros(1 << fit.bits, np.float32), -np.inf, fit)
+    tokens, sizes, y, docs_at = np.concatenate(tokens), np.concatenate(each), np.array(labels, float), starts(np.array(counts))
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    part, ends = array("i"), array("q")
+    for w in number:
+        part.extend(_parts(w, fit))
+        ends.append(len(part))
+    words = len(number)
+    number.clear()
+    part = np.frombuffer(part, np.int32) if len(part) else np.zeros(0, np.int32)
+    part_word = np.repeat(np.arange(words, dtype=np.int32), np.diff(np.frombuffer(ends, np.int64), prepend=0))
     width, bias = 1 << fit.bits, fit.start_bias
     weights, m, v, mb, vb = np.zeros(width), np.zeros(width), np.zeros(width), 0.0, 0.0
-    doc_of = np.repeat(np.arange(len(bags)), np.diff(docs_at))
+    doc_of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(docs_at))
     for step in range(1, fit.epochs + 1):
-        by_word = np.bincount(part_word, weights[part], minlength=len(parts))
+        by_word = np.bincount(part_word, weights[part], minlength=words)
         logits = bias + np.bincount(owner, by_word[tokens], minlength=len(sizes))
         quiet = np.minimum(_noisy_or(logits, docs_at), -1e-9)
         # d loss / d logit of a sentence: its own score, times -1 for a clean document and times (1 - P) / P for a toxic one
         pull = np.where(y > 0, -np.exp(quiet) / -np.expm1(quiet), 1.0)
-        g_logit = pull[doc_of] / (1 + np.exp(-np.clip(logits, -40, 40))) / len(bags)
-        g_word = np.bincount(tokens, g_logit[owner], minlength=len(parts))
+        g_logit = pull[doc_of] / (1 + np.exp(-np.clip(logits, -40, 40))) / len(y)
+        g_word = np.bincount(tokens, g_logit[owner], minlength=words)
         g = np.bincount(part, g_word[part_word], minlength=width) + fit.decay * weights
         gb = g_logit.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
