@@ -1,0 +1,219 @@
+"""Models and joins against plain Python, held-out accuracy, and defined cases."""
+
+from __future__ import annotations
+
+import collections
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from fixtures import SCHEMA, corpus, frame
+from pyspark.sql import functions as F
+
+from gridloom.llm import importance, katz, lexicon, metric_join, ngram_join, packing, plane_files, quality_rules, secret_scan, token_ids, toxicity
+from gridloom.llm.common import fold
+from gridloom.llm.links import local_roots
+
+
+def _discount(counts, k=5, tail=0.5):
+    n, out = collections.Counter(counts.values()), {}
+    for r in range(1, k + 1):
+        try:
+            cut = (k + 1) * n[k + 1] / n[1]
+            d = ((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut)
+        except ZeroDivisionError:
+            d = -1
+        out[r] = d if 0 < d < 1 else (r - tail) / r
+    return lambda c: c * out[c] if c <= k else c - tail
+
+
+def test_katz_equals_the_definition_and_sums_to_one(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(10**7, None), (10**7 + 1, ""), (10**7 + 2, "the zzqx the of"), (10**7 + 3, "The of the of the")], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in katz.score(docs, fold("doc_id", 5) == 1, katz.Settings(slice_bytes=50_000)).collect()}
+    texts = {r[0]: [*(r[1] or "").encode().lower().split(), b""] for r in docs.collect()}
+    one, two, starts_ = collections.Counter(), collections.Counter(), 0
+    for i, w in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            starts_ += 1
+            one.update(w)
+            two.update(zip([None, *w[:-1]], w, strict=True))
+    n, types = sum(one.values()), len(one)
+    d1, d2 = _discount(one), _discount(two)
+    unknown = 1 - sum(map(d1, one.values())) / n
+    p1 = lambda w: d1(one[w]) / n if w in one else unknown
+    before = {**one, None: starts_}
+    after = collections.defaultdict(list)
+    for (h, w), c in two.items():
+        after[h].append((w, c))
+    alpha = {h: (1 - sum(d2(c) / before[h] for _, c in x)) / (1 - sum(p1(w) for w, _ in x)) for h, x in after.items()}
+    p = lambda w, h: d2(two[h, w]) / before[h] if (h, w) in two else alpha.get(h, 1.0) * p1(w)
+    for h in [None, b"the", *random.Random(1).sample(list(one), 3)]:
+        assert sum(p(w, h) for w in one) + alpha.get(h, 1.0) * unknown == pytest.approx(1, abs=1e-9)
+    for i, w in texts.items():
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(x in one for x in w), n, zlib.crc32(str(i).encode()) % 5 == 1)
+        assert r["score"] == pytest.approx(sum(math.log10(p(x, h)) for h, x in zip([None, *w[:-1]], w, strict=True)), rel=1e-9)
+        assert r["base_score"] == pytest.approx(sum(math.log10((one[x] + 0.5) / (n + 0.5 * (types + 1))) for x in w), rel=1e-9)
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def _shingles(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def _components(nodes, links):
+    root = {i: i for i in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in nodes}
+
+
+@pytest.mark.parametrize("s", [ngram_join.Settings(), ngram_join.Settings(crowd=3, block=4, hot=2, parts=7), ngram_join.Settings(percent=60, crowd=2, block=5)])
+def test_ngram_join_equals_all_pairs(spark, s):
+    rows = corpus(n=40)
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.near_duplicates(frame(spark, rows), s).collect()}
+    sets = {i: _shingles(t) for i, t in rows}
+    ids = [i for i in sets if sets[i]]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if 100 * len(sets[a] & sets[b]) >= s.percent * len(sets[a] | sets[b])]
+    want = _components(sets, links)
+    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+    assert 1 < collections.Counter(want.values()).most_common(1)[0][1] < 36
+
+
+def test_ngram_join_on_the_shared_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.near_duplicates(docs).collect()}
+    sets = {r["doc_id"]: _shingles(r["text"]) for r in docs.collect()}
+    ids = [i for i in sets if sets[i]]
+    want = _components(sets, [(a, b) for k, a in enumerate(ids) for b in ids[:k] if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+
+
+def _vectors(seed=3, n=150, d=16):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, d))
+    v[100:130] = v[7] + rng.normal(scale=0.25, size=(30, d))
+    v[130:] = v[9]
+    return [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+
+
+@pytest.mark.parametrize("s", [metric_join.Settings(), metric_join.Settings(block=7, pivots_per_root=1.0), metric_join.Settings(block=500, pivots_per_root=3.0)])
+def test_metric_join_equals_all_pairs(spark, s):
+    good = _vectors()
+    odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, 2.0]), (904, [1.0, 2.1]), (905, []), (906, [None, 1.0]), (907, [float("inf")] * 16)]
+    got = {r[0]: tuple(r)[1:] for r in metric_join.near_duplicates(spark.createDataFrame(good + odd, "vec_id long, embedding array<double>"), s).collect()}
+    m = np.array([v for _, v in good])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near = m @ m.T >= 0.9
+    want = _components(range(len(good)), zip(*np.nonzero(near), strict=True))
+    for i, _ in good:
+        assert got[i] == (int(near[i].sum()) - 1, want[i], want[i] == i)
+    assert got[903] == (1, 903, True) and got[904] == (1, 903, False)
+    assert all(got[i] == (0, i, True) for i in (900, 901, 902, 905, 906, 907))
+
+
+def test_local_roots():
+    assert list(local_roots(6, np.array([5, 3]), np.array([3, 1]))) == [0, 1, 2, 1, 4, 1]
+
+
+def test_importance_drops_junk_and_keeps_the_clean(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    weighed, _, least = importance.select(docs, labels)
+    out = {(r["quality"], r["kept"]): r["n"] for r in weighed.withColumn("kept", F.col("gumbel_key") >= least).join(labels, "doc_id").groupBy("quality", "kept").agg(F.count("*").alias("n")).collect()}
+    assert out.get((1, False), 0) <= 0.02 * out[1, True] and out.get((0, True), 0) <= 0.25 * out[0, False]
+
+
+def test_importance_draws_exactly_k(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    weighed, _, least = importance.select(docs, labels, k=37)
+    keys = sorted((r[0] for r in weighed.select("gumbel_key").collect()), reverse=True)
+    assert least == keys[36]
+
+
+@pytest.mark.parametrize("k", [0, 1, 5, 6, 7, 50])
+def test_kth_largest_with_ties(spark, k):
+    values = [1.0, 1.0, 1.0, 2.0, 2.0, -7.5, 1e9]
+    got = importance.kth_largest(spark.createDataFrame([(v,) for v in values], "x double"), "x", k, bins=4)
+    assert got == (math.inf if k < 1 else -math.inf if k >= len(values) else sorted(values, reverse=True)[k - 1])
+
+
+def test_toxicity_learns_sentences_from_documents(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(240):
+        bag = [" ".join(rng.choice("ab cd ef gh ij kl mn op".split()) for _ in range(6)) for _ in range(rng.randint(1, 6))]
+        if i % 4 == 0:
+            bag[rng.randrange(len(bag))] += " vilename"
+        rows.append((i, ". ".join(bag)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, y = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, y.filter("doc_id % 3 <> 0"))
+    out = toxicity.score(docs, model).collect()
+    assert all((r["score"] >= 0.3) == (r["doc_id"] % 4 == 0) for r in out)
+    for r in out:
+        if r["doc_id"] % 4 == 0:
+            worst = r["offending"][0]["sentence"]
+            assert b"vilename" in toxicity.sentences(r["text"].encode())[worst]
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = fold("doc_id", 4) == 2
+    model = toxicity.train(docs, labels.filter(~held), toxicity.Fit(sample=1500))
+    r = toxicity.score(docs.join(labels.filter(held), "doc_id").select("doc_id", "text", "toxic"), model).withColumn("p", F.col("score") >= 0.3).groupBy("toxic", "p").count().collect()
+    n = {(x["toxic"], x["p"]): x["count"] for x in r}
+    assert n[1, True] / (n[1, True] + n[1, False]) > 0.5 and n[0, True] < 0.05 * n[0, False]
+
+
+def _operators(docs, labels):
+    byte, word = token_ids.path(token_ids.BYTE_BPE), token_ids.path(token_ids.WORD_BPE)
+    spark = docs.sparkSession
+    yield katz.score(docs, fold("doc_id", 5) == 1)
+    yield packing.packed(docs, word, 1)
+    weighed, ratios, least = importance.select(docs, labels)
+    yield importance.weigh(docs, ratios)
+    yield toxicity.score(docs, toxicity.train(docs, labels))
+    yield ngram_join.near_duplicates(docs)
+    model = secret_scan.train(docs)
+    yield secret_scan.report(docs, model)
+    yield secret_scan.redact(docs, model)
+    yield lexicon.encoded(docs, byte, lexicon.build(docs, byte))
+    yield quality_rules.judge(docs, quality_rules.references(docs))
+    from gridloom.plans.scratch import new_path
+    folder = new_path(spark, "planes")
+    plane_files.write(docs, folder, byte, 0)
+    yield plane_files.read(spark, folder)
+
+
+def test_empty_tables(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out in _operators(spark.createDataFrame([], SCHEMA), labels):
+        assert out.collect() == []
+    assert metric_join.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_nulls_ties_and_clashing_columns(spark):
+    rows = [(None, None), (None, "some words of a text here"), (1, None), (2, ""), (3, "same text of six words here"), (4, "same text of six words here"), (4, "same text of six words here"),
+            (5, "password = abcdefghijklmnop " * 30000)]
+    labels = spark.createDataFrame([(3, 1, 0), (2, None, None), (None, 0, 1), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows, extra=True)
+    for out in _operators(docs, labels):
+        got = out.select("doc_id").collect() if "doc_id" in out.columns else []
+        assert {r[0] for r in got} == {None, 1, 2, 3, 4, 5}
+    near = {(r[0], r[1]): r[2] for r in ngram_join.near_duplicates(docs).collect()}
+    assert near[4, 2] == 3 and near[1, 0] == 1 and near[None, 2] is None

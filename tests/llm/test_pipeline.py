@@ -1,0 +1,60 @@
+"""The pipeline's stages against their decisions in plain Python."""
+
+from __future__ import annotations
+
+import collections
+import re
+
+import corpus_pipeline
+import pytest
+from test_models import _components, _shingles
+
+import __spark_entry__ as entry
+from gridloom.llm import token_ids
+
+
+def test_stages_end_to_end(spark, sf):
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, seen = docs.columns, {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name == "packing":
+            break
+        assert out.columns == columns and out.schema == docs.schema
+        rows = {r["doc_id"]: r["text"] for r in out.collect()}
+        if name != "secrets":
+            assert set(rows) <= set(seen) and all(seen[i] == t for i, t in rows.items())
+        if name == "near_duplicates":
+            sets = {i: _shingles(t) for i, t in seen.items()}
+            ids = [i for i in sets if sets[i]]
+            roots = _components(sets, [(a, b) for k, a in enumerate(ids) for b in ids[:k] if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+            assert set(rows) == {i for i, r in roots.items() if i == r}
+        if name == "secrets":
+            assert set(rows) == set(seen) and not any(re.search(r"[0-9a-f]{16,}|AKIA[A-Z0-9]{14,}", t or "") for t in rows.values())
+            assert all(rows[i] == t or "[SECRET]" in rows[i] for i, t in seen.items())
+        assert len(rows) > 0.5 * len(seen)
+        docs, seen = spark.createDataFrame(out.collect(), docs.schema), rows
+    library, got = token_ids.load(token_ids.path(token_ids.WORD_BPE)), collections.defaultdict(list)
+    for r in out.collect():
+        got[r["doc_id"]].append((r["start"], r["ids"]))
+    assert {i: [x for _, p in sorted(v) for x in p] for i, v in got.items()} == {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in seen.items()}
+
+
+def test_repeated_ids_leave_one_row(spark, sf):
+    rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "A b c d e f", "en", "s", 1), (None, None, None, None, None), (3, "x y", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf}/documents.parquet").schema)
+    out = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3]
+
+
+def test_every_operator_is_registered():
+    names = list(entry.queries())
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith("op") and n != "op4_noisy_or_toxicity"])
+def test_queries_cover_their_table(spark, sf, name):
+    out = entry.queries()[name](spark, sf)
+    table, key = ("embeddings", "vec_id") if name.startswith("op8") else ("documents", "doc_id")
+    assert out.select(key).distinct().count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
