@@ -40,6 +40,7 @@ class Fit:
     rate: float = 0.03
     decay: float = 2e-6
     start_bias: float = -7.0
+    support: float = 0.016  # share of the sample's documents that a part must occur in (counted for each word that has it), or it would be learned by heart
 
 
 @dataclass(frozen=True)
@@ -111,6 +112,10 @@ def learn(bags: Iterable[tuple[int, list[int], list[bytes]]], fit: Fit) -> Model
     number.clear()
     part = np.frombuffer(part, np.int32) if len(part) else np.zeros(0, np.int32)
     part_word = np.repeat(np.arange(words, dtype=np.int32), np.diff(np.frombuffer(ends, np.int64), prepend=0))
+    spread = np.repeat(np.arange(len(y)), np.bincount(np.repeat(np.arange(len(y)), np.diff(docs_at)), sizes, len(y)).astype(np.int64))
+    held = np.unique(spread * words + tokens) % max(words, 1)  # one entry for each word of a document
+    enough = np.bincount(part, np.bincount(held, minlength=words)[part_word], minlength=1 << fit.bits)[part] >= max(3.0, fit.support * len(y))
+    part, part_word = part[enough], part_word[enough]
     width, bias = 1 << fit.bits, fit.start_bias
     weights, m, v, mb, vb = np.zeros(width), np.zeros(width), np.zeros(width), 0.0, 0.0
     doc_of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(docs_at))
