@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 EPS = 1e-8
 CLIP = 1e-6
-# fixed values: trimap confidences (inside, uncertain ring)
-TRIMAP_FG, TRIMAP_RING = 0.98, 0.5
-TRIMAP_BG = 0.02
+# fixed values: trimap confidences (inside, uncertain ring, outside)
+TRIMAP_FG, TRIMAP_RING, TRIMAP_BG = 0.98, 0.5, 0.02
 
 
 def clip01(p: Column, eps: float = CLIP) -> Column:

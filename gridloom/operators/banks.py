@@ -45,15 +45,15 @@ def cap_sample(df: DataFrame, n: int, seed: int, by: list[str], key: list[str])
 
 
 def combine_sources(parts: list[DataFrame], caps: dict[str, int], seed: int, by: list[str], key: list[str]) -> DataFrame:
-    """Bank rows of all tiles and augmentations: caps apply per image and polarity before the union. Empty input is an error."""
+    """Bank rows of all tiles and augmentations: caps apply per image and polarity before the union, a polarity without one is whole. Empty input is an error."""
     if not parts:
         raise ValueError("no bank sources")
     out = None
     for part in parts:
-        capped = None
+        capped = part.filter(~F.col("polarity").isin(list(caps))) if caps else part
         for polarity, n in caps.items():
             piece = cap_sample(part.filter(F.col("polarity") == polarity), n, seed, by, key)
-            capped = piece if capped is None else capped.unionByName(piece)
+            capped = capped.unionByName(piece)
         out = capped if out is None else out.unionByName(capped)
     return out
 

@@ -16,6 +16,8 @@ from .tiling import PATCH, TILE, WINDOW
 
 # fixed values: parameter names of the boosted-tree library this mirrors, and their counterparts here
 PARAMS = {"max_depth": "maxDepth", "eta": "stepSize", "subsample": "subsamplingRate", "min_child_weight": "minInstancesPerNode"}
+# fixed values: known names without a counterpart; they change nothing
+UNSUPPORTED = {"objective", "eval_metric", "tree_method", "device", "verbosity", "seed", "nthread", "reg_alpha", "reg_lambda", "alpha", "lambda", "gamma"}
 
 
 def as_ml(df: DataFrame) -> DataFrame:
@@ -23,7 +25,9 @@ def as_ml(df: DataFrame) -> DataFrame:
 
 
 def classifier(params: dict, rounds: int, seed: int = 42, validation: str | None = None) -> GBTClassifier:
-    """Estimator for log-loss boosting; `colsample_bytree` becomes the feature subset, unsupported keys are ignored."""
+    """Estimator for log-loss boosting; `colsample_bytree` becomes the feature subset; an unknown name is an error."""
+    if unknown := set(params) - set(PARAMS) - UNSUPPORTED - {"colsample_bytree"}:
+        raise ValueError(f"unknown tree parameters: {sorted(unknown)}")
     est = GBTClassifier(labelCol="y", featuresCol="features", maxIter=rounds, seed=seed, cacheNodeIds=False)
     for name, value in params.items():
         if name in PARAMS:
@@ -159,15 +163,6 @@ def importance_topk(gains: DataFrame, prefix: str, k: int) -> DataFrame:
     return top.select("feature", "gain", (F.sum("gain").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total).alias("cum_share"))
 
 
-def model_gains(model: GBTClassificationModel, names: list[str]) -> DataFrame:
-    """Feature importances as rows (feature, gain); one row per dimension, so driver-size."""
-    from pyspark.sql import SparkSession
-
-    values = model.featureImportances.toArray()
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, values) if v > 0], "feature string, gain double")
-
-
 def score_guard(a: DataFrame, b: DataFrame, threshold: float, atol: float = 1e-5, rtol: float = 1e-4, keys: list[str] = TILE) -> DataFrame:
     """Agreement of two score maps per tile: mean and largest difference, same mask, all close, and the mismatch flag."""
     cell = [*keys, "y", "x"]

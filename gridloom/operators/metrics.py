@@ -20,7 +20,7 @@ def with_ratios(df: DataFrame) -> DataFrame:
     out = (df.withColumn("precision", tp / (tp + fp + EPS)).withColumn("recall", tp / (tp + fn + EPS))
            .withColumn("iou", tp / (tp + fp + fn + EPS)))
     p, r = F.col("precision"), F.col("recall")
-    return out.withColumn("f1", p * r * 2.0 / (p + r + EPS))
+    return out.withColumn("f1", 2.0 * p * r / (p + r + EPS))
 
 
 def confusion(df: DataFrame, pred: Column, gt: Column, keys: list[str] = TILE) -> DataFrame:

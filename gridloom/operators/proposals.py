@@ -115,7 +115,7 @@ def checks(df: DataFrame, cfg: ProposalConfig) -> DataFrame:
     def rule(cond: Column) -> Column:
         return F.coalesce(ok & cond, F.lit(False))
 
-    return (out.withColumn("allowed_width_m", F.when(ok, width))
+    return (out.withColumn("allowed_width_m", F.when(ok & (F.col("zone") == OUTSIDE), width))
             .withColumn("min_length_m", rule(F.col("length_m") >= float(cfg.min_length_m)))
             .withColumn("max_width_m", rule(F.col("mean_width_m") <= width))
             .withColumn("min_skeleton_ratio", rule(F.col("skeleton_ratio") >= float(cfg.min_skeleton_ratio)))

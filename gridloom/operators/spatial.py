@@ -178,7 +178,7 @@ def clip_to_boxes(pairs: DataFrame) -> DataFrame:
     def one_side(axis: str, above: bool, bound: str) -> Column:
         return F.transform("rings", lambda r: clip(r, axis, above, F.col(bound)))
 
-    out = pairs
+    out = pairs.withColumn("rings", oriented(F.col("rings")))
     for axis, above, bound in (("x", True, "min_x_b"), ("x", False, "max_x_b"), ("y", True, "min_y_b"), ("y", False, "max_y_b")):
         out = out.withColumn("rings", one_side(axis, above, bound))
     out = out.withColumn("rings", F.filter("rings", lambda r: F.size(r) >= 3))
@@ -186,13 +186,27 @@ def clip_to_boxes(pairs: DataFrame) -> DataFrame:
 
 
 def ring_area(ring: Column) -> Column:
-    """Unsigned shoelace area."""
-    return F.abs(F.aggregate(ring_edges(ring), F.lit(0.0),
-                             lambda acc, e: acc + (e["x0"] * e["y1"] - e["x1"] * e["y0"]))) / 2.0
+    """Signed shoelace area, positive for a counter-clockwise ring."""
+    return F.aggregate(ring_edges(ring), F.lit(0.0), lambda acc, e: acc + (e["x0"] * e["y1"] - e["x1"] * e["y0"])) / 2.0
 
 
 def ring_area_sum(rings: Column) -> Column:
-    return F.aggregate(F.transform(rings, ring_area), F.lit(0.0), lambda acc, a: acc + a)
+    """Area of a geometry whose rings are oriented: holes count against what they are in."""
+    return F.abs(F.aggregate(F.transform(rings, ring_area), F.lit(0.0), lambda acc, a: acc + a))
+
+
+def oriented(rings: Column) -> Column:
+    """Rings inside an even number of others counter-clockwise, holes clockwise (even-odd rule; rings do not cross each other)."""
+    def inside(p: Column, ring: Column) -> Column:
+        crossings = F.filter(ring_edges(ring), lambda e: ((e["y0"] > p["y"]) != (e["y1"] > p["y"])) & (
+            p["x"] < e["x0"] + (e["x1"] - e["x0"]) * (p["y"] - e["y0"]) / F.nullif(e["y1"] - e["y0"], F.lit(0.0))))
+        return F.size(crossings) % 2 == 1
+
+    def turned(ring: Column) -> Column:
+        around = F.size(F.filter(rings, lambda other: (other != ring) & inside(ring[0], other)))
+        return F.when((ring_area(ring) < 0) != (around % 2 == 1), F.reverse(ring)).otherwise(ring)
+
+    return F.transform(rings, turned)
 
 
 def resize_nearest(mask: DataFrame, tiles: DataFrame, out_h: int, out_w: int, keys: list[str] = TILE) -> DataFrame:

@@ -75,8 +75,3 @@ MEDIAN = ("floor((n + 1) / 2)", "floor((n + 2) / 2)")
 def nearest_rank(percentile: float) -> tuple[str, str]:
     rank = f"greatest(1, ceil(cast({percentile} as double) * n))"
     return rank, rank
-
-
-def running_max_first(best: Column, *order: Column) -> Column:
-    """Smallest struct by (-best, order...): the first row that reaches the maximum."""
-    return F.min(F.struct((-best).alias("neg"), *order))

@@ -52,8 +52,3 @@ class StepTable:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(self.path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def size_in_bytes(df: DataFrame) -> int:
-    """The planner's size estimate; exact file size for a table written by `cut`."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

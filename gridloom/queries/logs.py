@@ -9,7 +9,6 @@ from .data import query, r6, spans
 
 STATS = """CAST(COUNT(*) AS BIGINT) AS "count", MAX(duration_s) AS max_s, ROUND(AVG(duration_s), 6) AS mean_s, ROUND(MEDIAN(duration_s), 6) AS median_s, MIN(duration_s) AS min_s,
     list_sort(list(duration_s))[CAST(greatest(1, ceil(CAST(0.9 AS DOUBLE) * COUNT(*))) AS BIGINT)] AS p90_s, ROUND(SUM(duration_s), 6) AS total_s"""
-COLS = ["count", "max_s", *["mean_s", "median_s"], "min_s", "p90_s", "total_s"]
 
 
 def shown(df, *by):

@@ -115,7 +115,7 @@ def verdicts(spark, d):
 
 
 @query("PRO-05", f"""SELECT tile_id, zone, root, min_area_px, min_pca_ratio, min_mean_score, max_road_overlap, min_area_px AND min_pca_ratio AND min_mean_score AND max_road_overlap AS cheap_pass,
-    ROUND(CASE WHEN min_area_px AND min_pca_ratio AND min_mean_score AND max_road_overlap THEN least(20, 3 + greatest(pca_ratio - 1.2, 0)) END, 4) AS allowed_width_m FROM {CHECK}""")
+    ROUND(CASE WHEN min_area_px AND min_pca_ratio AND min_mean_score AND max_road_overlap AND zone = 'outside_evaluated' THEN least(20, 3 + greatest(pca_ratio - 1.2, 0)) END, 4) AS allowed_width_m FROM {CHECK}""")
 def _(spark, d):
     out = verdicts(spark, d)
     return out.select("tile_id", "zone", root(), *[F.col(c) for c in ("min_area_px", "min_pca_ratio", "min_mean_score", "max_road_overlap")],

@@ -45,13 +45,15 @@ def _(spark, d):
     return spatial.with_bbox(readers.geometries(some)).select("geom_id", F.size(F.col("rings")[0]).alias("points"), "min_x")
 
 
-@query("SRC-05", "SELECT DISTINCT CAST(l_suppkey // 16 AS INT) AS block FROM lineitem")
+@query("SRC-05", """SELECT DISTINCT CAST(l_suppkey // 16 AS INT) AS block, true AS plain, CAST(0 AS BIGINT) AS above FROM lineitem""")
 def _(spark, d):
     path = new_path(spark, "tile-files")
     blocks = cells(spark, d).withColumn("block", F.expr("cast(tile_id div 16 as int)"))
     blocks.repartition("block").write.partitionBy("block").parquet(path)
-    listed = readers.list_tiles(spark, path, "*.parquet")
-    return listed.select(F.regexp_extract("path", "block=([0-9]+)", 1).cast("int").alias("block")).distinct()
+    above = readers.list_tiles(spark, path, "*.parquet").agg(F.count(F.lit(1)).alias("above"))  # files of sub-folders do not count
+    listed = readers.list_tiles(spark, f"{path}/block=*", "*.parquet")
+    here = listed.select(F.regexp_extract("path", "block=([0-9]+)", 1).cast("int").alias("block"), F.col("path").startswith("/").alias("plain")).distinct()
+    return here.crossJoin(F.broadcast(above))  # one row
 
 
 def list_file(spark, d):
@@ -66,11 +68,15 @@ def _(spark, d):
     return readers.read_tile_list(spark, list_file(spark, d))
 
 
-@query("SRC-07", """SELECT path, 'file' AS origin FROM part_catalog UNION ALL SELECT path, 'explicit' FROM tiles UNION ALL SELECT path, 'legacy' FROM part_catalog""")
+@query("SRC-07", """SELECT path, 'file' AS origin FROM part_catalog UNION ALL SELECT path, 'explicit' FROM tiles WHERE path NOT LIKE '%3%' UNION ALL SELECT path, 'legacy' FROM part_catalog WHERE path NOT LIKE '%3%'""")
 def _(spark, d):
     t, p = tiles(spark, d), part_catalog(spark, d)
-    a = readers.resolve_tiles(spark, list_file(spark, d), explicit=t, legacy=p)
-    return a.unionByName(readers.resolve_tiles(spark, explicit=t, legacy=p)).unionByName(readers.resolve_tiles(spark, legacy=p))
+
+    def keep(df):
+        return df.filter(~F.col("path").like("%3%"))
+
+    a = readers.resolve_tiles(spark, list_file(spark, d), explicit=t, legacy=p, label_filter=keep)
+    return a.unionByName(readers.resolve_tiles(spark, explicit=t, legacy=p, label_filter=keep)).unionByName(readers.resolve_tiles(spark, legacy=p, label_filter=keep))
 
 
 @query("SRC-08", """SELECT event_id::VARCHAR AS image_id, event_type AS stage, 'span' AS kind, CASE WHEN user_id % 9 = 0 THEN CAST(0 AS DOUBLE) ELSE value END AS duration_s,
@@ -79,7 +85,7 @@ def _(spark, d):
     u = F.col("user_id")
     good = F.to_json(F.struct(
         F.col("event_id").cast("string").alias("image_id"), F.col("event_type").alias("stage"), F.lit("span").alias("kind"),
-        F.when(u % 9 != 0, F.col("value")).alias("duration_s"), F.when(u % 5 != 0, F.create_map(F.lit("k"), F.col("props"))).alias("extra")))
+        F.when(u % 9 != 0, F.col("value").cast("string")).alias("duration_s"), F.when(u % 5 != 0, F.create_map(F.lit("k"), F.col("props"))).alias("extra")))
     line = F.when(F.col("event_type") != "error", good).when(u % 2 == 0, F.substring(good, 1, 20)).otherwise(F.lit("[1, 2]"))
     return readers.parse_spans(table(spark, d, "events").select(line.alias("value"))).select(
         "image_id", "stage", "kind", "duration_s", F.size("extra").alias("extras"))
@@ -166,20 +172,23 @@ def patch_store(spark, d):
 
 
 def stored(spark, d):
+    """Images written in two steps under one spec, then one window of each replaced; an older spec beside it."""
     path = new_path(spark, "features")
     rows = patch_store(spark, d)
-    for spec in ("old", "new"):
-        stores.write_features(rows, path, spec, PS, 1)
+    stores.write_features(rows, path, "old", PS, 1)
+    odd = F.col("image_id") % 2 == 1
+    for part in (rows.filter(odd), rows.filter(~odd), rows.filter("win_y = 0 and win_x = 0").withColumn("v", F.col("v") + 1000)):
+        stores.write_features(part, path, "new", PS, 1)
     return spark.read.parquet(path)
 
 
-@query("SNK-08", """SELECT tile_id AS image_id, win_y, win_x, COUNT(DISTINCT (py, px)) AS n FROM placed p
+@query("SNK-08", """SELECT tile_id AS image_id, win_y, win_x, COUNT(DISTINCT (py, px)) AS n, win_y = 0 AND win_x = 0 AS replaced FROM placed p
     WHERE w_eff // 4 = least(16, 31 - win_x) // 4 GROUP BY 1, 2, 3""")
 def _(spark, d):
     narrow = tiling.windows(tiles(spark, d).withColumn("width", F.lit(31)), SIZE, STRIDE).select(
         F.col("tile_id").alias("image_id"), "win_y", "win_x", F.expr("cast(h_eff div 4 as int)").alias("hp"), F.expr("cast(w_eff div 4 as int)").alias("wp"))
     good = stores.valid_features(stored(spark, d), "new", PS, 1, narrow)
-    return good.groupBy("image_id", "win_y", "win_x").agg(F.count(F.lit(1)).alias("n"))
+    return good.groupBy("image_id", "win_y", "win_x").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("v") >= 1000).alias("replaced"))
 
 
 @query("SNK-09", """SELECT tile_id AS image_id, win_y, win_x, MAX(py) + 1 AS hp, MAX(px) + 1 AS wp, (MAX(py) + 1) * 4 AS h_eff, (MAX(px) + 1) * 4 AS w_eff
@@ -194,13 +203,16 @@ def _(spark, d):
     return stores.consolidate(patch_store(spark, d)).select("image_id", "win_y", "win_x", "py", "px", "n")
 
 
-@query("SNK-11", "SELECT CAST(vec_id AS BIGINT) AS vec_id, label FROM embeddings")
+@query("SNK-11", """SELECT CAST(vec_id AS BIGINT) AS vec_id, label, CAST(label AS BIGINT) AS image_id, CASE WHEN label % 2 = 0 THEN 'b' ELSE 'a' END AS spec_hash,
+    CAST(embedding[1] AS DOUBLE) AS v_first, CAST(embedding[len(embedding)] AS DOUBLE) AS v_last, CAST(len(embedding) AS INT) AS dims FROM embeddings""")
 def _(spark, d):
+    """All images under spec a, image by image; then half of them under spec b, which makes their first banks stale."""
     path = new_path(spark, "bank")
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    for spec in ("a", "b"):
-        stores.write_bank(e.withColumn("spec_hash", F.lit(spec)).withColumn("ps", F.lit(PS)).withColumn("context", F.lit(0)).withColumn("resample", F.lit(1)), path)
-    return stores.prune_banks(spark.read.parquet(path), {"spec_hash": "b", "ps": PS, "context": 0, "resample": 1}).select("vec_id", "label")
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("label").cast("bigint").alias("image_id"), "embedding")
+    for spec, rows in (("a", e.filter("label < 4")), ("a", e.filter("label >= 4")), ("b", e.filter("label % 2 = 0"))):
+        stores.write_bank(rows.withColumn("spec_hash", F.lit(spec)).withColumn("ps", F.lit(PS)).withColumn("context", F.lit(0)).withColumn("resample", F.lit(1)), path)
+    v = F.col("embedding")
+    return spark.read.parquet(path).select("vec_id", "label", "image_id", "spec_hash", v[0].cast("double").alias("v_first"), F.element_at(v, -1).cast("double").alias("v_last"), F.size(v).alias("dims"))
 
 
 @query("SNK-12", """SELECT stage, CAST(COUNT(*) AS BIGINT) AS "count", ROUND(AVG(duration_s), 6) AS mean_s, MAX(duration_s) AS max_s, ROUND(SUM(duration_s), 6) AS total_s FROM spans GROUP BY 1""")

@@ -40,12 +40,28 @@ def _(spark, d):
     return spatial.spatial_join(geoms(spark, d).drop("tile_id"), tiles(spark, d), 32.0).select("layer", "geom_id", "tile_id")
 
 
-@query("SPA-04", """SELECT layer, geom_id, t.tile_id, ROUND(CAST((least(a1, t."left" + t.width) - greatest(a0, t."left")) * (least(b1, t.top) - greatest(b0, t.top - t.height)) AS DOUBLE), 6) AS area
+def _holed(spark, d):
+    """Each label rectangle as a hole of one that is a cell wider on every side."""
+    raw = geoms(spark, d).filter("layer = 'label'").drop("tile_id")
+    wider = F.transform(F.col("rings")[0], lambda p: F.struct(
+        F.when(p["x"] == F.array_min(F.transform(F.col("rings")[0], lambda q: q["x"])), p["x"] - 1.0).otherwise(p["x"] + 1.0).alias("x"),
+        F.when(p["y"] == F.array_min(F.transform(F.col("rings")[0], lambda q: q["y"])), p["y"] - 1.0).otherwise(p["y"] + 1.0).alias("y")))
+    return raw.select(F.lit("holed").alias("layer"), "geom_id", F.array(wider, F.col("rings")[0]).alias("rings"))
+
+
+def _clipped(a0, a1, b0, b1):
+    return f"""greatest(0, least({a1}, t."left" + t.width) - greatest({a0}, t."left")) * greatest(0, least({b1}, t.top) - greatest({b0}, t.top - t.height))"""
+
+
+@query("SPA-04", f"""SELECT CASE WHEN u.holed THEN 'holed' ELSE layer END AS layer, geom_id, t.tile_id,
+    ROUND(CAST(CASE WHEN u.holed THEN {_clipped('a0 - 1', 'a1 + 1', 'b0 - 1', 'b1 + 1')} - {_clipped('a0', 'a1', 'b0', 'b1')} ELSE {_clipped('a0', 'a1', 'b0', 'b1')} END AS DOUBLE), 6) AS area
     FROM (SELECT layer, geom_id, tile_id % 10 * 24 + x0 + 0.25 AS a0, tile_id % 10 * 24 + x0 + w + 0.25 AS a1,
     tile_id // 10 * -24 - y0 - h - 0.25 AS b0, tile_id // 10 * -24 - y0 - 0.25 AS b1 FROM rects) r
-    JOIN tiles t ON t."left" < a1 AND t."left" + t.width > a0 AND t.top > b0 AND t.top - t.height < b1""")
+    CROSS JOIN (SELECT unnest([false, true]) AS holed) u
+    JOIN tiles t ON (NOT u.holed OR layer = 'label') AND {_clipped('a0 - u.holed::INT', 'a1 + u.holed::INT', 'b0 - u.holed::INT', 'b1 + u.holed::INT')} > 0""")
 def _(spark, d):
-    pairs = spatial.spatial_join(geoms(spark, d).drop("tile_id"), tiles(spark, d), 32.0)
+    every = geoms(spark, d).drop("tile_id").select("layer", "geom_id", "rings").unionByName(_holed(spark, d))
+    pairs = spatial.spatial_join(every, tiles(spark, d), 32.0)
     clipped = spatial.clip_to_boxes(pairs)
     return clipped.select("layer", "geom_id", "tile_id", F.round(spatial.ring_area_sum(F.col("rings")), 6).alias("area"))
 

@@ -14,22 +14,33 @@ from .metrics import STAGE_ROWS, stages
 from .sources import UNION
 
 
-def as_stream(df, name, batches=3):
-    """Write rows as files and read them back as a stream with one file per trigger step."""
+def as_stream(df, name, batches=3, by=()):
+    """Write rows as files (rows of one `by` together) and read them back as a stream with one file per trigger step."""
     path = new_path(df.sparkSession, name)
-    df.repartition(batches).write.parquet(path)
+    df.repartition(batches, *by).write.parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("STR-01", UNION)
-def _(spark, d):
+def live_union(spark, d):
+    """Mosaic and done log of a stream of mask cells with a marker row for each tile, of which some have no cell."""
     t = tiles(spark, d)
     offsets = cut(spatial.mosaic_offsets(t, spatial.mosaic_profile(t)), "offsets")
     masks = data.mask(spark, d, "label").unionByName(data.mask(spark, d, "gt")).withColumn("variant", F.lit("raw"))
-    src = as_stream(masks.join(t.select("tile_id", F.col("path").alias("tile_path")), "tile_id"), "masks-in", 2)
-    mosaic = new_path(spark, "live-union")
-    live.stream_union(src, offsets, mosaic, new_path(spark, "live-done"), new_path(spark, "live-progress"), new_path(spark, "ck"), ["tile_id"]).awaitTermination()
-    return stores.read_mosaic(spark, mosaic).select("variant", "gy", "gx", "v")
+    marks = t.select("tile_id", F.lit(None).cast("int").alias("y"), F.lit(None).cast("int").alias("x"), F.lit("raw").alias("variant"))
+    src = as_stream(masks.unionByName(marks).join(t.select("tile_id", F.col("path").alias("tile_path")), "tile_id"), "masks-in", 2, ["tile_id"])
+    mosaic, done = new_path(spark, "live-union"), new_path(spark, "live-done")
+    live.stream_union(src, offsets, mosaic, done, new_path(spark, "live-progress"), new_path(spark, "ck"), ["tile_id"]).awaitTermination()
+    return stores.read_mosaic(spark, mosaic), spark.read.parquet(done)
+
+
+@query("STR-01", UNION)
+def _(spark, d):
+    return live_union(spark, d)[0].select("variant", "gy", "gx", "v")
+
+
+@query("STR-01-done", "SELECT path AS tile_path, 'done' AS status FROM tiles")
+def _(spark, d):
+    return live_union(spark, d)[1].select("tile_path", "status")
 
 
 @query("STR-02", "SELECT DISTINCT tile_path FROM done_log WHERE status = 'done'")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "gridloom", cores: int | str = "*", shuffle_partitions: int = 8,
                   memory: str = "8g") -> SparkSession:
+    builder = SparkSession.builder
+    if "PYSPARK_GATEWAY_PORT" not in os.environ and "--master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):  # submitted jobs bring their own
+        builder = builder.master(f"local[{cores}]")
     spark = (
-        SparkSession.builder.master(f"local[{cores}]").appName(app)
+        builder.appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

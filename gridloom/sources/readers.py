@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,9 +78,14 @@ def rectangle_rings(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def list_tiles(spark: SparkSession, directory: str, glob: str = "*.tif") -> DataFrame:
-    """Files of a folder tree that match a pattern, in path order; contents are not read. A missing folder is an error."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(directory)
-            .select("path", "length", F.col("modificationTime").alias("mtime")).orderBy("path"))
+    """Files right inside a folder that match a pattern, in path order; contents are not read. A missing folder is an error.
+
+    Local paths come back plain, without a scheme, as list files and done logs have them.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(directory)
+    plain = found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("modificationTime").alias("mtime"))
+    depth = len(re.sub("^file:/+", "/", directory.rstrip("/")).split("/")) + 1
+    return plain.filter(F.size(F.split("path", "/")) == depth).orderBy("path")
 
 
 def read_tile_list(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +94,7 @@ def read_tile_list(spark: SparkSession, path: str) -> DataFrame:
 
 def resolve_tiles(spark: SparkSession, tiles_file: str | None = None, directory: str | None = None, glob: str = "*.tif",
                   explicit: DataFrame | None = None, legacy: DataFrame | None = None, label_filter=None) -> DataFrame:
-    """Tiles to infer: list file (unfiltered), else folder with pattern (label-filtered), else explicit list, else legacy list."""
+    """Tiles to infer: list file (unfiltered), else folder with pattern, else explicit list, else legacy list, all three label-filtered."""
     if tiles_file:
         return read_tile_list(spark, tiles_file).select("path", F.lit("file").alias("origin"))
     if directory:
@@ -95,17 +102,18 @@ def resolve_tiles(spark: SparkSession, tiles_file: str | None = None, directory:
         return (label_filter(found) if label_filter else found).select("path", F.lit("folder").alias("origin"))
     for df, origin in ((explicit, "explicit"), (legacy, "legacy")):
         if df is not None:
-            return df.select("path", F.lit(origin).alias("origin"))
+            return (label_filter(df) if label_filter else df).select("path", F.lit(origin).alias("origin"))
     raise ValueError("no tile source configured")
 
 
 def parse_spans(lines: DataFrame, column: str = "value") -> DataFrame:
     """Span rows from JSON lines; lines that are not JSON objects are dropped, missing durations are 0 and missing extras empty."""
     text = F.trim(column)
-    obj = F.from_json(text, SPAN_SCHEMA, {"mode": "PERMISSIVE"})
+    # durations are read as text, so that a quoted number counts as a number
+    obj = F.from_json(text, SPAN_SCHEMA.replace("duration_s double", "duration_s string"), {"mode": "PERMISSIVE"})
     # a malformed line parses to a struct of nulls; json_object_keys tells it from an empty object
     return (lines.filter(text.startswith("{")).filter(F.json_object_keys(text).isNotNull()).select(obj.alias("_s")).select("_s.*")
-            .withColumn("duration_s", F.coalesce("duration_s", F.lit(0.0)))
+            .withColumn("duration_s", F.coalesce(F.col("duration_s").try_cast("double"), F.lit(0.0)))
             .withColumn("kind", F.coalesce("kind", F.lit("")))
             .withColumn("extra", F.coalesce("extra", F.create_map().cast("map<string,string>"))))
 

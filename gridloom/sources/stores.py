@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tiling import PATCH, WINDOW
+from ..operators.tiling import WINDOW
 
 MOSAIC_SCHEMA = "gy int, gx int, v int, variant string, block_y int, block_x int"
 BLOCK = 512
@@ -76,9 +75,35 @@ def backup_union(path: str, backup: str, step: int, every: int, spark: SparkSess
 
 # ---- features -------------------------------------------------------------------------------------------------
 
+IMAGE_BUCKETS = 64
+
+
+def _merge_write(new: DataFrame, path: str, part: list[str], replaced: list[str]) -> None:
+    """Write `new` into a partitioned store: old rows of the touched partitions stay unless `new` has their `replaced` key.
+
+    The merged partitions are written to a scratch table first, since a job must not overwrite what it reads; repeating a call changes nothing.
+    """
+    from ..plans.scratch import StepTable
+
+    spark = new.sparkSession
+    fresh = StepTable(new.withColumn("image_bucket", F.pmod(F.xxhash64("image_id"), F.lit(IMAGE_BUCKETS)).cast("int")), "store-new")
+    rows, merged = fresh.df, None
+    if exists(spark, path):
+        old = spark.read.schema(fresh.df.schema).parquet(path)
+        kept = old.join(fresh.df.select(*part).distinct(), part, "left_semi").join(fresh.df.select(*replaced).distinct(), replaced, "left_anti")
+        merged = StepTable(fresh.df.unionByName(kept), "store")
+        rows = merged.df
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path)
+    fresh.drop()
+    if merged:
+        merged.drop()
+
+
 def write_features(df: DataFrame, path: str, spec_hash: str, ps: int, resample: int) -> None:
-    (df.withColumn("spec_hash", F.lit(spec_hash)).withColumn("ps", F.lit(ps)).withColumn("resample", F.lit(resample))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("spec_hash", "ps", "resample").parquet(path))
+    """Store rows by spec and image; of what is stored only the windows given again are replaced."""
+    spec = ["spec_hash", "ps", "resample"]
+    rows = df.withColumn("spec_hash", F.lit(spec_hash)).withColumn("ps", F.lit(ps)).withColumn("resample", F.lit(resample))
+    _merge_write(rows, path, [*spec, "image_bucket"], [*spec, "image_id", *WINDOW])
 
 
 def valid_features(store: DataFrame, spec_hash: str, ps: int, resample: int, expected: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -109,11 +134,13 @@ def consolidate(store: DataFrame, image: str = "image_id") -> DataFrame:
 
 # ---- banks ----------------------------------------------------------------------------------------------------
 
+# fixed values: what a stored bank depends on
 BANK_KEY = ["image_id", "ps", "context", "resample", "spec_hash"]
 
 
 def write_bank(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("spec_hash", "ps", "context", "resample").parquet(path))
+    """Store the banks of the images in `df` (BANK_KEY, vector columns); stale banks of the same images go, other images stay."""
+    _merge_write(df, path, ["image_bucket"], ["image_id"])
 
 
 def prune_banks(store: DataFrame, current: dict) -> DataFrame:
@@ -127,20 +154,17 @@ def prune_banks(store: DataFrame, current: dict) -> DataFrame:
 # ---- polygons and summaries -----------------------------------------------------------------------------------
 
 def append_polygons(df: DataFrame, path: str, start_id: int, order: list[Column]) -> int:
-    """Append numbered polygons; returns the next free id."""
+    """Append numbered polygons; returns the next free id. A repeated call with the same start replaces what it wrote before."""
     from ..operators.polygons import append_ids
 
     numbered, next_id = append_ids(df, start_id, order)
     if next_id > start_id:
-        numbered.write.mode("append").parquet(path)
+        numbered.write.mode("overwrite").parquet(f"{path}/start_id={start_id}")
     return next_id
 
 
 def count_features(spark: SparkSession, path: str) -> int:
-    try:
-        return spark.read.parquet(path).count()
-    except AnalysisException:
-        return 0
+    return spark.read.parquet(path).count() if exists(spark, path) else 0
 
 
 def write_summary(df: DataFrame, path: str, columns: list[str]) -> None:

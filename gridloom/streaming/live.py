@@ -17,14 +17,15 @@ def _run(writer, checkpoint: str) -> StreamingQuery:
 
 def stream_union(masks: DataFrame, offsets: DataFrame, mosaic: str, done_log: str, progress: str, checkpoint: str,
                  keys: list[str]) -> StreamingQuery:
-    """OR finished tiles (variant, keys, tile_path, y, x) into the mosaics, then log them, then record progress.
+    """OR mask cells (variant, keys, tile_path, y, x) into the mosaics, then log finished tiles, then record progress.
 
+    A tile is finished when its marker arrives, a row with null y and x after its cells; a tile with an empty mask has the marker alone.
     The order is fixed and each step may be repeated: the OR is idempotent and the log is read through a distinct.
     """
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         held = StepTable(batch, "masks")
-        append_union(place_on_mosaic(held.df, offsets, keys=keys), mosaic)
-        done = held.df.select("tile_path").distinct().withColumn("status", F.lit("done")).withColumn("batch_id", F.lit(batch_id))
+        append_union(place_on_mosaic(held.df.filter("y is not null"), offsets, keys=keys), mosaic)
+        done = held.df.filter("y is null").select("tile_path").distinct().withColumn("status", F.lit("done")).withColumn("batch_id", F.lit(batch_id))
         done.write.mode("overwrite").parquet(f"{done_log}/batch={batch_id}")
         done.agg(F.count(F.lit(1)).alias("tiles")).write.mode("overwrite").parquet(f"{progress}/batch={batch_id}")
         held.drop()

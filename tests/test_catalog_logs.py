@@ -167,3 +167,54 @@ def test_tile_sources(spark, tmp_path):
 
 def test_feature_count_of_a_missing_table(spark):
     assert stores.count_features(spark, scratch.new_path(spark, "none")) == 0
+
+
+def test_listing_stays_in_its_folder_and_resumes(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("a.tif", "b.tif", "sub/c.tif"):
+        (tmp_path / name).write_bytes(b"x")
+    listed = readers.list_tiles(spark, str(tmp_path)).select(F.col("path").alias("tile_path"))
+    assert [r[0] for r in listed.collect()] == [f"{tmp_path}/a.tif", f"{tmp_path}/b.tif"]
+    done = spark.createDataFrame([(f"{tmp_path}/a.tif", "done")], "tile_path string, status string")
+    assert [r[0] for r in listed.join(readers.finished(done), "tile_path", "left_anti").collect()] == [f"{tmp_path}/b.tif"]
+
+
+def test_lists_are_label_filtered_but_not_list_files(spark, tmp_path):
+    rows = spark.createDataFrame([("x",), ("y",)], "path string")
+    keep = lambda d: d.filter("path = 'x'")
+    for given in ({"explicit": rows}, {"legacy": rows}):
+        assert [r["path"] for r in readers.resolve_tiles(spark, label_filter=keep, **given).collect()] == ["x"]
+
+
+def test_quoted_duration_is_a_number(spark):
+    rows = readers.parse_spans(spark.createDataFrame([('{"stage": "s", "duration_s": "1.5"}',), ('{"stage": "t", "duration_s": 2}',)], "value string")).collect()
+    assert [r["duration_s"] for r in rows] == [1.5, 2.0]
+
+
+def test_stores_keep_other_images(spark, tmp_path):
+    from gridloom.sources import stores
+
+    def rows(*ids, v=0.0):
+        return spark.createDataFrame([(i, w, 0, 0, 0, v) for i in ids for w in (0, 16)], "image_id long, win_y int, win_x int, py int, px int, v double")
+
+    path = str(tmp_path / "features")
+    stores.write_features(rows(1), path, "s", 4, 1)
+    stores.write_features(rows(2), path, "s", 4, 1)
+    stores.write_features(rows(1, v=9.0).filter("win_y = 16"), path, "s", 4, 1)
+    got = sorted((r["image_id"], r["win_y"], r["v"]) for r in spark.read.parquet(path).collect())
+    assert got == [(1, 0, 0.0), (1, 16, 9.0), (2, 0, 0.0), (2, 16, 0.0)]
+    bank = str(tmp_path / "bank")
+    for i, spec in ((1, "a"), (2, "a"), (1, "b")):
+        key = spark.createDataFrame([(i, spec, 4, 0, 1, [1.0])], "image_id long, spec_hash string, ps int, context int, resample int, vec array<double>")
+        stores.write_bank(key, bank)
+    assert sorted((r["image_id"], r["spec_hash"]) for r in spark.read.parquet(bank).collect()) == [(1, "b"), (2, "a")]
+
+
+def test_appending_polygons_again_changes_nothing(spark, tmp_path):
+    from gridloom.sources import stores
+
+    path = str(tmp_path / "polygons")
+    rows = spark.createDataFrame([(1,), (2,)], "k int")
+    for start in (10, 12, 12):
+        stores.append_polygons(rows, path, start, [F.col("k")])
+    assert sorted(r["geom_id"] for r in spark.read.parquet(path).collect()) == [10, 11, 12, 13] and stores.count_features(spark, path + "-none") == 0

@@ -170,3 +170,11 @@ def test_bank_skips_tiles_without_positives(spark):
     assert {(r["tile_id"], r["polarity"]) for r in banks.build_bank(f, labels).collect()} == {(0, "pos"), (0, "neg")}
     assert banks.training_rows(f, labels).count() == 3
     assert tiles(spark, (1, 1)).count() == 1
+
+
+def test_unknown_tree_parameters_are_errors(spark):
+    from gridloom.operators import boosting
+
+    with pytest.raises(ValueError, match="max_dept"):
+        boosting.classifier({"max_dept": 3}, 1)
+    boosting.classifier({"max_depth": 3, "reg_alpha": 1.0}, 1)

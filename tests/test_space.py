@@ -176,3 +176,11 @@ def test_raster_errors(spark):
         spatial.build_raster(geom_df(spark, box(0, 0, 1, 1)), bounds, 0, 4.0)
     with pytest.raises(ValueError):
         spatial.build_raster(geom_df(spark, box(0, 0, 1, 1)).filter("geom_id > 5"), bounds, 1.0, 4.0)
+
+
+def test_holes_count_against_the_area(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    hole = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]
+    for rings in ([square, hole], [square, hole[::-1]], [hole, square[::-1]]):
+        df = spark.createDataFrame([(rings,)], "rings array<array<struct<x: double, y: double>>>")
+        assert df.select(spatial.ring_area_sum(spatial.oriented(F.col("rings")))).first()[0] == 12.0
