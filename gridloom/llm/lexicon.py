@@ -158,7 +158,7 @@ class LexiconEncoder(Encoder):
                 at = self.store.add(ragged(lex.ids, begin, end - begin), end - begin)
                 names = [pieces[i] for i in found]
                 known.update(zip(names, range(at, at + len(names)), strict=True))
-                self.mark(at, [p[0].isspace() for p in names], [p[-1].isspace() for p in names])
+                self.mark(at, names, True)
             pieces = [pieces[i] for i in np.flatnonzero(rank < 0)]
         if pieces:
             super().learn(known, pieces, prefix)

@@ -68,6 +68,7 @@ class Encoder:
         self.library, self.most = load(file), most
         self.spaced = '"type":"Lowercase"' not in self.library.to_str().replace(" ", "")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        (self.apart,) = self.library.encode(self.special[-1] if self.spaced else "\x01", add_special_tokens=False).ids
         self.store, self.first, self.later = Store(), {}, {}
         self.begins_white, self.ends_white, self.uses = (np.zeros(1 << 14, k) for k in (bool, bool, np.int64))
 
@@ -87,39 +88,48 @@ class Encoder:
 
     def learn(self, known: dict[str, int], pieces: list[str], prefix: str) -> None:
         """Add pieces; points after a letter are split off, as both tokenizers do, so that a word is merged once whatever follows it."""
-        parts = []
+        plain, pointed = [], []
         for p in pieces:
             core = p.rstrip(_POINTS)
-            parts.append((core, p[len(core):]) if core != p and core and core[-1].isalpha() else (p, ""))
-        ends = sorted({t for _, t in parts if t and t not in self.first})
-        cores = sorted({c for c, _ in parts if c not in known})
-        for names, held, before in ((ends, self.first, ""), (cores, known, prefix)):
+            if len(core) == len(p) or not core or not core[-1].isalpha():
+                plain.append(p)
+            else:
+                pointed.append((p, core))
+        plain += [c for c in dict.fromkeys(c for _, c in pointed) if c not in known]
+        ends = dict.fromkeys(p[len(c):] for p, c in pointed)
+        for names, held, before in (([t for t in ends if t not in self.first], self.first, ""), (list(dict.fromkeys(plain)), known, prefix)):
             if names:
                 at = self.store.add(*self.encode([before + c for c in names]))
                 held.update(zip(names, range(at, at + len(names)), strict=True))
-                self.mark(at, [not p or p[0].isspace() for p in names], [bool(p) and p[-1].isspace() or bool(before) and not p for p in names])
-        joined = [(p, known[c], self.first[t]) for p, (c, t) in zip(pieces, parts, strict=True) if t]
-        if joined:
-            numbers = np.array([(c, t) for _, c, t in joined], np.int64)
+                self.mark(at, names, bool(before))
+        if pointed:
+            numbers = np.array([(known[c], self.first[p[len(c):]]) for p, c in pointed], np.int64)
             at = self.store.add(self.store.ids(numbers.reshape(-1)), self.store.length[numbers].sum(1))
-            known.update(zip((p for p, _, _ in joined), range(at, at + len(joined)), strict=True))
-            self.mark(at, [p[0].isspace() for p, _, _ in joined], [False] * len(joined))
+            names = [p for p, _ in pointed]
+            known.update(zip(names, range(at, at + len(names)), strict=True))
+            self.mark(at, names, bool(prefix))
 
-    def mark(self, at: int, begins: list[bool], ends: list[bool]) -> None:
+    def mark(self, at: int, names: list[str], spaced: bool) -> None:
+        """Which pieces begin or end with white space; an empty piece after a space ends with it."""
         while len(self.begins_white) < self.store.count:
             self.begins_white, self.ends_white, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins_white, self.ends_white, self.uses))
-        self.begins_white[at:at + len(begins)], self.ends_white[at:at + len(ends)] = begins, ends
-
-    def encode(self, texts: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Ids by the library, one text after another, and their numbers; short texts go together, apart by a special token."""
+        self.begins_white[at:at + len(names)] = self.ends_white[at:at + len(names)] = False
+        for k in [k for k, p in enumerate(names) if not p or p[0].isspace() or p[-1].isspace()]:
+            p = names[k]
+            self.begins_white[at + k] = not p or p[0].isspace()
+            self.ends_white[at + k] = p[-1].isspace() if p else spaced
+
+    def encode(self, texts: list[str], together: int = 16) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by the library, one text after another, and their numbers; short texts go together, apart by what has one id of its own."""
         run = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        apart = self.special[-1]
-        if len(texts) < 8 or any("<|" in t for t in texts):
+        whole = "".join(texts) if len(texts) >= 8 else "<|"
+        if "<|" in whole or "\x01" in whole:
             found = [np.array(e.ids, np.uint32) for e in run(texts, add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+        apart = self.special[-1] if self.spaced else " \x01 "
         made = run([apart.join(texts[i:i + together]) + apart for i in range(0, len(texts), together)], add_special_tokens=False)
         flat = np.concatenate([np.array(e.ids, np.uint32) for e in made])
-        ends = np.flatnonzero(flat == self.library.token_to_id(apart))
+        ends = np.flatnonzero(flat == self.apart)
         return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +155,7 @@ class Encoder:
                 missing = missing[~first[missing]]
             if len(missing):
                 new = [pieces[i] for i in missing]
-                self.learn(known, sorted(set(new)), before)
+                self.learn(known, list(dict.fromkeys(new)), before)
                 number[missing] = [known[p] for p in new]
         whole = np.zeros(len(texts), bool)
         if self.spaced and len(pieces) > 1:
@@ -159,7 +169,7 @@ class Encoder:
         if whole.any():
             odd, keep = np.flatnonzero(whole), ~np.repeat(whole, sizes)
             extra = self.store.add(*self.encode([texts[i] for i in odd]))
-            self.mark(extra, [False] * len(odd), [False] * len(odd))
+            self.mark(extra, ["x"] * len(odd), False)
             number = np.insert(number[keep], starts(np.where(whole, 0, sizes))[odd], extra + np.arange(len(odd)))
             sizes = np.where(whole, 1, sizes)
         total = np.concatenate([[0], np.cumsum(self.store.length[number])])
