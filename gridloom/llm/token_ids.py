@@ -64,7 +64,7 @@ class Encoder:
     Pieces are remembered up to `most`; then the half used more often stays.
     """
 
-    def __init__(self, file: str, most: int = 500_000):
+    def __init__(self, file: str, most: int = 800_000):
         self.library, self.most = load(file), most
         self.spaced = '"type":"Lowercase"' not in self.library.to_str().replace(" ", "")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
