@@ -1,9 +1,8 @@
 """Exact top-k dot-product neighbours against a bank, and the scores built on them.
 
-A bank whose measured size fits a fixed budget is shipped once to every executor and each Arrow batch of queries is
-multiplied with it, so queries are not shuffled. Beyond the budget, bank and queries are cut into blocks of
-bounded row counts and each (query block, bank block) pair is one task group: a matrix product that returns only k rows per
-query. Partial lists are merged by a rank filter. No pair of rows is ever materialised.
+Bank and queries are cut into blocks and each (query block, bank block) pair is one task group: a matrix product that returns only
+k rows per query. Partial lists are merged by a rank filter. No pair of rows is ever materialised and nothing passes through the driver. Block sizes are
+chosen by bytes; a row's products are added in one order whatever the blocks are, so block sizes do not change the result.
 """
 
 from __future__ import annotations
@@ -17,9 +16,8 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
 
-# budget of a bank sent whole to the executors, and of one block of vectors otherwise
-BANK_BYTES = 256 << 20
-BLOCK_BYTES = 32 << 20
+# one block of vectors
+BLOCK_BYTES = 64 << 20
 
 
 def _best(q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -28,7 +26,8 @@ def _best(q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.nda
     k = min(k, len(ids))
     chunk = max(16, (8 << 20) // len(ids))  # at most about 64 MB of similarities at a time
     for start in range(0, len(q), chunk):
-        s = q[start:start + chunk] @ b.T
+        # einsum adds a row's products in one order whatever the block shapes, so near-ties rank alike
+        s = np.einsum("ij,kj->ik", q[start:start + chunk], b)
         kth = -np.partition(-s, k - 1, axis=1)[:, k - 1:k]
         r, c = np.nonzero(s >= kth)
         order = np.lexsort((ids[c], -s[r, c], r))
@@ -49,21 +48,6 @@ def _frame(ids, r, found, sims) -> pd.DataFrame:
     return pd.DataFrame({"query_id": np.asarray(ids)[r], "bank_id": found, "sim": sims})
 
 
-def _partial_broadcast(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
-    pdf = bank.toPandas()  # bounded: the caller measured the bank
-    if pdf.empty:
-        return queries.sparkSession.createDataFrame([], _OUT)
-    held = queries.sparkSession.sparkContext.broadcast((pdf["vec_id"].to_numpy(), _matrix(pdf["vec"])))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, mat = held.value
-        for batch in batches:
-            if len(batch):
-                yield _frame(batch["vec_id"], *_best(_matrix(batch["vec"]), mat, ids, k))
-
-    return queries.select("vec_id", "vec").mapInPandas(score, _OUT)
-
-
 _OUT = "query_id bigint, bank_id bigint, sim double"
 
 
@@ -84,16 +68,15 @@ def _partial_blocks(queries: DataFrame, bank: DataFrame, n_queries: int, n_bank:
     return q.select(*cols).unionByName(b.select(*cols)).groupBy("qb", "bb").applyInPandas(score, _OUT)
 
 
-def topk(queries: DataFrame, bank: DataFrame, k: int, budget: int = BANK_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def topk(queries: DataFrame, bank: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, bank_id, sim) with min(k, bank rows) neighbours; both inputs have (vec_id BIGINT, vec ARRAY)."""
     queries = queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), "vec")
     bank = cut(bank.select(F.col("vec_id").cast("bigint").alias("vec_id"), "vec"), "bank")
     size = bank.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vec").cast("bigint") * 8 + 16).alias("bytes")).first()
-    if (size["bytes"] or 0) <= budget:
-        part = _partial_broadcast(queries, bank, k)
-    else:
-        rows = max(1, block_bytes // (size["bytes"] // size["n"]))
-        part = _partial_blocks(queries, bank, queries.count(), size["n"], k, rows)
+    if not size["n"]:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, bank_id bigint, sim double")
+    rows = max(1, block_bytes // (size["bytes"] // size["n"]))
+    part = _partial_blocks(queries, bank, queries.count(), size["n"], k, rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "bank_id")
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "bank_id", "sim")
 

@@ -42,7 +42,7 @@ def adjusted_score(ctx: DataFrame, cfg: ChainConfig) -> DataFrame:
 def infer_tiles(ctx: DataFrame, tiles: DataFrame, cfg: ChainConfig, keys: list[str] = TILE, preview: bool = False) -> DataFrame:
     """Masks of every tile in long form: variant raw, crf, shadow, shadow_with_proposals.
 
-    `ctx` is the dense tile context with score, r, g, b and booleans label, buffer, road. `preview` keeps the masks unclipped.
+    `ctx` is the dense tile context with score, r, g, b and booleans label, buffer, road. `preview` keeps the masks unclipped, but for a `crf` variant without refinement.
     """
     cell = [*keys, "y", "x"]
     ctx = cut(adjusted_score(ctx, cfg), "context")
@@ -62,6 +62,8 @@ def infer_tiles(ctx: DataFrame, tiles: DataFrame, cfg: ChainConfig, keys: list[s
         return df.select(F.lit(name).alias("variant"), *cell)
 
     if preview:
+        if cfg.crf is None:  # without refinement the preview falls back to the active mask, which is clipped
+            refined = refine.stream_mask(ctx, F.col("score"), cfg.threshold, tiles, ctx.filter("buffer").select(*cell), cfg.fill_holes, keys)
         return named(raw, "raw").unionByName(named(refined, "crf"))
     keep = scores.bright_enough(cfg.shadow_weights, cfg.shadow_threshold, F.col("r"), F.col("g"), F.col("b"), F.col("score"), cfg.protect)
     shadow = cut(ctx.filter(keep).select(*cell).join(refined, cell, "left_semi"), "shadow")

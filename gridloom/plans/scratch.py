@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+_OWNED: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside are deleted at the end; write the result before it."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.pop():
+            delete(spark, path)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -49,6 +73,4 @@ class StepTable:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete(self.spark, self.path)

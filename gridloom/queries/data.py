@@ -59,7 +59,7 @@ def dense(spark: SparkSession, d: str) -> DataFrame:
 def rects(spark: SparkSession, d: str) -> DataFrame:
     """Rectangles in tile cells: a label per part, ground truth for the larger parts, a road per supplier."""
     p, k, z = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
-    base = p.select(k.alias("geom_id"), F.floor(k / 20).cast("int").alias("tile_id"), (k * 7 % 32).cast("int").alias("x0"),
+    base = p.select(k.alias("geom_id"), F.greatest(F.floor(k / 20), F.lit(1)).cast("int").alias("tile_id"), (k * 7 % 32).cast("int").alias("x0"),
                     (k * 13 % 32).cast("int").alias("y0"), (1 + z % 5).cast("int").alias("w"), (1 + z * 3 % 4).cast("int").alias("h"), z.alias("size"))
     cols = ["geom_id", "tile_id", "x0", "y0", "w", "h"]
     label = base.select(F.lit("label").alias("layer"), *cols)
@@ -173,9 +173,9 @@ CTES: dict[str, str] = {
         WHERE yy < height AND xx < width""",
     "dense": """SELECT g1.tile_id, g1.y, g1.x, COALESCE(r, 0) AS r, COALESCE(g, 0) AS g, COALESCE(b, 0) AS b, COALESCE(score, 0) AS score, height, width
         FROM grid g1 LEFT JOIN cells c ON c.tile_id = g1.tile_id AND c.y = g1.y AND c.x = g1.x""",
-    "rects": """SELECT 'label' AS layer, p_partkey AS geom_id, CAST(p_partkey // 20 AS INT) AS tile_id, CAST(p_partkey * 7 % 32 AS INT) AS x0,
+    "rects": """SELECT 'label' AS layer, p_partkey AS geom_id, CAST(greatest(p_partkey // 20, 1) AS INT) AS tile_id, CAST(p_partkey * 7 % 32 AS INT) AS x0,
         CAST(p_partkey * 13 % 32 AS INT) AS y0, 1 + p_size % 5 AS w, 1 + p_size * 3 % 4 AS h FROM part
-        UNION ALL SELECT 'gt', p_partkey, CAST(p_partkey // 20 AS INT), CAST(p_partkey * 7 % 32 + 1 AS INT), CAST(p_partkey * 13 % 32 + 1 AS INT),
+        UNION ALL SELECT 'gt', p_partkey, CAST(greatest(p_partkey // 20, 1) AS INT), CAST(p_partkey * 7 % 32 + 1 AS INT), CAST(p_partkey * 13 % 32 + 1 AS INT),
         1 + p_size % 5, 1 + p_size * 3 % 4 FROM part WHERE p_size > 25
         UNION ALL SELECT 'road', s_suppkey, CAST(s_suppkey AS INT), 0, CAST(s_suppkey * 11 % 32 AS INT), 32, 1 FROM supplier""",
     "burnt": """SELECT DISTINCT layer, g1.tile_id, g1.y, g1.x FROM rects r JOIN grid g1 ON g1.tile_id = r.tile_id

@@ -73,7 +73,7 @@ def _(spark, d):
     return chain.infer_tiles(context(spark, d), tiles(spark, d), cfg).groupBy("variant").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("REF-04", f"SELECT 'raw' AS variant, * FROM ({STREAM.format(clip='SELECT tile_id, y, x FROM med', end='')}) UNION ALL SELECT 'crf', * FROM ({STREAM.format(clip='SELECT tile_id, y, x FROM med', end='')})")
+@query("REF-04", f"SELECT 'raw' AS variant, * FROM ({STREAM.format(clip='SELECT tile_id, y, x FROM med', end='')}) UNION ALL SELECT 'crf', * FROM ({STREAM.format(clip='SELECT tile_id, y, x FROM med SEMI JOIN buffer_mask USING (tile_id, y, x)', end='SEMI JOIN buffer_mask USING (tile_id, y, x)')})")
 def _(spark, d):
     cfg = chain.ChainConfig(threshold=0.35, penalty=1.0)
     return chain.infer_tiles(context(spark, d), tiles(spark, d), cfg, preview=True)

@@ -20,7 +20,7 @@ def _(spark, d):
     return spatial.rasterize(g, tiles(spark, d), True, 32.0)
 
 
-TRI = """(SELECT p_partkey AS geom_id, p_partkey // 20 % 10 * 24 + p_partkey * 7 % 32 + 0.125 AS ax, p_partkey // 200 * -24 - p_partkey * 13 % 32 - 0.375 AS ay,
+TRI = """(SELECT p_partkey AS geom_id, greatest(p_partkey // 20, 1) % 10 * 24 + p_partkey * 7 % 32 + 0.125 AS ax, greatest(p_partkey // 20, 1) // 10 * -24 - p_partkey * 13 % 32 - 0.375 AS ay,
     1 + p_size % 5 AS w, 1 + p_size * 3 % 4 AS h FROM part)"""
 
 

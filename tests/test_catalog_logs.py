@@ -218,3 +218,15 @@ def test_appending_polygons_again_changes_nothing(spark, tmp_path):
     for start in (10, 12, 12):
         stores.append_polygons(rows, path, start, [F.col("k")])
     assert sorted(r["geom_id"] for r in spark.read.parquet(path).collect()) == [10, 11, 12, 13] and stores.count_features(spark, path + "-none") == 0
+
+
+def test_owned_scratch_tables_go(spark):
+    import os
+
+    from gridloom.plans.scratch import cut, owned
+
+    with owned(spark):
+        df = cut(spark.range(3), "mine")
+        path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert df.count() == 3 and os.path.isdir(path)
+    assert not os.path.exists(path)

@@ -25,7 +25,7 @@ def test_blocks_equal_broadcast_and_brute_force(spark, k):
     rng = np.random.default_rng(k)
     q, b = rng.integers(-3, 4, (30, 5)), rng.integers(-3, 4, (40, 5))  # integers give many equal similarities
     whole = knn.topk(vec_df(spark, q), vec_df(spark, b, 100), k).collect()
-    parts = knn.topk(vec_df(spark, q), vec_df(spark, b, 100), k, budget=0, block_bytes=7 * 56).collect()
+    parts = knn.topk(vec_df(spark, q), vec_df(spark, b, 100), k, block_bytes=7 * 56).collect()
     sims = q @ b.T
     want = {(i, r + 1, 100 + j, float(sims[i, j])) for i in range(30) for r, j in enumerate(sorted(range(40), key=lambda j: (-sims[i, j], j))[:k])}
     assert {tuple(r) for r in whole} == want == {tuple(r) for r in parts}
