@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
-from .common import U64, batch_of, looked_up, mix, slices, starts, texts, with_columns, word_hashes
+from .common import U64, batch_of, looked_up, mix, slices, texts, with_columns, word_hashes
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Memo, batch_of, looked_up, mix, slices, starts, texts, with_columns
+from .common import U64, Memo, batch_of, mix, slices, starts, texts, with_columns
 
 _WS = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
