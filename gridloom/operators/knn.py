@@ -7,8 +7,6 @@ chosen by bytes; a row's products are added in one order whatever the blocks are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window

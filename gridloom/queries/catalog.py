@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog
-from .data import buffer, done_log, geoms, mask, part_catalog, query, table, tiles
+from .data import buffer, done_log, geoms, mask, part_catalog, query, tiles
 from .sources import GRID, label_raster
 
 KEEP = """EXISTS (SELECT 1 FROM part WHERE p_size % 3 > 0 AND p_partkey % 50 * 2 + 1 >= "left" AND p_partkey % 50 * 2 + 1 < "left" + width

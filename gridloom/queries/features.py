@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import extractors, vectors
 from ..operators import features
 from ..sources import stores
-from .data import PS, SIZE, STRIDE, grid_patches, placed, placed01, query, r6, table, tiles, vecs
+from .data import PS, SIZE, STRIDE, placed01, query, r6, tiles, vecs
 from ..operators.tiling import windows
 from .masks import GRADIENT, LBP
 from .scalars import HSV, SAT

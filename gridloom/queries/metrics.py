@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import knn, metrics, refine, tuning
-from .data import THRESHOLDS, buffer, context, dense, grid_patches, mask, query, r6, tiles, vecs
+from ..operators import knn, metrics, tuning
+from .data import THRESHOLDS, context, mask, query, r6, tiles, vecs
 from .models import POS
 
 CELL = ["tile_id", "y", "x"]

@@ -9,7 +9,7 @@ from ..operators import banks, boosting, knn
 from ..operators.tiling import windows
 from ..plans.scratch import new_path
 from ..sources import stores
-from .data import PS, SIZE, STRIDE, THRESHOLDS, context, dense, grid_patches, mask, placed, query, r6, tiles, vecs
+from .data import PS, SIZE, STRIDE, THRESHOLDS, context, dense, mask, placed, query, r6, tiles, vecs
 
 KEY = ["tile_id", "win_y", "win_x", "py", "px"]
 KEYS = "tile_id, win_y, win_x, py, px"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import color, scores
 from ..operators import features
 from ..operators.focal import dilate
-from .data import buffer, context, dense, mask, part_catalog, placed, query, r6, table, tiles
+from .data import context, dense, mask, part_catalog, placed, query, r6, table, tiles
 from .masks import GRADIENT, placed01
 
 CELL = ["tile_id", "y", "x"]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scores
+
 from ..operators import spatial
-from .data import RADIUS, buffer, cells, geoms, mask, query, r6, rects, table, tiles, triangles
+from .data import geoms, mask, query, r6, table, tiles, triangles
 
 BOX = """t."left" < {x1} AND t."left" + t.width > {x0} AND t.top > {y0} AND t.top - t.height < {y1}"""
 
