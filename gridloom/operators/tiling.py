@@ -26,7 +26,7 @@ def dense_cells(tiles: DataFrame, keys: list[str] = TILE) -> DataFrame:
     most of the cells. The partition number is explicit so that the small rows are not merged back into one task.
     """
     spark = tiles.sparkSession
-    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = tiles.filter("height > 0 and width > 0").select(
         *keys, "width", F.explode(F.sequence(F.lit(0), (F.col("height") - 1).cast("int"))).alias("y")).repartition(n, *keys, "y")
     return rows.select(*keys, "y", F.explode(F.sequence(F.lit(0), (F.col("width") - 1).cast("int"))).alias("x"))

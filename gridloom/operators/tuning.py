@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -81,10 +82,13 @@ def tune_shadow(cells: DataFrame, weight_sets, thresholds: list[float], protects
     return first_best(mean, "iou", ["w_ord", "thr_idx", "p_ord"])
 
 
-def crf_candidates(values: dict[str, list], max_configs: int) -> list[dict]:
-    """Cartesian grid in nested order (softness, band, position, bilateral parameters), cut to the first `max_configs`."""
+def crf_candidates(values: dict[str, list], max_configs: int | None = None) -> list[dict]:
+    """Cartesian grid in nested order (softness, band, position, bilateral parameters); with `max_configs` the first ones, and a warning that says how many go."""
     names = ["prob_softness", "trimap_band", *KERNEL_PARAMS]
-    return [dict(zip(names, combo)) for combo in product(*[values[n] for n in names])][:max_configs]
+    found = [dict(zip(names, combo)) for combo in product(*[values[n] for n in names])]
+    if max_configs is not None and len(found) > max_configs:
+        warnings.warn(f"{len(found) - max_configs} of {len(found)} settings are left out", stacklevel=2)
+    return found[:max_configs]
 
 
 def crf_grid(cells: DataFrame, tiles: DataFrame, configs: list[dict], center: float, weights: DataFrame, steps: int = 5,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from ..operators import spatial
 from .data import geoms, mask, query, r6, table, tiles, triangles
 
