@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch are handled in slices of at most this many bytes of text (one longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 U64 = np.uint64
 
 
@@ -90,7 +90,7 @@ class Memo(dict):
 
 def word_hashes() -> Memo:
     """64-bit hash of a word's bytes; equal words have equal hashes, and 64 bits make other cases negligible."""
-    return Memo(xxhash.xxh3_64_intdigest)
+    return Memo(xxhash.xxh3_64_intdigest, 50_000)
 
 
 def looked_up(memo: dict, keys: list, kind) -> np.ndarray:
@@ -135,5 +135,6 @@ def with_columns(df: DataFrame, added: str, values: Callable[[pa.RecordBatch], l
                 given = pa.RecordBatch.from_arrays([part.column(f"__in_{n}") for n in names], names=names)
                 made = values(given)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]], names=[*kept, *new.names])
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks
 
     return inner.mapInArrow(run, schema)

@@ -49,6 +49,7 @@ class Settings:
     hot: int = 16
     crowd: int = 64
     block: int = 256
+    slice_bytes: int = 4 << 20
 
 
 def shingle_sets(bodies: list[bytes], memo, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def _read(docs: DataFrame, parts: int, s: Settings) -> DataFrame:
         schema, memo = pa.schema(_KINDS), word_hashes()
         chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=s.slice_bytes):
                 h, d = shingle_sets(texts(piece.column("text")), memo, s.words)
                 part = ((h >> U64(32)) * U64(parts) >> U64(32)).astype(np.uint16)
                 n = np.bincount(d, minlength=piece.num_rows).astype("<i4")

@@ -34,6 +34,7 @@ class Plan:
     quadratic: float = 1.0 / 1024
     tries: int = 8  # sequences of lowest cost that are asked for room before a piece is cut
     group_tokens: int = 1 << 21
+    memo: int = 800_000  # pieces whose ids a worker remembers; less memory, more work
 
 
 def capacities(total: int, capacity: int) -> list[int]:
@@ -81,7 +82,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, plan: Plan = Plan(), ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()),
                             ("offset", pa.int64()), ("capacity", pa.int64()), ("cost", pa.float64()), ("ids", pa.list_(pa.int32()))])
-        encoder, keys, held, size = encoder_of(tokenizer), [], [], 0
+        encoder, keys, held, size = encoder_of(tokenizer, plan.memo), [], [], 0
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
 
         def emit() -> pa.RecordBatch:

@@ -177,11 +177,11 @@ class Encoder:
         return self.store.ids(number), total[at[1:]] - total[at[:-1]]
 
 
-_HELD: dict[str, Encoder] = {}
+_HELD: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(file: str) -> Encoder:
+def encoder(file: str, most: int = 800_000) -> Encoder:
     """One encoder for each Python worker, so that what one task has learned serves the next; results do not depend on it."""
-    if file not in _HELD:
-        _HELD[file] = Encoder(file)
-    return _HELD[file]
+    if (file, most) not in _HELD:
+        _HELD[file, most] = Encoder(file, most)
+    return _HELD[file, most]

@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", most: int = 3, at_l
     """`docs` with `score`, and `offending`: up to `most` sentences (number and score) of at least `at_least`, worst first; `prefix` stands before the new names."""
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)  # 2^bits numbers, a parameter
     bias, fit = model.bias, model.fit
-    weight = Memo(lambda w: float(weights.value[_parts(w, fit)].sum()), 300_000)
+    weight = Memo(lambda w: float(weights.value[_parts(w, fit)].sum()), 150_000)
 
     def values(part: pa.RecordBatch) -> list:
         bags = [sentences(t) for t in texts(part.column("text"))]
