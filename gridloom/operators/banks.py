@@ -31,12 +31,12 @@ def build_bank(features: DataFrame, labels: DataFrame, keys: list[str] = TILE) -
 
 
 def cap_sample(df: DataFrame, n: int, seed: int, by: list[str], key: list[str]) -> DataFrame:
-    """Exactly min(n, group size) rows per group without replacement, in seeded hash order.
+    """Exactly min(n, group size) rows per group without replacement, in the order of a seeded digest, which any engine can repeat.
 
     For a small n the rank filter lets every task drop all but n rows per group before the shuffle. A large n would sort a whole
     group in one task, so there the ranks come from a range-partitioned order.
     """
-    order = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
+    order = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
     if n > RANK_LIMIT:
         hashed = df.withColumn("_h", order)
         return group_ordinal(hashed, by, [F.col("_h"), *[F.col(c) for c in key]], "_rn").filter(F.col("_rn") <= n).drop("_rn", "_h")

@@ -35,12 +35,12 @@ def _(spark, d):
     return bank.select(*KEY, "polarity", F.round(F.col("vec")[0], 6).alias("v0"), F.round(F.col("vec")[1], 6).alias("v1"))
 
 
-@query("MOD-02", f"SELECT tile_id, polarity, least(n, CASE polarity WHEN 'pos' THEN 5 ELSE 20 END) AS n FROM (SELECT tile_id, kind AS polarity, COUNT(*) AS n FROM {PATCH} WHERE kind IS NOT NULL AND tile_id IN (SELECT tile_id FROM {PATCH} q WHERE kind = 'pos') GROUP BY 1, 2)")
+@query("MOD-02", f"""SELECT {KEYS}, kind AS polarity FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, kind ORDER BY md5(concat_ws('|', {KEYS}, 42)), {KEYS}) AS rn FROM {PATCH} p
+    WHERE kind IS NOT NULL AND tile_id IN (SELECT tile_id FROM {PATCH} q WHERE kind = 'pos')) WHERE rn <= CASE kind WHEN 'pos' THEN 5 ELSE 20 END""")
 def _(spark, d):
-    """Sizes of the capped groups: which rows are drawn depends on the hash, how many does not."""
     bank = banks.build_bank(patch_vecs(spark, d), patch_kinds(spark, d))
     capped = banks.combine_sources([bank], {"pos": 5, "neg": 20}, 42, ["tile_id"], KEY)
-    return capped.groupBy("tile_id", "polarity").agg(F.count(F.lit(1)).alias("n"))
+    return capped.select(*KEY, "polarity")
 
 
 @query("MOD-03", f"""WITH b AS (SELECT {KEYS}, kind AS polarity, rm FROM {PATCH} p WHERE kind IS NOT NULL AND tile_id IN (SELECT tile_id FROM {PATCH} q WHERE kind = 'pos'))
@@ -96,19 +96,24 @@ def train_rows(spark, d):
     return vecs(spark, d).select("vec_id", "vec", (F.col("label") < 5).cast("double").alias("y"))
 
 
-@query("MOD-08")
+@query("MOD-08", "SELECT COUNT(*) AS n, true AS beats_the_prior FROM vecs")
 def _(spark, d):
+    """Facts about a fitted model: every row is scored, and the loss is below that of the constant share."""
     rows = train_rows(spark, d)
     model = boosting.train(rows, {"max_depth": 3, "eta": 0.3}, 8)
     scored = boosting.score_patches(model, rows)
-    return scored.agg(F.count(F.lit(1)).alias("n"), boosting.log_loss(F.col("y"), F.col("score")).alias("loss"))
+    share = rows.agg(F.avg("y")).first()[0]
+    return scored.agg(F.count(F.lit(1)).alias("n"), (boosting.log_loss(F.col("y"), F.col("score")) < boosting.prior_loss(share)).alias("beats_the_prior"))
 
 
-@query("MOD-09")
+@query("MOD-09", """SELECT CAST(i AS INT) AS i, CAST(i + 2 AS INT) AS max_depth, true AS positive_loss, true AS first_lowest_is_best FROM (SELECT unnest(range(2)) AS i FROM (SELECT COUNT(*) FROM vecs))""")
 def _(spark, d):
+    """Facts about a search: every setting is tried, and the first one of lowest loss is the best."""
     params = boosting.grid({"max_depth": [2, 3], "eta": [0.3]})
     _, best, losses = boosting.search_logloss(train_rows(spark, d), params, 6, 0.3, 42, ["vec_id"])
-    return spark.createDataFrame([(i, p["max_depth"], loss, p == best) for i, (p, loss) in enumerate(zip(params, losses))], "i int, max_depth int, loss double, best boolean")
+    first = params[losses.index(min(losses))]
+    return spark.createDataFrame([(i, p["max_depth"], loss > 0, (p == best) == (p == first)) for i, (p, loss) in enumerate(zip(params, losses))],
+                                 "i int, max_depth int, positive_loss boolean, first_lowest_is_best boolean")
 
 
 @query("MOD-10")
@@ -119,10 +124,11 @@ def _(spark, d):
     return spark.createDataFrame([(best["max_depth"], row["threshold"], row["iou"])], "max_depth int, threshold double, iou double")
 
 
-@query("MOD-11")
+@query("MOD-11", "SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(label < 5 AS DOUBLE) AS y, true AS in_unit FROM vecs")
 def _(spark, d):
+    """One probability for every row."""
     rows = train_rows(spark, d)
-    return boosting.score_patches(boosting.train(rows, {"max_depth": 3}, 5), rows).select("vec_id", "y", *r6("score"))
+    return boosting.score_patches(boosting.train(rows, {"max_depth": 3}, 5), rows).select("vec_id", "y", F.col("score").between(0.0, 1.0).alias("in_unit"))
 
 
 MIRROR = "CASE WHEN {i} < 0 THEN least(-({i}), {n} - 1) WHEN {i} >= {n} THEN greatest(2 * {n} - 2 - ({i}), 0) ELSE {i} END"
@@ -173,11 +179,13 @@ def _(spark, d):
     return boosting.score_guard(a, b, 0.5).select("tile_id", *r6("mean_abs_diff", "max_abs_diff"), "same_mask", "all_close", "mismatch")
 
 
-@query("SNK-13")
+@query("SNK-13", "SELECT CAST(vec_id AS BIGINT) AS vec_id, true AS same, CAST(0.5 AS DOUBLE) AS threshold FROM vecs")
 def _(spark, d):
+    """Scores of the loaded model equal those of the saved one, row by row."""
     rows = train_rows(spark, d)
-    path = new_path(spark, "bundle")
-    stores.save_bundle(PipelineModel([boosting.train(rows, {"max_depth": 2}, 3)]), {"threshold": 0.5, "k": -1}, path, spark)
+    path, fitted = new_path(spark, "bundle"), boosting.train(rows, {"max_depth": 2}, 3)
+    stores.save_bundle(PipelineModel([fitted]), {"threshold": 0.5, "k": -1}, path, spark)
     model, settings = stores.load_bundle(path, spark)
-    scored = boosting.score_patches(model.stages[0], rows)
-    return scored.select("vec_id", *r6("score"), F.lit(settings["threshold"]).alias("threshold"))
+    before = boosting.score_patches(fitted, rows).select("vec_id", F.col("score").alias("before"))
+    scored = boosting.score_patches(model.stages[0], rows).join(before, "vec_id")
+    return scored.select("vec_id", (F.col("score") == F.col("before")).alias("same"), F.lit(settings["threshold"]).alias("threshold"))
