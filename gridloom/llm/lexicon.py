@@ -42,7 +42,7 @@ def frequent(docs: DataFrame, n: int, text: str = "text") -> list[str]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("piece", pa.string()), ("n", pa.int64())])
         for batch in batches:
-            for part in slices(batch, most=32 << 20):
+            for part in slices(batch, most=16 << 20):
                 held: dict[str, int] = {}
                 for t in part.column("text").to_pylist():
                     for p in (t or "").split(" ")[1:]:
