@@ -48,7 +48,7 @@ class Settings:
     parts: int = 0
     hot: int = 16
     crowd: int = 64
-    block: int = 256
+    block: int = 512
     slice_bytes: int = 4 << 20
 
 
@@ -182,7 +182,7 @@ def _gather(percent: int):
         keep = alive[doc]
         tok, doc, df = tok[keep], doc[keep], df[keep]
         order = np.lexsort((tok, df, doc))
-        tok, df = tok[order].view(np.int64), df[order].astype(np.int32)
+        tok, df = tok[order].view(np.int64), np.log2(df[order]).astype(np.int8)
         at = starts(np.where(alive, shared, 0))
         ids = own["ids"]
         return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n": n.astype(np.int64), "toks": [tok[i:j] if a else None for i, j, a in zip(at[:-1], at[1:], alive, strict=True)],
@@ -196,7 +196,7 @@ def _prefix(n: int, unshared: int, percent: int) -> int:
 
 
 def _second_order(toks: np.ndarray, dfs: np.ndarray) -> np.ndarray:
-    return np.lexsort((mix(toks.view(U64) + U64(0x5851F42D4C957F2D)), np.log2(dfs).astype(np.int64)))
+    return np.lexsort((mix(toks.view(U64) + U64(0x5851F42D4C957F2D)), dfs))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -273,11 +273,11 @@ def _compare(percent: int):
 
 
 def shingle_table(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, toks, dfs of every row; written once."""
+    """doc_id, n, toks (shared shingles, rarest first), dfs (log2 of their frequencies) of every row; written once."""
     parts = s.parts or min(65_000, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = _read(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), parts, s)
     answers = blocks.groupBy("part").applyInPandas(_answer, _BLOCKS)
-    return cut(answers.groupBy("chunk").applyInPandas(_gather(s.percent), "doc_id long, n long, toks array<long>, dfs array<int>"), "shingles")
+    return cut(answers.groupBy("chunk").applyInPandas(_gather(s.percent), "doc_id long, n long, toks array<long>, dfs array<tinyint>"), "shingles")
 
 
 def link_forest(sets: DataFrame, s: Settings = Settings()) -> DataFrame:
