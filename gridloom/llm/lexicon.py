@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, ragged, slices, starts, with_columns
+from ..plans.scratch import cut
+from .common import batch_of, lean, ragged, slices, starts, with_columns
+from .importance import kth_largest
 from .token_ids import Encoder, load
 
 _FIELDS = (("keys", np.int64), ("targets", np.int32), ("outputs", np.int32), ("finals", np.uint8), ("begin", np.int32), ("ids", np.uint32))
@@ -38,7 +40,10 @@ class Settings:
 
 
 def frequent(docs: DataFrame, n: int, text: str = "text") -> list[str]:
-    """The n most frequent pieces with a leading space over all documents; each task counts its slices first."""
+    """The most frequent pieces with a leading space over all documents, n at most; each task counts its slices first.
+
+    Pieces tied with the one after the n-th are left out, so that no more than n rows reach the driver however many tasks there are.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("piece", pa.string()), ("n", pa.int64())])
         for batch in batches:
@@ -49,8 +54,10 @@ def frequent(docs: DataFrame, n: int, text: str = "text") -> list[str]:
                         held[p] = held.get(p, 0) + 1
                 yield batch_of(schema, list(held), list(held.values()))
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r["piece"] for r in counted.filter("piece <> ''").orderBy(F.desc("n"), "piece").limit(n).select("piece").collect()]  # n rows
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "piece string, n long").filter("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
+    with lean(docs.sparkSession):
+        counted = cut(counted, "pieces")
+    return [r["piece"] for r in counted.filter(F.col("n") > F.lit(kth_largest(counted, "n", n + 1))).select("piece").collect()] if n else []
 
 
 def compile_words(words: list[bytes], ids: list[list[int]]) -> bytes:
