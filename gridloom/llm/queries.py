@@ -30,7 +30,7 @@ def op4_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold("doc_id", 4) == 2
     model = toxicity.train(docs, labels.filter(~held))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "offending")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"), "offending")
 
 
 def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import Memo, batch_of, looked_up, slices, starts, texts, with_columns
 
 _EDGES = b".,;:!?\"'()*#$%&"
+#: A document counts as toxic from this score on, in the query and in the pipeline.
+TOXIC_FROM = 0.3
 _ENDS = bytes.maketrans(b".!?\n", b"\n\n\n\n")
 
 

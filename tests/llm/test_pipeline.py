@@ -6,11 +6,12 @@ import collections
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from test_models import _components, _shingles
 
 import __spark_entry__ as entry
-from gridloom.llm import token_ids
+from gridloom.llm import token_ids, toxicity
 
 
 def test_stages_end_to_end(spark, sf):
@@ -58,3 +59,12 @@ def test_queries_cover_their_table(spark, sf, name):
     out = entry.queries()[name](spark, sf)
     table, key = ("embeddings", "vec_id") if name.startswith("op8") else ("documents", "doc_id")
     assert out.select(key).distinct().count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
+
+
+def test_toxic_stage_and_query_share_one_limit(spark, sf, monkeypatch):
+    fit = toxicity.Fit()
+    model = toxicity.Model(np.zeros(1 << fit.bits, np.float32), float(np.log(0.4 / 0.6)), fit)  # every sentence scores 0.4
+    monkeypatch.setattr(toxicity, "train", lambda *_, **__: model)
+    docs = spark.createDataFrame([(1, "one sentence", "en", "s", 12), (2, "", "en", "s", 0)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    assert [r["doc_id"] for r in corpus_pipeline.toxic(spark, docs, sf).collect()] == [2]
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in entry.queries()["op4_noisy_or_toxicity"](spark, sf).collect())
