@@ -4,8 +4,9 @@ A document is a bag of sentences. A sentence's score is the logistic of a bias a
 over its hashed parts (the word and its character n-grams). A document's score is the noisy-or of its sentences, 1 - prod(1 - s), so labels
 of documents train scores of sentences, and the sentences that carry the blame are found afterwards.
 
-The model is fitted on a bounded sample of labelled documents (`Fit.sample`, by hash order of the id); every document is scored over its whole
-text, in one pass without a shuffle.
+The model is fitted on a bounded sample of labelled documents (`Fit.sample`): a share of toxic ones, and within a label half in proportion and half
+in equal parts to languages and sources, weighted back. A part is learned if enough toxic documents have it, and clearly more often than clean ones;
+both limits are counts, so a larger sample learns rarer words. Every document is scored over its whole text, in one pass without a shuffle.
 
 Defined cases: a null or empty text has no sentence and scores 0; without labelled documents all scores are 0; rows with a null label
 are not learned from; repeated rows score alike.
@@ -13,8 +14,9 @@ are not learned from; repeated rows score alike.
 
 from __future__ import annotations
 
+import math
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of, looked_up, slices, starts, texts, with_columns
+from .common import Memo, batch_of, looked_up, ragged, slices, starts, texts, with_columns
 
 _EDGES = b".,;:!?\"'()*#$%&"
 #: A document counts as toxic from this score on, in the query and in the pipeline.
@@ -33,16 +35,18 @@ _ENDS = bytes.maketrans(b".!?\n", b"\n\n\n\n")
 
 @dataclass(frozen=True)
 class Fit:
-    """`sample` labelled documents at most are learned from; `bits` is the log2 of the number of hashed parts."""
+    """About `sample` labelled documents are learned from, `toxic` of them toxic if there are so many; `bits` is the log2 of the number of hashed parts."""
 
-    sample: int = 5000
+    sample: int = 6000
+    toxic: float = 0.25
     bits: int = 18
     grams: tuple[int, ...] = (5, 6, 7)
     epochs: int = 130
     rate: float = 0.03
     decay: float = 2e-6
     start_bias: float = -7.0
-    support: float = 0.016  # share of the sample's documents that a part must occur in (counted for each word that has it), or it would be learned by heart
+    support: int = 5  # toxic documents that a part must occur in, or it would be learned by heart
+    gain: float = 10.0  # least likelihood-ratio statistic (one degree of freedom) of a part being more frequent in toxic documents
 
 
 @dataclass(frozen=True)
@@ -75,59 +79,107 @@ def _noisy_or(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on at most `fit.sample` documents with a label of 0 or 1; the caller leaves out what must not be learned."""
-    chosen = (labels.filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("y"))
-              .orderBy(F.xxhash64(key), key).limit(fit.sample))
+def _level(sizes: list[int], quota: float) -> float:
+    """The level q at which min(size, q) adds up to the quota."""
+    for left, n in zip(range(len(sizes), 0, -1), sorted(sizes), strict=True):
+        if n * left >= quota:
+            return quota / left
+        quota -= n
+    return math.inf
+
+
+def shares(sizes: dict[tuple[int, int], int], fit: Fit) -> dict[tuple[int, int], float]:
+    """Share of each (label, stratum) to draw, from their sizes. No share is under half of its label's: weights stay within a factor of two."""
+    of = {y: sum(n for (label, _), n in sizes.items() if label == y) for y in (0, 1)}
+    toxic = max(min(of[1], fit.sample * fit.toxic), min(of[1], fit.sample - of[0]))
+    out = {}
+    for y, quota in ((1, toxic), (0, min(of[0], fit.sample - toxic))):
+        own = {k: n for k, n in sizes.items() if k[0] == y}
+        level = _level(list(own.values()), quota / 2)
+        out |= {k: 1.0 if quota >= of[y] else min(1.0, quota / 2 / of[y] + min(1.0, level / n)) for k, n in own.items()}
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str = "doc_id", text: str = "text", label: str = "toxic", strata: tuple[str, ...] = ("lang", "source")) -> Model:
+    """Fit on about `fit.sample` documents with a label of 0 or 1; the caller leaves out what must not be learned. Columns of `strata` that `docs` lacks are ignored."""
+    marks = labels.filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias("y"))
+    within = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata if c in docs.columns]
+    # only labelled documents that exist are drawn from
+    known = docs.select(key, F.pmod(F.xxhash64(*within), F.lit(256)).cast("int").alias("s") if within else F.lit(0).alias("s")).groupBy(key).agg(F.min("s").alias("s")).join(marks, key)
+    share = shares({(r["y"], r["s"]): r["count"] for r in known.groupBy("y", "s").count().collect()}, fit)  # two labels by 256 strata at most
+    if not share:
+        return learn((), fit)
+    rates = docs.sparkSession.createDataFrame([(y, s, x) for (y, s), x in share.items()], "y int, s int, share double")
+    draw = F.pmod(F.xxhash64(key, F.lit("toxicity")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    chosen = known.join(F.broadcast(rates), ["y", "s"]).filter(draw).select(key, "y", (1 / F.col("share")).alias("weight"))
     rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
 
     def words(batches):
-        schema = pa.schema([("y", pa.int32()), ("sizes", pa.list_(pa.int32())), ("words", pa.binary())])
+        schema = pa.schema([("y", pa.int32()), ("weight", pa.float64()), ("sizes", pa.binary()), ("words", pa.binary())])
         for batch in batches:
             for part in slices(batch):
-                for y, t in zip(part.column("y").to_pylist(), texts(part.column("text")), strict=True):
+                for y, weight, t in zip(part.column("y").to_pylist(), part.column("weight").to_pylist(), texts(part.column("text")), strict=True):
                     bag = sentences(t)
-                    yield batch_of(schema, [y], [[len(s) for s in bag]], [b" ".join(w for s in bag for w in s)])
+                    yield batch_of(schema, [y], [weight], [np.array([len(s) for s in bag], np.int32).tobytes()], [b" ".join(w for s in bag for w in s)])
 
-    seen = rows.select("y", "text").mapInArrow(words, "y int, sizes array<int>, words binary").collect()  # fit.sample rows at most
-    return learn(((r["y"], r["sizes"], bytes(r["words"]).split()) for r in seen), fit)
+    seen = rows.select("y", "weight", "text").mapInArrow(words, "y int, weight double, sizes binary, words binary").collect()  # about fit.sample rows
+    return learn(((r["y"], r["weight"], np.frombuffer(r["sizes"], np.int32), bytes(r["words"]).split()) for r in seen), fit)
 
 
-def learn(bags: Iterable[tuple[int, list[int], list[bytes]]], fit: Fit) -> Model:
-    """Maximum likelihood of the noisy-or by Adam; a bag is a label, the sizes of its sentences and their words one after another."""
+def _gain(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Likelihood-ratio statistic of document counts in toxic and clean documents; negative where clean ones have the part more often."""
+    def likely(k, n, p):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(np.where(k > 0, p, 1)), 0) + np.where(n > k, (n - k) * np.log(np.where(n > k, 1 - p, 1)), 0)
+
+    p, q, both = pos / max(n_pos, 1), neg / max(n_neg, 1), (pos + neg) / max(n_pos + n_neg, 1)
+    out = 2 * (likely(pos, n_pos, p) + likely(neg, n_neg, q) - likely(pos, n_pos, both) - likely(neg, n_neg, both))
+    return np.where(p > q, out, -out)
+
+
+def learn(bags: Iterable[tuple[int, float, Sequence[int], list[bytes]]], fit: Fit) -> Model:
+    """Maximum likelihood of the noisy-or by Adam; a bag is a label, its weight, the sizes of its sentences and their words one after another."""
     number: dict[bytes, int] = {}
-    labels, counts, each, tokens = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for label, own, words in bags:
+    labels, given, counts, each, tokens = [], [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for label, weight, own, words in bags:
         labels.append(label)
+        given.append(weight)
         counts.append(len(own))
         each.append(np.array(own, np.int32))
         tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
     if not labels:
         return Model(np.zeros(1 << fit.bits, np.float32), -np.inf, fit)
-    tokens, sizes, y, docs_at = np.concatenate(tokens), np.concatenate(each), np.array(labels, float), starts(np.array(counts))
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    part, ends = array("i"), array("q")
+    part, ends = array("i"), array("q", [0])
     for w in number:
         part.extend(_parts(w, fit))
         ends.append(len(part))
     words = len(number)
     number.clear()
-    part = np.frombuffer(part, np.int32) if len(part) else np.zeros(0, np.int32)
-    part_word = np.repeat(np.arange(words, dtype=np.int32), np.diff(np.frombuffer(ends, np.int64), prepend=0))
-    spread = np.repeat(np.arange(len(y)), np.bincount(np.repeat(np.arange(len(y)), np.diff(docs_at)), sizes, len(y)).astype(np.int64))
-    held = np.unique(spread * words + tokens) % max(words, 1)  # one entry for each word of a document
-    enough = np.bincount(part, np.bincount(held, minlength=words)[part_word], minlength=1 << fit.bits)[part] >= max(3.0, fit.support * len(y))
-    part, part_word = part[enough], part_word[enough]
-    width, bias = 1 << fit.bits, fit.start_bias
-    weights, m, v, mb, vb = np.zeros(width), np.zeros(width), np.zeros(width), 0.0, 0.0
+    part, ends = np.frombuffer(part, np.int32) if len(part) else np.zeros(0, np.int32), np.frombuffer(ends, np.int64)
+    found = np.zeros((2, 1 << fit.bits))
+    for label, own in zip(labels, tokens[1:], strict=True):
+        w = np.unique(own)
+        found[label, np.unique(ragged(part, ends[w], ends[w + 1] - ends[w]))] += 1
+    y = np.array(labels, float)
+    kept = (found[1] >= fit.support) & (_gain(found[1], found[0], int(y.sum()), int((1 - y).sum())) >= fit.gain)
+    # from here on only kept parts, words that have one, and their places
+    part_word, live = np.repeat(np.arange(words, dtype=np.int32), np.diff(ends)), kept[part]
+    part, part_word = (np.cumsum(kept) - 1)[part[live]], part_word[live]
+    has = np.bincount(part_word, minlength=words) > 0
+    tokens, sizes, docs_at = np.concatenate(tokens), np.concatenate(each), starts(np.array(counts))
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[has[tokens]]
+    tokens, part_word, words, width = (np.cumsum(has) - 1)[tokens[has[tokens]]], (np.cumsum(has) - 1)[part_word], int(has.sum()), int(kept.sum())
     doc_of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(docs_at))
+    by_doc = np.array(given) / sum(given)
+    bias = fit.start_bias
+    weights, m, v, mb, vb = np.zeros(width), np.zeros(width), np.zeros(width), 0.0, 0.0
     for step in range(1, fit.epochs + 1):
         by_word = np.bincount(part_word, weights[part], minlength=words)
         logits = bias + np.bincount(owner, by_word[tokens], minlength=len(sizes))
         quiet = np.minimum(_noisy_or(logits, docs_at), -1e-9)
         # d loss / d logit of a sentence: its own score, times -1 for a clean document and times (1 - P) / P for a toxic one
-        pull = np.where(y > 0, -np.exp(quiet) / -np.expm1(quiet), 1.0)
-        g_logit = pull[doc_of] / (1 + np.exp(-np.clip(logits, -40, 40))) / len(y)
+        pull = np.where(y > 0, -np.exp(quiet) / -np.expm1(quiet), 1.0) * by_doc
+        g_logit = pull[doc_of] / (1 + np.exp(-np.clip(logits, -40, 40)))
         g_word = np.bincount(tokens, g_logit[owner], minlength=words)
         g = np.bincount(part, g_word[part_word], minlength=width) + fit.decay * weights
         gb = g_logit.sum()
@@ -136,7 +188,9 @@ def learn(bags: Iterable[tuple[int, list[int], list[bytes]]], fit: Fit) -> Model
         a, b = 1 - 0.9**step, 1 - 0.99**step
         weights -= fit.rate * (m / a) / (np.sqrt(v / b) + 1e-8)
         bias -= fit.rate * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    return Model(weights.astype(np.float32), float(bias), fit)
+    every = np.zeros(1 << fit.bits, np.float32)
+    every[kept] = weights
+    return Model(every, float(bias), fit)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", most: int = 3, at_least: float = 0.05, prefix: str = "") -> DataFrame:

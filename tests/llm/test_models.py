@@ -180,6 +180,31 @@ def test_toxicity_held_out(spark):
     assert n[1, True] / (n[1, True] + n[1, False]) > 0.5 and n[0, True] < 0.05 * n[0, False]
 
 
+def test_toxicity_learns_rare_words_beside_common_ones(spark):
+    """Toxic words of a small language, in few documents of a large sample, and labels without a document."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(6000):
+        small, bad = i % 240 < 2, i % 8 == 0
+        words = [rng.choice(("ka le mi no" if small else "ab cd ef gh ij kl mn op").split()) for _ in range(12)]
+        rows.append((i, " ".join(words + [("zorgwit" if small else "vilename") if bad else "fine"]), "xx" if small else "en", "s", 1))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    y = spark.createDataFrame(labels + [(10**6 + i, 0) for i in range(20000)], "doc_id long, toxic int")
+    # 25 of the 750 toxic documents are of the small language; those of 8 of them are left out
+    model = toxicity.train(docs, y.filter("doc_id % 720 < 480"), toxicity.Fit(sample=6000))
+    out = toxicity.score(docs, model).collect()
+    assert all((r["score"] >= 0.3) == (r["doc_id"] % 8 == 0) for r in out)
+
+
+def test_toxicity_sample_shares():
+    sizes = {(0, 0): 90_000, (0, 1): 500, (1, 0): 9_000, (1, 1): 100}
+    out, fit = toxicity.shares(sizes, toxicity.Fit()), toxicity.Fit()
+    drawn = {k: out[k] * n for k, n in sizes.items()}
+    assert out[1, 1] == 1.0 and 0.9 * fit.sample < sum(drawn.values()) <= fit.sample and drawn[1, 0] + drawn[1, 1] <= fit.toxic * fit.sample
+    assert toxicity.shares({(0, 0): 10, (1, 3): 10}, fit) == {(0, 0): 1.0, (1, 3): 1.0}
+
+
 def _operators(docs, labels):
     byte, word = token_ids.path(token_ids.BYTE_BPE), token_ids.path(token_ids.WORD_BPE)
     spark = docs.sparkSession
