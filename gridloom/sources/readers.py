@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +82,17 @@ def list_tiles(spark: SparkSession, directory: str, glob: str = "*.tif") -> Data
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(directory)
     plain = found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("modificationTime").alias("mtime"))
-    depth = len(re.sub("^file:/+", "/", directory.rstrip("/")).split("/")) + 1
-    return plain.filter(F.size(F.split("path", "/")) == depth).orderBy("path")
+    # the file system itself says how deep the folder lies: with its scheme, absolute and without // or /./
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    whole = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toUri().getPath()
+    inside = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    depth = len(_levels(whole)) + 1
+    return plain.filter(F.size(F.split(inside, "/")) - 1 == depth).orderBy("path")
+
+
+def _levels(path: str) -> list[str]:
+    """Folders of an absolute path, without empty and `.` ones."""
+    return [x for x in path.split("/") if x not in ("", ".")]
 
 
 def read_tile_list(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import statistics
 
 import numpy as np
@@ -230,3 +231,21 @@ def test_owned_scratch_tables_go(spark):
         path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
         assert df.count() == 3 and os.path.isdir(path)
     assert not os.path.exists(path)
+
+
+def test_tile_folder_in_other_spellings(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for n in ("in/b.tif", "in/a.tif", "in/sub/c.tif"):
+        (tmp_path / n).write_bytes(b"x")
+    d = f"{tmp_path}/in"
+    spellings = [d, f"{d}/", f"file:{d}", f"file://{d}", f"{tmp_path}//in", f"{tmp_path}/./in", f"{tmp_path}/i*"]
+    spark.conf.set("fs.viewfs.mounttable.tiles.link./data", f"file://{d}")
+    spellings += [os.path.relpath(d), "viewfs://tiles/data"]
+    try:
+        for x in spellings:
+            assert [r["path"].rsplit("/", 1)[1] for r in readers.list_tiles(spark, x).collect()] == ["a.tif", "b.tif"], x
+        spark.conf.set("fs.defaultFS", "viewfs://tiles")  # a path without scheme on another file system
+        assert readers.list_tiles(spark, "/data").count() == 2
+    finally:
+        for name in ("fs.defaultFS", "fs.viewfs.mounttable.tiles.link./data"):
+            spark.conf.unset(name)
