@@ -1,8 +1,9 @@
 """Secrets by fixed patterns and by character Markov models, with DataFrame functions only.
 
-Three patterns give the base spans. Two first-order character models are trained on labelled samples: values that the patterns found (random strings) and
-ordinary identifiers of the documents. Any other long run of identifier characters is scored by the log-likelihood ratio of the two models; a run that is
-long enough and random enough is a further span of kind `markov`.
+Three patterns give the base spans. Two first-order character models are trained: on the values that the patterns found in all documents (random strings)
+and on ordinary identifiers of a sample of them. Any other long run of identifier characters is scored by the log-likelihood ratio of the two models; a run that is
+long enough and random enough is a further span of kind `markov`. Base spans are cut out of a run first; of what is left, pieces between `/`, `_`, `=` and `-` are
+judged as well where the whole is not random enough, so that ordinary text around a random string does not hide it.
 
 Positions count code points: the text is split at the matches and the lengths of gaps and matches are added up.
 
@@ -25,7 +26,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 BASE = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
+LEAST_RUN = 16
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 IDENTIFIER = r"\b[A-Za-z_][A-Za-z0-9_]{7,}\b"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _SIDE = len(ALPHABET) + 1  # the last row and column stand for any other character
@@ -34,9 +36,8 @@ SPAN = "struct<start:int,ord:int,end:int,kind:string>"
 
 @dataclass(frozen=True)
 class Settings:
-    """`secret_docs`, `identifier_docs`: documents (by hash order of the id) that training samples come from; limits on a run's ratio in nats."""
+    """`identifier_docs`: documents (by hash order of the id) that ordinary identifiers come from; limits on the ratio of a run, or of its best stretch, in nats."""
 
-    secret_docs: int = 20_000
     identifier_docs: int = 2_000
     smoothing: float = 0.2
     least_total: float = 15.0
@@ -84,7 +85,7 @@ def _bigrams(strings: DataFrame) -> DataFrame:
 def train(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> list[float] | None:
     """Log ratios of the random to the ordinary model for each pair of characters; None if a sample is empty."""
     d = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    secrets = base_spans(_sample(d, key, s.secret_docs)).select(F.explode("__base").alias("b"), "text")
+    secrets = base_spans(d).select(F.explode("__base").alias("b"), "text")
     # of an assignment only the value is random: its last run of identifier characters
     secrets = secrets.select(F.regexp_extract(F.expr("substring(text, b.start + 1, b.end - b.start)"), r"([A-Za-z0-9+/_=-]+)$", 1).alias("s")).filter("length(s) >= 8")
     words = (_sample(d, key, s.identifier_docs).select(F.explode(F.expr(f"regexp_extract_all(text, {_quoted(IDENTIFIER)}, 0)")).alias("s"))
@@ -113,18 +114,26 @@ def scan(docs: DataFrame, ratios: list[float] | None, s: Settings = Settings(),
     if ratios is None:
         return based.withColumn("__all", F.col("__base")).drop("__text", *[f"__{k}" for k, *_ in BASE])
     model = f"from_json('{json.dumps([round(r, 6) for r in ratios])}', 'array<double>')"  # folded to one constant
-    total = f"""aggregate(sequence(1, length(r) - 1), 0D, (acc, i) -> acc + {model}[{_place('substring(r, i, 1)')} * {_SIDE} + {_place('substring(r, i + 1, 1)')}])"""
+    total = f"""aggregate(sequence(1, length(x.s) - 1), 0D, (acc, i) -> acc + {model}[{_place('substring(x.s, i, 1)')} * {_SIDE} + {_place('substring(x.s, i + 1, 1)')}])"""
     p = _quoted(RUN)
-    # score first; positions are worked out only where a run is random enough
-    judged = based.withColumn("__runs", F.expr(f"transform(regexp_extract_all(__text, {p}, 0), r -> named_struct('n', length(r), 'llr', {total}))"))
-    random = f"(r.llr >= {s.least_total} and r.llr >= {s.least_each} * (r.n - 1))"
-    walk = f"""aggregate(sequence(0, size(__runs) - 1), named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),
-        (acc, i) -> named_struct('at', acc.at + length(g[i]) + __runs[i].n, 'out', if(exists(slice(__runs, i + 1, 1), r -> {random}),
-            concat(acc.out, array(named_struct('start', acc.at + length(g[i]), 'ord', {len(BASE)}, 'end', acc.at + length(g[i]) + __runs[i].n, 'kind', 'markov'))), acc.out)),
-        acc -> acc.out)"""
-    found = F.when(F.expr(f"exists(__runs, r -> {random})"), F.expr(f"flatten(transform(array(split(__text, {p}, -1)), g -> {walk}))")).otherwise(none)
-    further = judged.withColumn("__markov", found).withColumn(
-        "__markov", F.expr("filter(__markov, x -> not exists(__base, b -> b.start < x.end and x.start < b.end))"))
+    strings = "array<struct<at:int,s:string>>"
+    # runs and their places; base spans cut them; what is shorter than a run's least length is left out
+    walk = f"""aggregate(sequence(0, size(m.r) - 1), named_struct('at', 0, 'out', cast(array() as {strings})), (acc, i) -> named_struct('at', acc.at + length(m.g[i]) + length(m.r[i]),
+        'out', concat(acc.out, array(named_struct('at', acc.at + length(m.g[i]), 's', m.r[i])))), acc -> acc.out)"""
+    cuts = f"""aggregate(__base, named_struct('at', x.at, 'out', cast(array() as {strings})), (acc, b) -> if(b.start >= x.at + length(x.s) or b.end <= acc.at, acc, named_struct('at', b.end,
+        'out', if(b.start - acc.at >= {LEAST_RUN}, concat(acc.out, array(named_struct('at', acc.at, 's', substring(x.s, acc.at - x.at + 1, b.start - acc.at)))), acc.out))),
+        acc -> if(x.at + length(x.s) - acc.at >= {LEAST_RUN}, concat(acc.out, array(named_struct('at', acc.at, 's', substring(x.s, acc.at - x.at + 1)))), acc.out))"""
+    pieces = f"""aggregate(split(x.s, {_quoted('(?<=[/_=-])|(?=[/_=-])')}, -1), named_struct('at', x.at, 'out', cast(array() as {strings})), (acc, w) -> named_struct('at', acc.at + length(w),
+        'out', if(length(w) >= {LEAST_RUN}, concat(acc.out, array(named_struct('at', acc.at, 's', w))), acc.out)), acc -> acc.out)"""
+    scored = f"x -> named_struct('at', x.at, 's', x.s, 'llr', {total})"
+    random = f"(x.llr >= {s.least_total} and x.llr >= {s.least_each} * (length(x.s) - 1))"
+    judged = based.withColumn("__runs", F.expr(f"""if(__text rlike {p}, flatten(transform(array(named_struct('r', regexp_extract_all(__text, {p}, 0), 'g', split(__text, {p}, -1))), m -> {walk})),
+        cast(array() as {strings}))"""))
+    judged = judged.withColumn("__runs", F.expr(f"transform(flatten(transform(__runs, x -> {cuts})), {scored})"))
+    # a whole run that is not random may still hold a piece that is
+    judged = judged.withColumn("__runs", F.expr(f"""concat(filter(__runs, x -> {random}), filter(transform(flatten(transform(filter(__runs, x -> not {random} and x.s rlike '[/_=-]'), x -> {pieces})), {scored}),
+        x -> {random}))"""))
+    further = judged.withColumn("__markov", F.expr(f"transform(__runs, x -> named_struct('start', x.at, 'ord', {len(BASE)}, 'end', x.at + length(x.s), 'kind', 'markov'))"))
     return further.withColumn("__all", F.array_sort(F.concat("__base", "__markov"))).drop("__text", "__runs", "__markov", *[f"__{k}" for k, *_ in BASE])
 
 
