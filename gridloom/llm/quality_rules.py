@@ -1,11 +1,12 @@
 """Quality rules by distribution divergence.
 
 References of each language are built from all documents: the share of each character class, and the share of the language's most
-common words (the rest is one bucket). A document is compared with every reference by the Jensen-Shannon distance (square root
-of the divergence in bits) and fails if even the nearest reference is further away than a limit; too short documents are not compared.
+common words (the rest is one bucket). A document is compared with the reference of its own language by the Jensen-Shannon distance (square root
+of the divergence in bits) and fails if it is further away than a limit; too short documents are not compared. A language of few documents or words
+has no reference: its documents, and those without a language, are compared with the nearest one.
 
-Defined cases: a null or empty text has no words and fails the base rule; a null language has its own reference; repeated rows
-are treated alike; with no documents there are no references and no rows.
+Defined cases: a null or empty text has no words and fails the base rule; repeated rows are treated alike; without any reference nothing is compared;
+with no documents there are no references and no rows.
 """
 
 from __future__ import annotations
@@ -40,13 +41,15 @@ BYTE_CLASS = np.eye(len(CLASSES))[_class_of_byte()][:, :-1]
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the two distances, and the lengths below which a distance says nothing."""
+    """Limits of the two distances, the lengths below which a distance says nothing, and the least documents and words of a reference."""
 
     common_words: int = 40
     max_char_distance: float = 0.30
     max_word_distance: float = 0.37
     min_chars: int = 200
     min_words: int = 100
+    min_reference_docs: int = 10
+    min_reference_words: int = 2_000
 
 
 def _classes(text: bytes) -> np.ndarray:
@@ -58,17 +61,18 @@ def _plain(word: bytes) -> bytes:
 
 
 def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per language: `classes` (shares of character classes), `words` and `shares` (its most common words).
+    """Per language with enough documents and words: `classes` (shares of character classes), `words` and `shares` (its most common words).
 
     Each task adds up its own rows first, so a language that holds most rows costs no more than another.
     """
     def count(batches):
-        schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("classes", pa.list_(pa.float64()))])
+        schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("classes", pa.list_(pa.float64())), ("docs", pa.int64())])
         for batch in batches:
             for part in slices(batch):
-                total, by_word = {}, {}
+                total, by_word, n_docs = {}, {}, {}
                 for name, t in zip(part.column("lang").to_pylist(), texts(part.column("text")), strict=True):
                     total[name] = total.get(name, 0) + _classes(t)
+                    n_docs[name] = n_docs.get(name, 0) + 1
                     held = by_word.setdefault(name, {})
                     for w in t.split():
                         held[w] = held.get(w, 0) + 1
@@ -76,14 +80,15 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
                     plain: dict[bytes, int] = {}
                     for w, n in held.items():
                         plain[p] = plain.get(p := _plain(w), 0) + n
-                    yield batch_of(schema, [name] * len(plain), list(plain), list(plain.values()), [None] * len(plain))
-                    yield batch_of(schema, [name], [None], [None], [list(total[name])])
+                    yield batch_of(schema, [name] * len(plain), list(plain), list(plain.values()), [None] * len(plain), [None] * len(plain))
+                    yield batch_of(schema, [name], [None], [None], [list(total[name])], [n_docs[name]])
 
-    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, word binary, n long, classes array<double>")
+    rows = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, word binary, n long, classes array<double>, docs long")
     names = CLASSES[:-1]
     # partial counts are summed before the shuffle; what is ranked is one row for each word of a language
-    sums = rows.groupBy("lang", "word").agg(F.sum("n").alias("n"), *[F.sum(F.col("classes")[i]).alias(c) for i, c in enumerate(names)])
-    every = sums.groupBy("lang").agg(F.sum("n").alias("total"), F.array(*[F.sum(c) for c in names]).alias("classes"))
+    sums = rows.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), *[F.sum(F.col("classes")[i]).alias(c) for i, c in enumerate(names)])
+    every = sums.groupBy("lang").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.array(*[F.sum(c) for c in names]).alias("classes"))
+    every = every.filter((F.col("docs") >= rules.min_reference_docs) & (F.col("total") >= rules.min_reference_words)).drop("docs")
     # a bounded number of words for each hash part first, then of the few survivors: no task ranks a whole language
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(F.desc("n"), "word")
     whole = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
@@ -122,14 +127,15 @@ def repeated_words(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def judge(docs: DataFrame, refs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
-    """`docs` with the base counts, `char_distance`, `word_distance` (null where too short), `base_failed` and `kept`."""
+def judge(docs: DataFrame, refs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """`docs` with the base counts, `char_distance`, `word_distance` (null where too short or without any reference), `base_failed` and `kept`; without a column `lang`, every document takes the nearest reference."""
     found = refs.collect()  # one row for each language, bounded by their number and `common_words`
     lists = [{r["word"]: i for i, r in enumerate(x["top"] or [])} for x in found]
     shares = []
     for x in found:
         own = np.array([r["n"] for r in x["top"] or []], float) / max(x["total"] or 0, 1)
         shares.append((np.array(x["classes"]) / max(sum(x["classes"]), 1), np.append(own, max(0.0, 1 - own.sum()))))
+    place, named = {x["lang"]: k for k, x in enumerate(found)}, lang in docs.columns
     near = Memo(lambda w: [m.get(_plain(w), -1) for m in lists])
 
     def values(part: pa.RecordBatch) -> list:
@@ -154,16 +160,18 @@ def judge(docs: DataFrame, refs: DataFrame, rules: Rules = Rules(), text: str =
         char_d, word_d = np.ones(len(bodies)), np.ones(len(bodies))
         marks = np.array([near[w] for w in number], np.int64).reshape(len(number), len(lists))[ids.astype(np.int64)] if number else np.zeros((0, len(lists)), np.int64)
         near.trim()
+        own = np.array([place.get(x, -1) for x in part.column("lang").to_pylist()] if named else [-1] * len(bodies), np.int64)
         for k, (c, w) in enumerate(shares):
-            char_d = np.minimum(char_d, distance(p_class, c))
+            asked = (own == k) | (own < 0)
+            char_d = np.where(asked, np.minimum(char_d, distance(p_class, c)), char_d)
             width = len(w)
             slot = np.where(marks[:, k] < 0, width - 1, marks[:, k])
             hist = np.bincount(doc * width + slot, minlength=len(bodies) * width).reshape(len(bodies), width)
-            word_d = np.minimum(word_d, distance(hist / np.maximum(hist.sum(1, keepdims=True), 1), w))
-        long_c, long_w = by_class.sum(1) >= rules.min_chars, n_words >= rules.min_words
+            word_d = np.where(asked, np.minimum(word_d, distance(hist / np.maximum(hist.sum(1, keepdims=True), 1), w)), word_d)
+        long_c, long_w = (by_class.sum(1) >= rules.min_chars) & bool(shares), (n_words >= rules.min_words) & bool(shares)
         odd = (long_c & (char_d > rules.max_char_distance)) | (long_w & (word_d > rules.max_word_distance))
         return [n_words, word_chars, n_symbols, dup, repeats, [float(d) if k else None for d, k in zip(char_d, long_c, strict=True)],
                 [float(d) if k else None for d, k in zip(word_d, long_w, strict=True)], failed, ~failed & ~odd]
 
     added = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, char_distance double, word_distance double, base_failed boolean, kept boolean"
-    return with_columns(docs, added, values, ["text"], [text])
+    return with_columns(docs, added, values, ["lang", "text"] if named else ["text"], [lang, text] if named else [text])  # slices go by the last

@@ -59,8 +59,8 @@ def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    judged = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.references(docs))
-    return judged.drop("text")
+    judged = quality_rules.judge(docs.select("doc_id", "text", "lang"), quality_rules.references(docs))
+    return judged.drop("text", "lang")
 
 
 QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_cost_balanced_packing, op3_importance_resampling, op4_noisy_or_toxicity, op5_plane_files, op6_prefix_orders_join, op7_markov_secrets, op8_pivot_range_join,

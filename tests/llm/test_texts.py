@@ -181,3 +181,14 @@ def test_secrets_in_runs_and_rare_secrets(spark, sf):
     rare = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("ordinary identifiers everywhere").alias("text"))
     first = rare.orderBy(F.xxhash64("doc_id"), "doc_id").limit(20_001).select("doc_id").collect()[-1][0]
     assert secret_scan.train(rare.withColumn("text", F.when(F.col("doc_id") == first, F.lit("secret = 9fK2jQ8LmZ0pW7vR")).otherwise(F.col("text")))) is not None
+
+
+def test_rare_and_null_languages_are_no_reference_of_their_own(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    junk = [" ".join(f"word{(i * 7 + k) % 997}" for i in range(400)) for k in range(40)]
+    odd = [(10**7, junk[0], "zz", "s", 1), *[(10**7 + 1 + k, t, None, "s", 1) for k, t in enumerate(junk)]]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    out = quality_rules.judge(both, quality_rules.references(both)).filter(f"doc_id >= {10**7}").collect()
+    assert len(out) == len(odd) and not any(r["kept"] or r["base_failed"] for r in out)
+    french = docs.filter("lang = 'fr' and n_chars > 2000").withColumn("lang", F.lit("en")).limit(3)  # French that calls itself English
+    assert not any(r["kept"] for r in quality_rules.judge(french, quality_rules.references(docs)).collect())
