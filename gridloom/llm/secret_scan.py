@@ -117,24 +117,25 @@ def scan(docs: DataFrame, ratios: list[float] | None, s: Settings = Settings(),
     total = f"""aggregate(sequence(1, length(x.s) - 1), 0D, (acc, i) -> acc + {model}[{_place('substring(x.s, i, 1)')} * {_SIDE} + {_place('substring(x.s, i + 1, 1)')}])"""
     p = _quoted(RUN)
     strings = "array<struct<at:int,s:string>>"
-    # runs and their places; base spans cut them; what is shorter than a run's least length is left out
+    # runs and their places
     walk = f"""aggregate(sequence(0, size(m.r) - 1), named_struct('at', 0, 'out', cast(array() as {strings})), (acc, i) -> named_struct('at', acc.at + length(m.g[i]) + length(m.r[i]),
         'out', concat(acc.out, array(named_struct('at', acc.at + length(m.g[i]), 's', m.r[i])))), acc -> acc.out)"""
-    cuts = f"""aggregate(__base, named_struct('at', x.at, 'out', cast(array() as {strings})), (acc, b) -> if(b.start >= x.at + length(x.s) or b.end <= acc.at, acc, named_struct('at', b.end,
-        'out', if(b.start - acc.at >= {LEAST_RUN}, concat(acc.out, array(named_struct('at', acc.at, 's', substring(x.s, acc.at - x.at + 1, b.start - acc.at)))), acc.out))),
-        acc -> if(x.at + length(x.s) - acc.at >= {LEAST_RUN}, concat(acc.out, array(named_struct('at', acc.at, 's', substring(x.s, acc.at - x.at + 1)))), acc.out))"""
+    # one walk over the base spans blanks them, which cuts runs there and keeps all places
+    blank = """aggregate(__base, named_struct('at', 0, 'out', ''), (acc, b) -> named_struct('at', greatest(acc.at, b.end), 'out', concat(acc.out,
+        substring(__text, acc.at + 1, greatest(b.start - acc.at, 0)), repeat(' ', greatest(b.end - greatest(acc.at, b.start), 0)))), acc -> concat(acc.out, substring(__text, acc.at + 1)))"""
     pieces = f"""aggregate(split(x.s, {_quoted('(?<=[/_=-])|(?=[/_=-])')}, -1), named_struct('at', x.at, 'out', cast(array() as {strings})), (acc, w) -> named_struct('at', acc.at + length(w),
         'out', if(length(w) >= {LEAST_RUN}, concat(acc.out, array(named_struct('at', acc.at, 's', w))), acc.out)), acc -> acc.out)"""
     scored = f"x -> named_struct('at', x.at, 's', x.s, 'llr', {total})"
     random = f"(x.llr >= {s.least_total} and x.llr >= {s.least_each} * (length(x.s) - 1))"
-    judged = based.withColumn("__runs", F.expr(f"""if(__text rlike {p}, flatten(transform(array(named_struct('r', regexp_extract_all(__text, {p}, 0), 'g', split(__text, {p}, -1))), m -> {walk})),
+    judged = based.withColumn("__rest", F.expr(f"if(size(__base) > 0, {blank}, __text)"))
+    judged = judged.withColumn("__runs", F.expr(f"""if(__rest rlike {p}, flatten(transform(array(named_struct('r', regexp_extract_all(__rest, {p}, 0), 'g', split(__rest, {p}, -1))), m -> {walk})),
         cast(array() as {strings}))"""))
-    judged = judged.withColumn("__runs", F.expr(f"transform(flatten(transform(__runs, x -> {cuts})), {scored})"))
+    judged = judged.withColumn("__runs", F.expr(f"transform(__runs, {scored})"))
     # a whole run that is not random may still hold a piece that is
     judged = judged.withColumn("__runs", F.expr(f"""concat(filter(__runs, x -> {random}), filter(transform(flatten(transform(filter(__runs, x -> not {random} and x.s rlike '[/_=-]'), x -> {pieces})), {scored}),
         x -> {random}))"""))
     further = judged.withColumn("__markov", F.expr(f"transform(__runs, x -> named_struct('start', x.at, 'ord', {len(BASE)}, 'end', x.at + length(x.s), 'kind', 'markov'))"))
-    return further.withColumn("__all", F.array_sort(F.concat("__base", "__markov"))).drop("__text", "__runs", "__markov", *[f"__{k}" for k, *_ in BASE])
+    return further.withColumn("__all", F.array_sort(F.concat("__base", "__markov"))).drop("__text", "__rest", "__runs", "__markov", *[f"__{k}" for k, *_ in BASE])
 
 
 def joined(spans: str) -> Column:
