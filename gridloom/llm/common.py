@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -138,3 +140,29 @@ def with_columns(df: DataFrame, added: str, values: Callable[[pa.RecordBatch], l
         pa.default_memory_pool().release_unused()  # the worker waits for other tasks
 
     return inner.mapInArrow(run, schema)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], single: bool = False) -> Iterator[tuple]:
+    """Sorted rows as tuples, grouped by their first column, one row at a time; with `single` each row is a group. A group must be used up before the next."""
+    rows = (row for batch in batches for start in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True))
+    return ((row[0], iter((row,))) for row in rows) if single else groupby(rows, key=itemgetter(0))
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Arrow's form of a schema (on the driver)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(T._parse_datatype_string(ddl))
+
+
+def sized(rows: Iterator[tuple], kinds: pa.Schema, text: int | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most 4,096 rows and about `most` characters of the column numbered `text`."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[text]) if text is not None else 0
+        if len(held) == 4096 or size >= most:
+            yield batch_of(kinds, *zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield batch_of(kinds, *zip(*held, strict=True))

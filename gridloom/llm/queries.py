@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import new_path
-from . import importance, katz, lexicon, metric_join, ngram_join, packing, plane_files, quality_rules, secret_scan, token_ids, toxicity
-from .common import fold, table
+from . import chat_format, importance, katz, lexicon, metric_join, ngram_join, packing, plane_files, quality_rules, repair, secret_scan, sql, token_ids, toxicity, vector_codes
+from .common import fold, lean, table
 
 
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,25 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text", "lang")
 
 
+def op11_chat_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted conversations go to files; what is returned is read back from them."""
+    told = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], rows.schema)
+    folder = new_path(spark, "chat")
+    with lean(spark):
+        chat_format.formatted(rows.unionByName(extra)).write.parquet(folder)
+    return chat_format.digests(spark.read.parquet(folder))
+
+
+def op12_astar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damaged(repair.source(table(spark, sf_dir, "conversations"))))
+
+
+def op13_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_cost_balanced_packing, op3_importance_resampling, op4_noisy_or_toxicity, op5_plane_files, op6_prefix_orders_join, op7_markov_secrets, op8_pivot_range_join,
-                                  op9_transducer_bpe, op10_divergence_rules)}
-SQL: dict[str, str] = {}
+                                  op9_transducer_bpe, op10_divergence_rules, op11_chat_templates, op12_astar_repair, op13_limb_codes)}
+SQL: dict[str, str] = {"op11_chat_templates": sql.CHAT, "op12_astar_repair": sql.REPAIR, "op13_limb_codes": sql.CODES}

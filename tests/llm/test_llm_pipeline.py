@@ -8,7 +8,7 @@ import re
 import corpus_pipeline
 import numpy as np
 import pytest
-from test_models import _components, _shingles
+from test_llm_models import _components, _shingles
 
 import __spark_entry__ as entry
 from gridloom.llm import token_ids, toxicity
