@@ -1,8 +1,7 @@
-"""Connected components on row runs, hole filling, distance and thinning.
+"""Connected components in two levels, hole filling, distance and thinning.
 
-Vertices are runs, so a long bar is one vertex. Two runs of neighbouring rows are linked by one window pass
-(no join and no cell list). Nearby edges are contracted in bounded chunks, the rest by alternating large-star and
-small-star steps, with the edge table written once per round and the old one dropped.
+Runs are cut at the borders of 256 x 256 blocks and labelled inside each block by union-find in one Arrow pass. Only pieces on borders are linked across, and only
+those links form the global graph, which is contracted by alternating large-star and small-star steps over written edge tables.
 """
 
 from __future__ import annotations
@@ -16,54 +15,20 @@ from pyspark.sql import functions as F
 
 from ..plans.ordering import group_ordinal
 from ..plans.scratch import StepTable, cut
-from .focal import neighbour_bits, run_cells, runs
+from .blocks import BLOCK, ROW, border_links, labelled, local_roots, row_distances, thinning_step
+from .focal import run_cells, runs
 from .tiling import TILE
 
-# run id = y * 2^31 + x0: its order is the raster-scan order
-_ROW = 1 << 31
-
 
 def _rid():
-    return (F.col("y").cast("bigint") * F.lit(_ROW) + F.col("x0").cast("bigint"))
-
-
-def run_links(spans: DataFrame, conn: int, keys: list[str] = TILE) -> DataFrame:
-    """Pairs (u, v) of runs in neighbouring rows that touch; `conn` 1 means sides, 2 also corners.
-
-    In the merged start order of two rows, the only earlier run of the other row that can reach
-    a run is the latest one, because runs of one row are disjoint.
-    """
-    slack = 0 if conn <= 1 else 1
-    events = spans.withColumn("rid", _rid()).withColumn(
-        "_s", F.explode(F.array(F.struct(F.col("y").alias("pair"), F.lit(0).alias("low")),
-                                F.struct((F.col("y") - 1).alias("pair"), F.lit(1).alias("low")))))
-    events = events.select(*keys, "rid", "x0", "x1", "_s.pair", "_s.low")
-    w = (Window.partitionBy(*keys, "pair").orderBy("x0", "low").rowsBetween(Window.unboundedPreceding, -1))
-    for side in (0, 1):
-        events = events.withColumn(
-            f"_p{side}", F.last(F.when(F.col("low") == side, F.struct("rid", "x1")), ignorenulls=True).over(w))
-    other = F.when(F.col("low") == 1, F.col("_p0")).otherwise(F.col("_p1"))
-    return (events.withColumn("_o", other).filter(F.col("_o.x1") + slack >= F.col("x0"))
-            .select(*keys, F.col("rid").alias("u"), F.col("_o.rid").alias("v")))
-
-
-_SALTS = 16
-
-
-def _smallest_neighbour(pairs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs with `_m`, the smallest v of their u, and the table (u, _m).
-
-    Contraction makes hubs: the root of a huge component neighbours all its nodes. So the neighbours of a node are split by a
-    hash of v: minima are taken per part, then over at most 16 parts, and sent back only to the parts that exist.
-    """
-    salted = pairs.withColumn("_z", F.pmod(F.xxhash64("v"), F.lit(_SALTS)).cast("int"))
-    part = salted.groupBy(*keys, "u", "_z").agg(F.min("v").alias("_m"))
-    low = part.groupBy(*keys, "u").agg(F.min("_m").alias("_m"), F.collect_list("_z").alias("_zs"))
-    answer = low.select(*keys, "u", "_m", F.explode("_zs").alias("_z"))
-    return salted.join(answer, [*keys, "u", "_z"]).drop("_z"), low
+    return F.col("y").cast("bigint") * F.lit(ROW) + F.col("x0").cast("bigint")
 
 
-_BLOCK = 128
+#: Neighbours of one node that one task handles in a contraction step; a node with more is split into as many parts as its measured degree needs.
+HUB = 200_000
+#: An edge table of up to so many rows is finished in one task.
+FINISH = 1_000_000
+_NEAR = 4096
 _CHUNK = 200_000
 
 
@@ -72,28 +37,13 @@ def _stars(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     ends = pd.concat([pdf[[*keys, c]].rename(columns={c: "u"}) for c in ("u", "v")], ignore_index=True)
     code = ends.groupby([*keys, "u"], sort=True, dropna=False).ngroup().to_numpy()
     nodes = ends.assign(code=code).drop_duplicates("code").sort_values("code")
-    a, b = code[: len(pdf)], code[len(pdf):]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        for at in (root[a], root[b]):
-            np.minimum.at(new, at, low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == root).all():
-            break
-        root = new
+    root = local_roots(len(nodes), code[: len(pdf)], code[len(pdf):])
     v = nodes["u"].to_numpy()[root]
     return nodes.drop(columns="code").assign(v=v)[root != np.arange(len(nodes))]
 
 
-def _contract_nearby(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace edges by stars inside bounded chunks of nearby ones.
-
-    Any subset of edges may be contracted on its own, so the result is right however rows fall into chunks; placing
-    edges by blocks of 128 x 128 cells leaves the distributed rounds little more than the links between blocks.
-    """
+def _stars_of(edges: DataFrame, keys: list[str], most: int | None) -> DataFrame:
+    """Replace edges by stars inside chunks of about `most` rows of each task (all rows of a task if not given)."""
     types = dict(edges.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "u", "v"])
 
@@ -102,58 +52,94 @@ def _contract_nearby(edges: DataFrame, keys: list[str]) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += len(batch)
-            if size >= _CHUNK:
+            if most and size >= most:
                 yield _stars(pd.concat(held, ignore_index=True), keys)
                 held, size = [], 0
         if size:
             yield _stars(pd.concat(held, ignore_index=True), keys)
 
-    row, col = F.expr(f"u div {_ROW} div {_BLOCK}"), F.expr(f"(u & {_ROW - 1}) div {_BLOCK}")
-    placed = edges.withColumn("_by", row).withColumn("_bx", col)
-    block = [*keys, "_by", "_bx"]
-    return placed.repartition(*block).sortWithinPartitions(*block).select(*keys, "u", "v").mapInPandas(run, schema)
+    return edges.select(*keys, "u", "v").mapInPandas(run, schema)
 
 
-def contract(edges: DataFrame, keys: list[str] = TILE) -> DataFrame:
-    """Smallest reachable node of every node that has an edge: rows (keys, node, root)."""
-    def fingerprint(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "u", "v"))).first())
+def _contract_nearby(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace edges by stars inside bounded chunks of nearby ones; any subset of edges may be contracted on its own, so the result does not depend on the chunks."""
+    row, col = F.expr(f"u div {ROW} div {_NEAR}"), F.expr(f"(u & {ROW - 1}) div {_NEAR}")
+    near = [*keys, "_by", "_bx"]
+    return _stars_of(edges.withColumn("_by", row).withColumn("_bx", col).repartition(*near).sortWithinPartitions(*near), keys, _CHUNK)
 
+
+def _told(pairs: DataFrame, keys: list[str], hubs: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs with `_m`, the smallest v of their u, and the table (u, _m).
+
+    Minima are aggregated before the shuffle. Sending them back would bring all neighbours of a hub to one task, so those of nodes in `hubs` (u, parts) are dealt by a hash of v too.
+    """
+    low = pairs.groupBy(*keys, "u").agg(F.min("v").alias("_m"))
+    if hubs is None:
+        return pairs.join(low, [*keys, "u"]), low
+    # at most edges / HUB rows
+    hubs = F.broadcast(hubs)
+    part = F.pmod(F.xxhash64("v"), F.coalesce("_parts", F.lit(1))).cast("int")
+    salted = pairs.join(hubs, [*keys, "u"], "left").withColumn("_z", part).drop("_parts")
+    answer = low.join(hubs, [*keys, "u"], "left").withColumn("_z", F.explode(F.sequence(F.lit(0), (F.coalesce("_parts", F.lit(1)) - 1).cast("int")))).drop("_parts")
+    return salted.join(answer, [*keys, "u", "_z"]).drop("_z"), low
+
+
+def _state(edges: DataFrame, keys: list[str], hub: int) -> tuple[int, bool, DataFrame | None]:
+    """Number of edges, whether they are stars already (no node has two parents or is both), and the hubs; one aggregation over the nodes."""
+    ends = edges.select(*keys, F.explode(F.array(F.struct(F.col("u"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("_e")).select(*keys, "_e.*")
+    nodes = ends.groupBy(*keys, "u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    size, bad, most = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.coalesce(F.max(((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).cast("int")), F.lit(0)), F.coalesce(F.max(F.col("up") + F.col("down")), F.lit(0))).first()
+    hubs = cut(nodes.filter(F.col("up") + F.col("down") > hub).select(*keys, "u", F.ceil((F.col("up") + F.col("down")) / hub).cast("int").alias("_parts")), "hubs") if most > hub else None
+    return size, not bad, hubs
+
+
+def contract(edges: DataFrame, keys: list[str] = TILE, finish: int = FINISH, hub: int = HUB) -> DataFrame:
+    """Smallest reachable node of every node that has an edge: rows (keys, node, root)."""
     directed = edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     step = StepTable(_contract_nearby(directed, keys), "edges")
-    mark = fingerprint(step.df)
-    while mark[0]:
+    while True:
         e = step.df
-        # large star: link every larger neighbour to the smallest neighbour
-        both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        told, _ = _smallest_neighbour(both, keys)
-        large = (told.filter("v > u").select(*keys, F.col("v").alias("u"), F.least("_m", "u").alias("v")).filter("u <> v"))
-        # small star: link the smaller neighbours and the node itself to the smallest one
-        told, low = _smallest_neighbour(large, keys)
-        small = (told.filter("v <> _m").select(*keys, F.col("v").alias("u"), F.col("_m").alias("v"))
-                 .unionByName(low.select(*keys, "u", F.col("_m").alias("v"))))
-        following = StepTable(small.distinct(), "edges")
-        old_mark, mark = mark, fingerprint(following.df)
+        size, stars, hubs = _state(e, keys, hub)
+        if stars:
+            break
+        if size <= finish:
+            following = StepTable(_stars_of(e.repartition(1), keys, None), "edges")
+        else:
+            # large star: link every larger neighbour to the smallest neighbour
+            both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+            told, _ = _told(both, keys, hubs)
+            large = cut(told.filter("v > u").select(*keys, F.col("v").alias("u"), F.least("_m", "u").alias("v")).filter("u <> v").distinct(), "large")
+            # small star: link the smaller neighbours and the node itself to the smallest one; a node has few smaller neighbours here unless it is a hub
+            _, _, hubs = _state(large, keys, hub)
+            told, low = _told(large, keys, hubs)
+            small = told.filter("v <> _m").select(*keys, F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(low.select(*keys, "u", F.col("_m").alias("v")))
+            following = StepTable(small.distinct(), "edges")
         step.drop()
         step = following
-        if mark == old_mark:
-            break
     e = step.df
     return (e.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
             .unionByName(e.select(*keys, F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
-def run_components(spans: DataFrame, conn: int = 2, keys: list[str] = TILE) -> DataFrame:
+def _rooted_pieces(spans: DataFrame, conn: int, keys: list[str], block: int) -> DataFrame:
+    """Runs cut at block borders (p0, p1), with `root`: the id of the component's first run in raster order."""
+    pieces = cut(labelled(spans, conn, keys, block), "pieces")
+    roots = contract(border_links(pieces, conn, keys, block), keys).withColumnRenamed("node", "local")
+    # a local component has at most the pieces of one block
+    return pieces.join(roots, [*keys, "local"], "left").withColumn("root", F.coalesce("root", "local")).drop("local")
+
+
+def run_components(spans: DataFrame, conn: int = 2, keys: list[str] = TILE, block: int = BLOCK) -> DataFrame:
     """Runs with `root`, the id of the component's first run in raster order."""
-    spans = cut(spans.select(*keys, "y", "x0", "x1"), "runs")
-    roots = contract(run_links(spans, conn, keys), keys).withColumnRenamed("node", "_rid")
-    return (spans.withColumn("_rid", _rid()).join(roots, [*keys, "_rid"], "left")
-            .withColumn("root", F.coalesce("root", "_rid")).drop("_rid"))
+    kinds = dict(spans.dtypes)
+    whole = _rooted_pieces(spans, conn, keys, block).filter("p0 = x0")
+    return whole.select(*keys, *[F.col(c).cast(kinds[c]).alias(c) for c in ("y", "x0", "x1")], "root")
 
 
-def rooted_cells(mask: DataFrame, conn: int = 2, keys: list[str] = TILE) -> DataFrame:
+def rooted_cells(mask: DataFrame, conn: int = 2, keys: list[str] = TILE, block: int = BLOCK) -> DataFrame:
     """Cells with their component root, without numbering."""
-    return run_cells(run_components(runs(mask, keys), conn, keys), ["root"], keys)
+    pieces = _rooted_pieces(runs(mask, keys), conn, keys, block)
+    return run_cells(pieces.select(*keys, F.col("y").cast("int").alias("y"), F.col("p0").alias("x0"), F.col("p1").alias("x1"), "root"), ["root"], keys)
 
 
 def number_components(rooted: DataFrame, keys: list[str] = TILE) -> DataFrame:
@@ -163,10 +149,9 @@ def number_components(rooted: DataFrame, keys: list[str] = TILE) -> DataFrame:
     return rooted.join(ids.select(*keys, "root", "comp"), [*keys, "root"]).drop("root")
 
 
-def components(mask: DataFrame, conn: int = 2, keys: list[str] = TILE) -> DataFrame:
+def components(mask: DataFrame, conn: int = 2, keys: list[str] = TILE, block: int = BLOCK) -> DataFrame:
     """Cells with component ids from 1 in raster-scan order."""
-    numbered = number_components(run_components(runs(mask, keys), conn, keys), keys)
-    return run_cells(numbered, ["comp"], keys)
+    return run_cells(number_components(run_components(runs(mask, keys), conn, keys, block), keys), ["comp"], keys)
 
 
 def bboxes(comp: DataFrame, keys: list[str]) -> DataFrame:
@@ -199,9 +184,9 @@ def holes(mask: DataFrame, keys: list[str] = TILE) -> DataFrame:
     exactly when it has a run on the box edge.
     """
     empty = cut(complement_runs(mask, keys), "gaps")
-    labelled = cut(run_components(empty, 1, keys).join(empty, [*keys, "y", "x0", "x1"]), "gap-roots")
-    closed = labelled.groupBy(*keys, "root").agg(F.max("edge").alias("open")).filter("not open")
-    return run_cells(labelled.join(closed, [*keys, "root"], "left_semi"), keys=keys)
+    rooted = cut(run_components(empty, 1, keys).join(empty, [*keys, "y", "x0", "x1"]), "gap-roots")
+    closed = rooted.groupBy(*keys, "root").agg(F.max("edge").alias("open")).filter("not open")
+    return run_cells(rooted.join(closed, [*keys, "root"], "left_semi"), keys=keys)
 
 
 def fill_holes(mask: DataFrame, buffer: DataFrame | None = None, keys: list[str] = TILE) -> DataFrame:
@@ -212,76 +197,52 @@ def fill_holes(mask: DataFrame, buffer: DataFrame | None = None, keys: list[str]
     return out if buffer is None else out.join(buffer.select(*cell), cell, "left_semi")
 
 
-def distance_to_background(comp: DataFrame, at: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact Euclidean distance of the cells `at` to the nearest unset cell inside the object's box.
+def distance_to_background(comp: DataFrame, at: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Exact Euclidean distance of the cells `at` (all if None) to the nearest unset cell inside the object's box.
 
-    `keys` identify an object. Column distances come from vertical runs; the squared distance is the minimum
-    over columns of dx^2 + column distance^2, and only columns nearer than the smaller of the own row and column
-    distance can win, so the work per cell is the thickness of the object, not its area. An
-    object that fills its box is measured to the cells just outside the box.
+    `keys` identify an object. Column distances come from vertical runs, then each row run takes the lower envelope of its columns' parabolas, so the cost is
+    linear in the cells whatever the thickness. An object that fills its box is measured to the cells just outside the box.
     """
     comp = cut(comp.select(*keys, "y", "x"), "objects")
     box = comp.groupBy(*keys).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"),
                                   F.max("x").alias("_x1"), F.count(F.lit(1)).alias("_n"))
     full = F.col("_n") == (F.col("_y1") - F.col("_y0") + 1) * (F.col("_x1") - F.col("_x0") + 1)
-    box = box.withColumn("_pad", full.cast("int"))
-
-    def axis_distance(line: str, along: str, name: str) -> DataFrame:
-        """Distance along one axis to the nearest unset cell of the box, null when there is none."""
-        lo, hi = ("_y0", "_y1") if along == "y" else ("_x0", "_x1")
-        w = Window.partitionBy(*keys, line).orderBy(along)
-        run = comp.withColumn("_g", F.col(along) - F.row_number().over(w))
-        ends = run.groupBy(*keys, line, "_g").agg(F.min(along).alias("_s"), F.max(along).alias("_e")).join(box, keys)
-        cells = ends.withColumn(along, F.explode(F.sequence("_s", "_e")))
-        down = F.when(F.col("_s") - 1 >= F.col(lo) - F.col("_pad"), F.col(along) - F.col("_s") + 1)
-        up = F.when(F.col("_e") + 1 <= F.col(hi) + F.col("_pad"), F.col("_e") + 1 - F.col(along))
-        return cells.select(*keys, "y", "x", F.least(down, up).alias(name))
-
+    box = cut(box.withColumn("_pad", full.cast("int")), "boxes")
+    down, across = Window.partitionBy(*keys, "x").orderBy("y"), Window.partitionBy(*keys, "y").orderBy("x")
+    ends = (comp.withColumn("_g", F.col("y") - F.row_number().over(down)).groupBy(*keys, "x", "_g").agg(F.min("y").alias("_s"), F.max("y").alias("_e")).join(box, keys))
+    cells = ends.withColumn("y", F.explode(F.sequence("_s", "_e")))
+    above = F.when(F.col("_s") - 1 >= F.col("_y0") - F.col("_pad"), F.col("y") - F.col("_s") + 1)
+    below = F.when(F.col("_e") + 1 <= F.col("_y1") + F.col("_pad"), F.col("_e") + 1 - F.col("y"))
+    cells = cells.select(*keys, "y", "x", F.coalesce(F.least(above, below), F.lit(-1)).cast("bigint").alias("g"), (F.col("_x0") - F.col("_pad")).alias("_x0"), (F.col("_x1") + F.col("_pad")).alias("_x1"))
+    placed = cells.repartition(*keys, "y").withColumn("_r", F.col("x") - F.row_number().over(across))  # rows stay where they are from here on
+    run = Window.partitionBy(*keys, "y", "_r")
+    rows = (placed.withColumn("run", F.min("x").over(run)).withColumn("_end", F.max("x").over(run))
+            .withColumn("open_left", F.col("run") - 1 >= F.col("_x0")).withColumn("open_right", F.col("_end") + 1 <= F.col("_x1")))
     cell = [*keys, "y", "x"]
-    vertical = cut(axis_distance("x", "y", "_v"), "vertical")
-    reach = (
-        at.select(*cell).join(vertical, cell).join(axis_distance("y", "x", "_h"), cell).join(box, keys)
-        .withColumn("_r", F.coalesce(F.least("_v", "_h"), F.col("_x1") - F.col("_x0") + 1))
-    )
-    probe = (
-        reach.withColumn("_px", F.explode(F.sequence(
-            F.greatest(F.col("_x0") - F.col("_pad"), F.col("x") - F.col("_r")),
-            F.least(F.col("_x1") + F.col("_pad"), F.col("x") + F.col("_r")))))
-        .select(*cell, "_px", "_pad", "_x0", "_x1")
-    )
-    columns = vertical.select(*keys, "y", F.col("x").alias("_px"), F.lit(1).alias("_set"), F.col("_v").alias("_g"))
-    # an unset probe cell is at column distance 0; a set one without unset cells in its column never wins
-    found = (probe.join(columns, [*keys, "y", "_px"], "left")
-             .withColumn("_g", F.when(F.col("_set").isNull(), F.lit(0)).otherwise(F.col("_g"))))
-    dx = F.col("_px") - F.col("x")
-    return found.groupBy(*cell).agg(F.sqrt(F.min(dx * dx + F.col("_g") * F.col("_g")).cast("double")).alias("dist"))
-
-
-def _ones(bits, order):
-    return sum((F.shiftright(bits, k).bitwiseAND(1) for k in order), F.lit(0))
-
-
-def skeleton(comp: DataFrame, keys: list[str]) -> DataFrame:
-    """Two-subpass thinning (Zhang and Suen, 1984) of all objects at once; stops when no cell goes."""
-    def bit(k):
-        return F.shiftright(F.col("bits"), k).bitwiseAND(1)
-
-    ring = [1, 2, 3, 4, 5, 6, 7, 0]  # N NE E SE S SW W NW
-    count = _ones(F.col("bits"), range(8))
-    turns = sum((((bit(a) == 0) & (bit(b) == 1)).cast("int") for a, b in zip(ring, ring[1:] + ring[:1])), F.lit(0))
-    n, e, s, w = bit(1), bit(3), bit(5), bit(7)
-    sides = [(n * e * s == 0) & (e * s * w == 0), (n * e * w == 0) & (n * s * w == 0)]
-    step = StepTable(comp.select(*keys, "y", "x"), "thin")
-    size = step.df.count()
+    out = row_distances(rows.select(*cell, "run", "g", "open_left", "open_right"), keys, cell).select(*cell, F.sqrt(F.col("d2").cast("double")).alias("dist"))
+    return out if at is None else out.join(at.select(*cell), cell, "left_semi")
+
+
+def skeleton(comp: DataFrame, keys: list[str], block: int = BLOCK, halo: int | None = None) -> DataFrame:
+    """Two-subpass thinning (Zhang and Suen, 1984) of all objects at once, many rounds for each shuffle; an object leaves once a round changes nothing in it."""
+    kinds = dict(comp.dtypes)
+    more = {} if halo is None else {"halo": halo}
+    key, out = [*keys, "_by", "_bx"], []
+    step = StepTable(thinning_step(comp.select(*keys, "y", "x"), keys, block, **more), "thin")
     while True:
-        current = step.df
-        for rule in sides:
-            drop = count.between(2, 6) & (turns == 1) & rule
-            current = neighbour_bits(current, keys).filter(~drop).select(*keys, "y", "x")
-        following = StepTable(current, "thin")
-        left = following.df.count()
+        blocks = cut(step.df.groupBy(*key).agg(F.max("moving").alias("moving")), "blocks")
+        objects = blocks.groupBy(*keys).agg(F.max("moving").alias("live"))
+        state = cut(blocks.drop("moving").join(objects, keys), "state")
+        if not state.agg(F.max("live")).first()[0]:
+            out.append(step.df)
+            break
+        # the key holds a block, so a giant object's cells are joined in many tasks
+        cells = step.df.join(state, key)
+        out.append(cut(cells.filter("not live").select(*keys, "y", "x"), "thinned"))
+        following = StepTable(thinning_step(cells.filter("live").select(*keys, "y", "x"), keys, block, **more), "thin")
         step.drop()
         step = following
-        if left == size:
-            return step.df
-        size = left
+    done = out[0].select(*keys, "y", "x")
+    for part in out[1:]:
+        done = done.unionByName(part.select(*keys, "y", "x"))
+    return done.select(*keys, *[F.col(c).cast(kinds[c]).alias(c) for c in ("y", "x")])
