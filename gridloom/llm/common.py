@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import groupby
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Rows of one Arrow batch are handled in slices of at most this many bytes of text (one longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
+#: And of at most this many rows, so that a row's number in its slice fits 16 bits with room for marks.
+SLICE_ROWS = 60_000
 U64 = np.uint64
 
 
@@ -49,14 +53,14 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in order, in slices of bounded text."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in slices of bounded text and number."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > most:
+        if held and held + n > most or i - begin >= rows:
             yield batch.slice(begin, i - begin)
             begin, held = i, 0
         held += int(n)
@@ -74,6 +78,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_MEMO: dict = {}
+
+
+def remembered(name, make: Callable):
+    """What a Python worker remembers from one task to the next: one thing at a time.
+
+    Workers outlive tasks and stages, so whatever another operator has left is dropped, and its memory given back, before `make` starts a new memo.
+    """
+    if name not in _MEMO:
+        if _MEMO:
+            _MEMO.clear()
+            give_back()
+        _MEMO[name] = make()
+    return _MEMO[name]
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Memo(dict):
     """A table filled on demand from `value(key)`; `trim` empties it between slices once it holds more than `most` keys."""
 
@@ -92,7 +122,7 @@ class Memo(dict):
 
 def word_hashes() -> Memo:
     """64-bit hash of a word's bytes; equal words have equal hashes, and 64 bits make other cases negligible."""
-    return Memo(xxhash.xxh3_64_intdigest, 50_000)
+    return remembered("word hashes", lambda: Memo(xxhash.xxh3_64_intdigest, 50_000))
 
 
 def looked_up(memo: dict, keys: list, kind) -> np.ndarray:
@@ -137,7 +167,7 @@ def with_columns(df: DataFrame, added: str, values: Callable[[pa.RecordBatch], l
                 given = pa.RecordBatch.from_arrays([part.column(f"__in_{n}") for n in names], names=names)
                 made = values(given)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]], names=[*kept, *new.names])
-        pa.default_memory_pool().release_unused()  # the worker waits for other tasks
+        give_back()  # the worker waits for other tasks
 
     return inner.mapInArrow(run, schema)
 

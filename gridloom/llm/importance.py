@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
-from .common import U64, batch_of, looked_up, mix, slices, texts, with_columns, word_hashes
+from .common import U64, batch_of, give_back, looked_up, mix, slices, texts, with_columns, word_hashes
 
 
 @dataclass(frozen=True)
@@ -66,6 +66,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key
                 total[0] += np.bincount(bucket, minlength=1 << bits)
                 total[1] += np.bincount(bucket[good[doc]], minlength=1 << bits)
         yield batch_of(schema, np.arange(1 << bits), total[0], total[1])
+        give_back()
 
     counted = rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -81,10 +82,9 @@ def weigh(docs: DataFrame, ratios: np.ndarray, s: Settings = Settings(), key: st
     """`docs` with `log_ratio` and `gumbel_key` (the log ratio plus Gumbel noise); `prefix` stands before the new names."""
     table = docs.sparkSession.sparkContext.broadcast(ratios)  # 2^bits numbers, a parameter
     bits, seed = s.bits, s.seed
-    memo = word_hashes()
 
     def values(part: pa.RecordBatch) -> list:
-        bucket, doc = _buckets(texts(part.column("text")), memo, bits)
+        bucket, doc = _buckets(texts(part.column("text")), word_hashes(), bits)
         weight = np.bincount(doc, table.value[bucket], minlength=part.num_rows)
         u = np.array([(xxhash.xxh3_64_intdigest(str(k), seed) >> 11) + 0.5 for k in part.column("key").to_pylist()]) / (1 << 53)
         return [weight, weight - np.log(-np.log(u))]

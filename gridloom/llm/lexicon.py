@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
-from .common import batch_of, lean, ragged, slices, starts, with_columns
+from .common import batch_of, lean, ragged, remembered, slices, starts, with_columns
 from .importance import kth_largest
 from .token_ids import Encoder, load
 
@@ -188,19 +188,13 @@ def byte_table(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), np.uint8), starts(np.array([len(r) for r in rows], np.int64))
 
 
-_HELD: dict[tuple[str, str], tuple] = {}  # of a Python worker: what one task has learned serves the next
-
-
 def encoded(docs: DataFrame, tokenizer: str, blob: bytes, s: Settings = Settings(), text: str = "text", with_ids: bool = True) -> DataFrame:
     """`docs` with n_tokens, ids_sha256, decoded_sha256, and with `with_ids` the ids and the decoded text."""
     sent = docs.sparkSession.sparkContext.broadcast(blob)  # bounded by the lexicon's size, a parameter
-    name = (tokenizer, hashlib.sha256(blob).hexdigest())
+    name = ("lexicon", tokenizer, hashlib.sha256(blob).hexdigest())
 
     def values(part: pa.RecordBatch) -> list:
-        if name not in _HELD:
-            _HELD.clear()
-            _HELD[name] = (LexiconEncoder(tokenizer, mapped(sent.value), s.memo), *byte_table(tokenizer))
-        encoder, flat, at = _HELD[name]
+        encoder, flat, at = remembered(name, lambda: (LexiconEncoder(tokenizer, mapped(sent.value), s.memo), *byte_table(tokenizer)))
         ids, lengths = encoder([t or "" for t in part.column("text").to_pylist()])
         size = (at[1:] - at[:-1])[ids]
         raw = ragged(flat, at[:-1][ids], size).tobytes()

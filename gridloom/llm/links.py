@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blocks import local_roots
 from ..operators.components import contract
 
-
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of n nodes by edges (a, b)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        for at in (root[a], root[b]):
-            np.minimum.at(new, at, low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+__all__ = ["components", "local_roots"]
 
 
 def components(edges: DataFrame) -> DataFrame:

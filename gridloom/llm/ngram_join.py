@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
-from .common import U64, batch_of, lean, looked_up, mix, ragged, slices, starts, texts, word_hashes
+from .common import U64, batch_of, give_back, lean, looked_up, mix, ragged, slices, starts, texts, word_hashes
 from .links import components, local_roots
 
 _LOW = U64((1 << 48) - 1)
@@ -131,6 +131,7 @@ def _read(docs: DataFrame, parts: int, s: Settings) -> DataFrame:
                 rows.append((-1 - chunk % parts, chunk, piece.column("doc_id").to_pylist(), n.tobytes(), own, d[many].astype("<u2").tobytes()))
                 yield batch_of(schema, *zip(*rows, strict=True))
                 chunk += 1
+        give_back()
 
     return docs.mapInArrow(run, _BLOCKS)
 

@@ -13,6 +13,7 @@ Defined cases: a null or empty text is the end token alone; repeated rows are pa
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices, starts
+from .common import batch_of, give_back, slices, starts
 from .token_ids import encoder as encoder_of
 
 
@@ -32,7 +33,6 @@ class Plan:
     capacity: int = 2048
     linear: float = 1.0
     quadratic: float = 1.0 / 1024
-    tries: int = 8  # sequences of lowest cost that are asked for room before a piece is cut
     group_tokens: int = 1 << 21
     memo: int = 800_000  # pieces whose ids a worker remembers; less memory, more work
 
@@ -43,8 +43,47 @@ def capacities(total: int, capacity: int) -> list[int]:
     return [capacity] * (total // capacity) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
+class Open:
+    """Open sequences by room: the one of lowest cost among those with at least n ids of room, exactly.
+
+    Heaps of (cost, sequence), one for each amount of room, are the leaves of a tree whose inner nodes hold the least of their two.
+    """
+
+    NONE = (math.inf, -1)
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list] = [[] for _ in range(self.size)]
+        self.tree = [self.NONE] * (2 * self.size)
+
+    def _mend(self, room: int) -> None:
+        i = room + self.size
+        self.tree[i] = self.heaps[room][0] if self.heaps[room] else self.NONE
+        while i > 1:
+            i >>= 1
+            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def add(self, room: int, cost: float, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self._mend(room)
+
+    def cheapest(self, room: int) -> tuple[float, int]:
+        """Cost and sequence, or NONE."""
+        best, a, b = self.NONE, room + self.size, 2 * self.size
+        while a < b:
+            if a & 1:
+                best, a = min(best, self.tree[a]), a + 1
+            a, b = a >> 1, b >> 1  # b is a power of two
+        return best
+
+    def take(self, room: int) -> None:
+        """Remove the least of those with exactly that room."""
+        heapq.heappop(self.heaps[room])
+        self._mend(room)
+
+
 def pack(lengths: np.ndarray, plan: Plan = Plan()) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of documents of the given lengths."""
+    """Pieces (document, start, length, sequence, offset) of documents of the given lengths; equal costs go by sequence, equal lengths by document."""
     room = capacities(int(lengths.sum()), plan.capacity)
     out, filled = [], [0] * len(room)
     cost = lambda n: plan.linear * n + plan.quadratic * n * n
@@ -56,20 +95,21 @@ def pack(lengths: np.ndarray, plan: Plan = Plan()) -> list[tuple[int, int, int,
             full, at = full + 1, at + plan.capacity
         if n > at:
             pieces.append((int(d), at, n - at))
-    open_ = [(0.0, s) for s in range(full, len(room))]
-    heapq.heapify(open_)
+    open_ = Open(plan.capacity)
+    for s in range(full, len(room)):
+        open_.add(room[s], 0.0, s)
     for d, at, n in sorted(pieces, key=lambda p: -p[2]):
         while n:
-            tried = [heapq.heappop(open_) for _ in range(min(plan.tries, len(open_)))]
-            pick = next((i for i, (_, s) in enumerate(tried) if room[s] - filled[s] >= n), 0)
-            c, s = tried.pop(pick)
-            for x in tried:
-                heapq.heappush(open_, x)
-            take = min(n, room[s] - filled[s])
+            c, s = open_.cheapest(n)
+            if s < 0:
+                c, s = open_.cheapest(1)
+            left = room[s] - filled[s]
+            open_.take(left)
+            take = min(n, left)
             out.append((d, at, take, s, filled[s]))
             filled[s] += take
-            if filled[s] < room[s]:
-                heapq.heappush(open_, (c + cost(take), s))
+            if take < left:
+                open_.add(left - take, c + cost(take), s)
             at, n = at + take, n - take
     return out
 
@@ -112,6 +152,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, plan: Plan = Plan(), ke
                         keys, held, size = [], [], 0
         if held:
             yield emit()
+        held.clear()
+        give_back()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
     return rows if with_ids else rows.drop("ids")

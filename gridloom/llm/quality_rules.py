@@ -11,6 +11,7 @@ with no documents there are no references and no rows.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Memo, batch_of, mix, slices, starts, texts, with_columns
+from .common import U64, Memo, batch_of, mix, remembered, slices, starts, texts, with_columns
 
 _WS = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -136,9 +137,10 @@ def judge(docs: DataFrame, refs: DataFrame, rules: Rules = Rules(), text: str =
         own = np.array([r["n"] for r in x["top"] or []], float) / max(x["total"] or 0, 1)
         shares.append((np.array(x["classes"]) / max(sum(x["classes"]), 1), np.append(own, max(0.0, 1 - own.sum()))))
     place, named = {x["lang"]: k for k, x in enumerate(found)}, lang in docs.columns
-    near = Memo(lambda w: [m.get(_plain(w), -1) for m in lists])
+    name = ("quality", uuid.uuid4().hex)  # of these references
 
     def values(part: pa.RecordBatch) -> list:
+        near = remembered(name, lambda: Memo(lambda w: [m.get(_plain(w), -1) for m in lists]))
         bodies = texts(part.column("text"))
         split = [t.split() for t in bodies]
         n_words = np.array([len(w) for w in split], np.int64)

@@ -1,7 +1,7 @@
 """Secrets by fixed patterns and by character Markov models, with DataFrame functions only.
 
 Three patterns give the base spans. Two first-order character models are trained: on the values that the patterns found in all documents (random strings)
-and on ordinary identifiers of a sample of them. Any other long run of identifier characters is scored by the log-likelihood ratio of the two models; a run that is
+and on their ordinary identifiers; all documents count, as pairs of characters. Any other long run of identifier characters is scored by the log-likelihood ratio of the two models; a run that is
 long enough and random enough is a further span of kind `markov`. Base spans are cut out of a run first; of what is left, pieces between `/`, `_`, `=` and `-` are
 judged as well where the whole is not random enough, so that ordinary text around a random string does not hide it.
 
@@ -36,9 +36,8 @@ SPAN = "struct<start:int,ord:int,end:int,kind:string>"
 
 @dataclass(frozen=True)
 class Settings:
-    """`identifier_docs`: documents (by hash order of the id) that ordinary identifiers come from; limits on the ratio of a run, or of its best stretch, in nats."""
+    """Limits on the ratio of a run, or of its best stretch, in nats."""
 
-    identifier_docs: int = 2_000
     smoothing: float = 0.2
     least_total: float = 15.0
     least_each: float = 0.7
@@ -48,18 +47,57 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of `body` with `name` bound to a value that is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _running(values: str, step: str) -> str:
+    """SQL of running sums or maxima of an array by doubling distances: `step` combines x and y. Passes are the logarithm of the length."""
+    return f"""aggregate(sequence(0, 30), {values}, (acc, j) -> if(size(acc) <= shiftleft(1, j), acc,
+        transform(acc, (x, i) -> if(i < shiftleft(1, j), x, {step.replace("y", "acc[i - shiftleft(1, j)]")}))))"""
+
+
+def _sums(values: str) -> str:
+    return _running(values, "x + y")
+
+
+#: Code points of a block of text; taking a piece out of a text costs a block and not all that stands before it.
+BLOCK = 1000
+
+
+def _blocks(text: str) -> str:
+    return f"regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0)"
+
+
+def _piece(blocks: str, start: str, end: str) -> str:
+    """SQL of the code points [start, end) of a text given by its blocks."""
+    return f"""if({end} <= {start}, '', array_join(transform(sequence(cast(({start}) div {BLOCK} as int), cast((({end}) - 1) div {BLOCK} as int)), k -> substring({blocks}[k],
+        greatest(({start}) - k * {BLOCK}, 0) + 1, least(({end}) - k * {BLOCK}, {BLOCK}) - greatest(({start}) - k * {BLOCK}, 0))), ''))"""
+
+
+def _replaced(text: str, spans: str, put: str) -> str:
+    """SQL of a text whose spans (sorted by start; overlapping ones as one) are replaced; `put` is an expression of b (the span) and its part beyond the spans before, [f, t)."""
+    tops = _running(f"transform({spans}, b -> b.end)", "greatest(x, y)")
+    inner = f"""concat(array_join(transform({spans}, (b, i) -> {_let("named_struct('top', if(i = 0, 0, tops[i - 1]))", "p", f"concat({_piece('blocks', 'p.top', 'b.start')}, {put})")}), ''),
+        {_piece("blocks", "tops[size(tops) - 1]", f"length({text})")})"""
+    return _let(_blocks(text), "blocks", _let(tops, "tops", inner))
+
+
 def _spans(text: str, kind: str, order: int, pattern: str, group: int, least: int) -> str:
     """SQL of the spans of one pattern whose group is long enough, in order."""
     p = _quoted(pattern)
     none = f"cast(array() as array<{SPAN}>)"
-    walk = f"""aggregate(sequence(0, size(m.whole) - 1), named_struct('at', 0, 'out', {none}),
-        (acc, i) -> named_struct('at', acc.at + length(m.gaps[i]) + length(m.whole[i]), 'out', if(length(m.part[i]) >= {least},
-            concat(acc.out, array(named_struct('start', acc.at + length(m.gaps[i]), 'ord', {order}, 'end', acc.at + length(m.gaps[i]) + length(m.whole[i]), 'kind', '{kind}'))), acc.out)),
-        acc -> acc.out)"""
     found = f"named_struct('whole', regexp_extract_all({text}, {p}, 0), 'part', regexp_extract_all({text}, {p}, {group}), 'gaps', split({text}, {p}, -1))"
-    # most texts have no value of the least length: one cheap test spares them the walk
-    test = _quoted(pattern[:pattern.rindex("+")] + f"{{{least if kind != 'access' else least - 4},}}" + pattern[pattern.rindex("+") + 1:])
-    return f"if({text} rlike {test}, flatten(transform(array({found}), m -> {walk})), {none})"
+    ends = _sums("transform(m.whole, (w, i) -> length(m.gaps[i]) + length(w))")
+    placed = f"""transform(m.whole, (w, i) -> if(length(m.part[i]) >= {least}, named_struct('start', ends[i] - length(w), 'ord', {order}, 'end', ends[i], 'kind', '{kind}'), null))"""
+    walk = _let(found, "m", _let(ends, "ends", f"filter({placed}, x -> x is not null)"))
+    return f"if({text} rlike {_quoted(_long(pattern, kind, least))}, {walk}, {none})"
+
+
+def _long(pattern: str, kind: str, least: int) -> str:
+    """Most texts have no value of the least length: one cheap test spares them the walk."""
+    return pattern[:pattern.rindex("+")] + f"{{{least if kind != 'access' else least - 4},}}" + pattern[pattern.rindex("+") + 1:]
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,25 +109,20 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("__base", F.array_sort(F.concat(*[F.col(f"__{kind}") for kind, *_ in BASE])))
 
 
-def _sample(docs: DataFrame, key: str, n: int) -> DataFrame:
-    chosen = docs.select(F.col(key).alias("__k")).distinct().orderBy(F.xxhash64("__k"), "__k").limit(n)
-    return docs.join(F.broadcast(chosen), docs[key] == chosen["__k"]).drop("__k")
-
-
 def _bigrams(strings: DataFrame) -> DataFrame:
     """Counts of adjacent characters (as alphabet positions) in a column `s`."""
     pairs = strings.select(F.explode(F.expr("transform(sequence(1, length(s) - 1), i -> substring(s, i, 2))")).alias("p"))
     return pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
-def train(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> list[float] | None:
+def train(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> list[float] | None:
     """Log ratios of the random to the ordinary model for each pair of characters; None if a sample is empty."""
-    d = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    secrets = base_spans(d).select(F.explode("__base").alias("b"), "text")
+    d = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     # of an assignment only the value is random: its last run of identifier characters
-    secrets = secrets.select(F.regexp_extract(F.expr("substring(text, b.start + 1, b.end - b.start)"), r"([A-Za-z0-9+/_=-]+)$", 1).alias("s")).filter("length(s) >= 8")
-    words = (_sample(d, key, s.identifier_docs).select(F.explode(F.expr(f"regexp_extract_all(text, {_quoted(IDENTIFIER)}, 0)")).alias("s"))
-             .filter(~F.col("s").rlike("[0-9]{4}")))
+    values = [f"""if(text rlike {_quoted(_long(p, kind, n))}, transform(filter(arrays_zip(regexp_extract_all(text, {_quoted(p)}, 0), regexp_extract_all(text, {_quoted(p)}, {g})),
+        x -> length(x.`1`) >= {n}), x -> regexp_extract(x.`0`, '([A-Za-z0-9+/_=-]+)$', 1)), cast(array() as array<string>))""" for kind, p, g, n in BASE]
+    secrets = d.select(F.explode(F.expr(f"concat({', '.join(values)})")).alias("s")).filter("length(s) >= 8")
+    words = d.select(F.explode(F.expr(f"regexp_extract_all(text, {_quoted(IDENTIFIER)}, 0)")).alias("s")).filter(~F.col("s").rlike("[0-9]{4}"))
     place = {c: i for i, c in enumerate(ALPHABET)}
     models = []
     for sample in (secrets, words):
@@ -117,18 +150,19 @@ def scan(docs: DataFrame, ratios: list[float] | None, s: Settings = Settings(),
     total = f"""aggregate(sequence(1, length(x.s) - 1), 0D, (acc, i) -> acc + {model}[{_place('substring(x.s, i, 1)')} * {_SIDE} + {_place('substring(x.s, i + 1, 1)')}])"""
     p = _quoted(RUN)
     strings = "array<struct<at:int,s:string>>"
-    # runs and their places
-    walk = f"""aggregate(sequence(0, size(m.r) - 1), named_struct('at', 0, 'out', cast(array() as {strings})), (acc, i) -> named_struct('at', acc.at + length(m.g[i]) + length(m.r[i]),
-        'out', concat(acc.out, array(named_struct('at', acc.at + length(m.g[i]), 's', m.r[i])))), acc -> acc.out)"""
-    # one walk over the base spans blanks them, which cuts runs there and keeps all places
-    blank = """aggregate(__base, named_struct('at', 0, 'out', ''), (acc, b) -> named_struct('at', greatest(acc.at, b.end), 'out', concat(acc.out,
-        substring(__text, acc.at + 1, greatest(b.start - acc.at, 0)), repeat(' ', greatest(b.end - greatest(acc.at, b.start), 0)))), acc -> concat(acc.out, substring(__text, acc.at + 1)))"""
-    pieces = f"""aggregate(split(x.s, {_quoted('(?<=[/_=-])|(?=[/_=-])')}, -1), named_struct('at', x.at, 'out', cast(array() as {strings})), (acc, w) -> named_struct('at', acc.at + length(w),
-        'out', if(length(w) >= {LEAST_RUN}, concat(acc.out, array(named_struct('at', acc.at, 's', w))), acc.out)), acc -> acc.out)"""
+    def placed(whole: str, ends: str, where: str = "") -> str:
+        """Strings with their places, from running sums of the ends; `where` keeps some."""
+        out = f"transform({whole}, (w, i) -> named_struct('at', {ends} - length(w), 's', w))"
+        return f"filter({out}, y -> {where})" if where else out
+
+    walk = _let(_sums("transform(m.r, (w, i) -> length(m.g[i]) + length(w))"), "ends", placed("m.r", "ends[i]"))
+    # base spans are blanked, which cuts runs there and keeps all places
+    blank = _replaced("__text", "__base", "repeat(' ', greatest(b.end - greatest(p.top, b.start), 0))")
+    pieces = _let(f"split(x.s, {_quoted('(?<=[/_=-])|(?=[/_=-])')}, -1)", "ws", _let(_sums("transform(ws, w -> length(w))"), "ends", placed("ws", "x.at + ends[i]", f"length(y.s) >= {LEAST_RUN}")))
     scored = f"x -> named_struct('at', x.at, 's', x.s, 'llr', {total})"
     random = f"(x.llr >= {s.least_total} and x.llr >= {s.least_each} * (length(x.s) - 1))"
     judged = based.withColumn("__rest", F.expr(f"if(size(__base) > 0, {blank}, __text)"))
-    judged = judged.withColumn("__runs", F.expr(f"""if(__rest rlike {p}, flatten(transform(array(named_struct('r', regexp_extract_all(__rest, {p}, 0), 'g', split(__rest, {p}, -1))), m -> {walk})),
+    judged = judged.withColumn("__runs", F.expr(f"""if(__rest rlike {p}, {_let(f"named_struct('r', regexp_extract_all(__rest, {p}, 0), 'g', split(__rest, {p}, -1))", "m", walk)},
         cast(array() as {strings}))"""))
     judged = judged.withColumn("__runs", F.expr(f"transform(__runs, {scored})"))
     # a whole run that is not random may still hold a piece that is
@@ -152,7 +186,5 @@ def report(docs: DataFrame, ratios: list[float] | None, s: Settings = Settings()
 def redact(docs: DataFrame, ratios: list[float] | None, s: Settings = Settings(), text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every span (overlapping ones as one) replaced by `mark`; a null text stays null, other columns stay as they are."""
     found = scan(docs, ratios, s, text)
-    fold = f"""aggregate(__all, named_struct('at', 0, 'out', ''), (acc, x) -> named_struct('at', greatest(acc.at, x.end), 'out',
-        case when x.start >= acc.at then concat(acc.out, substring(`{text}`, acc.at + 1, x.start - acc.at), '{mark}') else acc.out end),
-        acc -> concat(acc.out, substring(`{text}`, acc.at + 1)))"""
+    fold = _replaced(f"`{text}`", "__all", f"if(b.start >= p.top, '{mark}', '')")
     return found.withColumn(text, F.when(F.size("__all") > 0, F.expr(fold)).otherwise(F.col(text))).drop("__base", "__all")

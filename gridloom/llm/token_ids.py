@@ -12,7 +12,7 @@ from itertools import repeat
 import numpy as np
 import public_tokenizers
 
-from .common import ragged, starts
+from .common import ragged, remembered, starts
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -177,11 +177,6 @@ class Encoder:
         return self.store.ids(number), total[at[1:]] - total[at[:-1]]
 
 
-_HELD: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(file: str, most: int = 800_000) -> Encoder:
     """One encoder for each Python worker, so that what one task has learned serves the next; results do not depend on it."""
-    if (file, most) not in _HELD:
-        _HELD[file, most] = Encoder(file, most)
-    return _HELD[file, most]
+    return remembered(("encoder", file, most), lambda: Encoder(file, most))

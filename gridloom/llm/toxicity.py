@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is the logistic of a bias and the sum of its words' weights; a word's weight is the sum
-over its hashed parts (the word and its character n-grams). A document's score is the noisy-or of its sentences, 1 - prod(1 - s), so labels
+over its hashed parts (the word and its character n-grams, as often as they occur in it). A document's score is the noisy-or of its sentences, 1 - prod(1 - s), so labels
 of documents train scores of sentences, and the sentences that carry the blame are found afterwards.
 
 The model is fitted on a bounded sample of labelled documents (`Fit.sample`): a share of toxic ones, and within a label half in proportion and half
@@ -15,7 +15,7 @@ are not learned from; repeated rows score alike.
 from __future__ import annotations
 
 import math
-from array import array
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -25,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batch_of, looked_up, ragged, slices, starts, texts, with_columns
+from .common import U64, batch_of, looked_up, mix, ragged, remembered, slices, starts, texts, with_columns
 
 _EDGES = b".,;:!?\"'()*#$%&"
 #: A document counts as toxic from this score on, in the query and in the pipeline.
 TOXIC_FROM = 0.3
+#: Words whose weights a task remembers.
+MEMO_WORDS = 150_000
 _ENDS = bytes.maketrans(b".!?\n", b"\n\n\n\n")
 
 
@@ -56,15 +58,28 @@ class Model:
     fit: Fit
 
 
-def _parts(word: bytes, fit: Fit) -> list[int]:
-    """Hashed parts of a word: itself, and the character n-grams of the marked word."""
-    w = word.strip(_EDGES).lower()
-    if not w:
-        return []
-    mask = (1 << fit.bits) - 1
-    marked = b"<" + w + b">"
-    grams = {marked[i:i + n] for n in fit.grams for i in range(len(marked) - n + 1)}
-    return sorted({xxhash.xxh3_64_intdigest(g) & mask for g in (grams | {b"=" + w})})
+def _parts(words: Sequence[bytes], fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed parts of words: each word itself, and the character n-grams (of up to seven bytes) of the marked word.
+
+    Returned are the parts and the numbers of their words. A gram is packed into 64 bits with its length, so all grams of many words are hashed at once.
+    """
+    mask = U64((1 << fit.bits) - 1)
+    bare = [w.strip(_EDGES).lower() for w in words]
+    at = np.flatnonzero(np.fromiter(map(len, bare), np.int64, len(bare)))
+    whole = np.fromiter((xxhash.xxh3_64_intdigest(b"=" + bare[i]) for i in at), U64, len(at))
+    size = np.fromiter((len(bare[i]) + 2 for i in at), np.int64, len(at))
+    byte = np.frombuffer(b"".join(b"<" + bare[i] + b">" for i in at), np.uint8).astype(U64)
+    owner = np.repeat(at, size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(byte))  # bytes from here to the end of the word
+    found, owners = [whole & mask], [at]
+    for n in fit.grams:
+        here = np.flatnonzero(left >= n)
+        gram = np.full(len(here), n << 56, U64)
+        for k in range(n):
+            gram |= byte[here + k] << U64(8 * k)
+        found.append(mix(gram) & mask)
+        owners.append(owner[here])
+    return np.concatenate(found).astype(np.int32), np.concatenate(owners)
 
 
 def sentences(text: bytes) -> list[list[bytes]]:
@@ -149,13 +164,12 @@ def learn(bags: Iterable[tuple[int, float, Sequence[int], list[bytes]]], fit: Fi
         tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
     if not labels:
         return Model(np.zeros(1 << fit.bits, np.float32), -np.inf, fit)
-    part, ends = array("i"), array("q", [0])
-    for w in number:
-        part.extend(_parts(w, fit))
-        ends.append(len(part))
+    part, part_word = _parts(list(number), fit)
+    order = np.argsort(part_word, kind="stable")
     words = len(number)
     number.clear()
-    part, ends = np.frombuffer(part, np.int32) if len(part) else np.zeros(0, np.int32), np.frombuffer(ends, np.int64)
+    part, part_word = part[order], part_word[order].astype(np.int32)
+    ends = starts(np.bincount(part_word, minlength=words))
     found = np.zeros((2, 1 << fit.bits))
     for label, own in zip(labels, tokens[1:], strict=True):
         w = np.unique(own)
@@ -163,7 +177,7 @@ def learn(bags: Iterable[tuple[int, float, Sequence[int], list[bytes]]], fit: Fi
     y = np.array(labels, float)
     kept = (found[1] >= fit.support) & (_gain(found[1], found[0], int(y.sum()), int((1 - y).sum())) >= fit.gain)
     # from here on only kept parts, words that have one, and their places
-    part_word, live = np.repeat(np.arange(words, dtype=np.int32), np.diff(ends)), kept[part]
+    live = kept[part]
     part, part_word = (np.cumsum(kept) - 1)[part[live]], part_word[live]
     has = np.bincount(part_word, minlength=words) > 0
     tokens, sizes, docs_at = np.concatenate(tokens), np.concatenate(each), starts(np.array(counts))
@@ -197,13 +211,18 @@ def score(docs: DataFrame, model: Model, text: str = "text", most: int = 3, at_l
     """`docs` with `score`, and `offending`: up to `most` sentences (number and score) of at least `at_least`, worst first; `prefix` stands before the new names."""
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)  # 2^bits numbers, a parameter
     bias, fit = model.bias, model.fit
-    weight = Memo(lambda w: float(weights.value[_parts(w, fit)].sum()), 150_000)
+    name = ("toxicity", uuid.uuid4().hex)  # of this model
 
     def values(part: pa.RecordBatch) -> list:
         bags = [sentences(t) for t in texts(part.column("text"))]
         sizes = np.array([len(s) for bag in bags for s in bag], np.int64)
         words = [w for bag in bags for s in bag for w in s]
-        weight.trim()
+        weight: dict[bytes, float] = remembered(name, dict)  # of words seen lately; those of all new words of a slice are added up at once
+        if len(weight) > MEMO_WORDS:
+            weight.clear()
+        new = [w for w in set(words) if w not in weight]
+        part_of, word_of = _parts(new, fit)
+        weight.update(zip(new, np.bincount(word_of, weights.value[part_of], minlength=len(new)).tolist(), strict=True))
         each = looked_up(weight, words, float)
         logits = bias + np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, minlength=len(sizes))
         at = starts(np.array([len(b) for b in bags], np.int64))
