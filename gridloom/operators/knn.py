@@ -1,80 +1,123 @@
 """Exact top-k dot-product neighbours against a bank, and the scores built on them.
 
-Bank and queries are cut into blocks and each (query block, bank block) pair is one task group: a matrix product that returns only
-k rows per query. Partial lists are merged by a rank filter. No pair of rows is ever materialised and nothing passes through the driver. Block sizes are
-chosen by bytes; a row's products are added in one order whatever the blocks are, so block sizes do not change the result.
+Queries and bank are written once as blocks, one row each with its ids and vectors as bytes. The blocks of the bank stream past the blocks of the queries:
+each task reads one file part of both tables and works on block pairs by matrix multiplication, holding one block of either side and the k best rows of the
+present query block. Neither table is shuffled, no pair of rows is ever a row, and nothing passes through the driver; only k rows a query and task are merged.
+
+Products of a matrix multiplication depend on block shapes in their last digits, so whatever is within their error of the k-th is computed again by one fixed
+formula, and only that decides: results are the same for every block size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
 
 # one block of vectors
-BLOCK_BYTES = 64 << 20
-
-
-def _best(q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, bank id and similarity of the k best per query; equal similarities go to the smaller id."""
-    rows, found, sims = [], [], []
-    k = min(k, len(ids))
-    chunk = max(16, (8 << 20) // len(ids))  # at most about 64 MB of similarities at a time
-    for start in range(0, len(q), chunk):
-        # einsum adds a row's products in one order whatever the block shapes, so near-ties rank alike
-        s = np.einsum("ij,kj->ik", q[start:start + chunk], b)
-        kth = -np.partition(-s, k - 1, axis=1)[:, k - 1:k]
-        r, c = np.nonzero(s >= kth)
-        order = np.lexsort((ids[c], -s[r, c], r))
-        r, c = r[order], c[order]
-        first = np.searchsorted(r, r, side="left")
-        keep = np.arange(len(r)) - first < k
-        rows.append(r[keep] + start)
-        found.append(ids[c[keep]])
-        sims.append(s[r[keep], c[keep]])
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(sims)
-
-
-def _matrix(vectors) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-
-
-def _frame(ids, r, found, sims) -> pd.DataFrame:
-    return pd.DataFrame({"query_id": np.asarray(ids)[r], "bank_id": found, "sim": sims})
-
-
-_OUT = "query_id bigint, bank_id bigint, sim double"
-
-
-def _partial_blocks(queries: DataFrame, bank: DataFrame, n_queries: int, n_bank: int, k: int, block_rows: int) -> DataFrame:
-    """Each side is sent once per block of the other side, so blocks as large as memory allows keep the shuffle small."""
-    nb, nq = -(-n_bank // block_rows), max(1, -(-n_queries // block_rows))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(nq))).withColumn("bb", F.explode(F.expr(f"sequence(0L, {nb - 1}L)"))).withColumn("side", F.lit(0))
-    b = bank.withColumn("bb", F.pmod(F.xxhash64("vec_id"), F.lit(nb))).withColumn("qb", F.explode(F.expr(f"sequence(0L, {nq - 1}L)"))).withColumn("side", F.lit(1))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "bank_id": [], "sim": []})
-        return _frame(left["vec_id"], *_best(_matrix(left["vec"]), _matrix(right["vec"]), right["vec_id"].to_numpy(), k))
-
-    cols = ["vec_id", "vec", "qb", "bb", "side"]
-    # a group holds about one query block and one bank block, whatever the table sizes
-    return q.select(*cols).unionByName(b.select(*cols)).groupBy("qb", "bb").applyInPandas(score, _OUT)
+BLOCK_BYTES = 4 << 20
+# similarities at a time
+_CELLS = 1 << 20
+_BLOCK = "ids binary, vecs binary, n int"
+
+
+def blocks(vectors: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(vec_id, vec) rows as blocks of about `block_bytes`; vectors are of one length."""
+    schema = pa.schema([("ids", pa.binary()), ("vecs", pa.binary()), ("n", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vecs, size = [], [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((np.concatenate(ids).tobytes(), np.concatenate(vecs).tobytes(), sum(map(len, ids))), schema)], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column("vec").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            width, number = len(flat) // batch.num_rows, batch.column("vec_id").to_numpy(zero_copy_only=False)
+            rows, at = max(1, block_bytes // (8 * max(width, 1))), 0
+            while at < batch.num_rows:
+                end = min(batch.num_rows, at + rows - size)
+                ids.append(number[at:end])
+                vecs.append(flat[at * width:end * width])
+                size, at = size + end - at, end
+                if size >= rows:
+                    yield block()
+                    ids, vecs, size = [], [], 0
+        if size:
+            yield block()
+
+    return vectors.select("vec_id", "vec").mapInArrow(run, _BLOCK)
+
+
+class Best:
+    """The k best bank rows of each query of a block so far: most similar first, then the smaller id."""
+
+    def __init__(self, ids: bytes, vecs: bytes, k: int):
+        self.ids = np.frombuffer(ids, np.int64)
+        self.q, self.k = np.frombuffer(vecs, np.float64).reshape(len(self.ids), -1), k
+        self.far = np.sqrt((self.q * self.q).sum(1).max(initial=0))
+        self.row, self.bank, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(self.ids), -np.inf)
+
+    def meet(self, ids: bytes, vecs: bytes) -> None:
+        bank = np.frombuffer(ids, np.int64)
+        b = np.frombuffer(vecs, np.float64).reshape(len(bank), -1)
+        error = 4e-16 * b.shape[1] * self.far * np.sqrt((b * b).sum(1).max(initial=0))
+        k, step = min(self.k, len(bank)), max(1, _CELLS // len(bank))
+        for start in range(0, len(self.q), step):
+            s = self.q[start:start + step] @ b.T
+            floor = np.maximum(np.partition(s, len(bank) - k, axis=1)[:, len(bank) - k], self.least[start:start + step])
+            r, c = np.nonzero(s >= (floor - 2 * error)[:, None])
+            # one order of additions whatever the blocks are
+            self.merge(r + start, bank[c], np.einsum("ij,ij->i", self.q[r + start], b[c]))
+
+    def merge(self, row: np.ndarray, bank: np.ndarray, sim: np.ndarray) -> None:
+        low, high = row.min(initial=len(self.q)), row.max(initial=-1)
+        near = (self.row >= low) & (self.row <= high)
+        row, bank, sim = (np.concatenate([x[near], y]) for x, y in ((self.row, row), (self.bank, bank), (self.sim, sim)))
+        order = np.lexsort((bank, -sim, row))
+        row, bank, sim = row[order], bank[order], sim[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        full = place == self.k - 1
+        self.least[row[full]] = sim[full]
+        self.row, self.bank, self.sim = (np.concatenate([x[~near], y[keep]]) for x, y in ((self.row, row), (self.bank, bank), (self.sim, sim)))
+
+
+def _pairs(k: int):
+    schema = pa.schema([("query_id", pa.int64()), ("bank_id", pa.int64()), ("sim", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = None, None
+        for batch in batches:
+            for q_ids, q_vecs, b_ids, b_vecs in zip(*(batch.column(c) for c in ("q_ids", "q_vecs", "b_ids", "b_vecs")), strict=True):
+                key = q_ids.as_py()
+                if key != now:
+                    if best:
+                        yield pa.RecordBatch.from_arrays([best.ids[best.row], best.bank, best.sim], schema=schema)
+                    now, best = key, Best(key, q_vecs.as_py(), k)
+                best.meet(b_ids.as_py(), b_vecs.as_py())
+        if best:
+            yield pa.RecordBatch.from_arrays([best.ids[best.row], best.bank, best.sim], schema=schema)
+
+    return run
 
 
 def topk(queries: DataFrame, bank: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, bank_id, sim) with min(k, bank rows) neighbours; both inputs have (vec_id BIGINT, vec ARRAY)."""
-    queries = queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), "vec")
-    bank = cut(bank.select(F.col("vec_id").cast("bigint").alias("vec_id"), "vec"), "bank")
-    size = bank.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vec").cast("bigint") * 8 + 16).alias("bytes")).first()
-    if not size["n"]:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, bank_id bigint, sim double")
-    rows = max(1, block_bytes // (size["bytes"] // size["n"]))
-    part = _partial_blocks(queries, bank, queries.count(), size["n"], k, rows)
+    def side(df: DataFrame, name: str) -> DataFrame:
+        packed = cut(blocks(df.select(F.col("vec_id").cast("bigint").alias("vec_id"), "vec"), block_bytes), name)
+        return packed.select(*[F.col(c).alias(f"{name}_{c}") for c in ("ids", "vecs")])
+
+    # rows are blocks here: a stated query set against the whole bank
+    part = side(queries, "q").crossJoin(side(bank, "b")).mapInArrow(_pairs(k), "query_id bigint, bank_id bigint, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "bank_id")
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "bank_id", "sim")
 

@@ -31,6 +31,29 @@ def test_blocks_equal_broadcast_and_brute_force(spark, k):
     assert {tuple(r) for r in whole} == want == {tuple(r) for r in parts}
 
 
+def test_near_ties_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 33))
+    b = np.concatenate([base * (1 + i * 1e-16) for i in range(12)] + [rng.normal(size=(200, 33))])
+    q = np.concatenate([base, base[:, ::-1], rng.normal(size=(20, 33))])
+    want = None
+    for size in (1, 5 * 33 * 8, 50 * 33 * 8, 1 << 22):
+        got = sorted(tuple(r) for r in knn.topk(vec_df(spark, q), vec_df(spark, b).repartition(3), 5, block_bytes=size).collect())
+        assert len(got) == 5 * len(q) and (want is None or got == want)
+        want = got
+
+
+def test_bank_and_queries_are_not_shuffled(spark):
+    q = vec_df(spark, np.eye(4))
+    plan = knn.topk(q, q, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "query_id" in plan[plan.index("Exchange hashpartitioning"):][:60]
+
+
+def test_empty_sides(spark):
+    q, none = vec_df(spark, np.eye(3)), spark.createDataFrame([], "vec_id bigint, vec array<double>")
+    assert knn.topk(q, none, 2).collect() == [] and knn.topk(none, q, 2).collect() == []
+
+
 def test_score_without_negative_bank(spark):
     q, b = vec_df(spark, [(1, 0)]), vec_df(spark, [(1, 0), (0, 1)])
     assert knn.knn_score(q, b, None, 2, 1.0).first()["score"] == pytest.approx(.5)
