@@ -73,6 +73,26 @@ def sweep(df: DataFrame, score: Column, thresholds: list[float], keys: list[str]
     hit = F.col(gt).cast("bigint")
     counts = df.select(*keys, rank.alias("_r"), hit.alias("_p"), (1 - hit).alias("_n")).groupBy(*keys, "_r").agg(
         F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    return accumulated(counts, thresholds, keys)
+
+
+def joint_sweep(df: DataFrame, ranks: dict[str, Column], settings: list[tuple[dict, Column]], thresholds: list[float], keys: list[str] = TILE, gt: str = "gt") -> DataFrame:
+    """Confusion at every threshold for several settings at once, from one joint histogram of the cells.
+
+    `ranks` are the columns that a cell's outcome depends on (threshold ranks, flags); cells are counted by all of them together, before any setting is looked at. A
+    setting is its labels and the rank that it gives to a combination, as an expression of the names in `ranks`. Only combinations are repeated for each setting.
+    """
+    hit = F.col(gt).cast("bigint")
+    joint = df.select(*keys, *[c.alias(n) for n, c in ranks.items()], hit.alias("_p"), (1 - hit).alias("_n")).groupBy(*keys, *ranks).agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    labels = list(settings[0][0])
+    options = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in own.items()], rank.cast("int").alias("_r")) for own, rank in settings])
+    counts = joint.select(*keys, "_p", "_n", F.explode(options).alias("_s")).groupBy(*keys, *[F.col(f"_s.{c}").alias(c) for c in labels], F.col("_s._r").alias("_r")).agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    return accumulated(counts, thresholds, [*keys, *labels])
+
+
+def accumulated(counts: DataFrame, thresholds: list[float], keys: list[str]) -> DataFrame:
+    """Confusion at every threshold from counts by threshold rank (`_r`; `_p` true, `_n` false)."""
+    ordered = sorted(set(float(t) for t in thresholds))
     # each counted rank answers for all thresholds above the previous counted one; the last also for those nobody reached
     w = Window.partitionBy(*keys).orderBy("_r")
     past = w.rowsBetween(Window.unboundedPreceding, -1)

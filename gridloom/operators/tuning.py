@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from .focal import dilate
-from .metrics import confusion, first_best, sweep, weighted_mean, weighted_or_zero, weighted_sweep
+from .metrics import confusion, first_best, joint_sweep, sweep, threshold_rank, weighted_mean, weighted_or_zero, weighted_sweep
 from .refine import KERNEL_PARAMS, PairwiseConfig, pairwise_refine
 from .tiling import TILE
 
@@ -36,27 +36,22 @@ def select_penalty(cells: DataFrame, penalties: list[float], thresholds: list[fl
     `cells` is long: tile keys, `stream` ('raw' or 'xgb'), `cand_ord`, `score`, `gt`, `buffer`, `road`. Per penalty the first
     best candidate of each stream competes; 'raw' wins a tie; the first best penalty wins.
     """
-    options = F.array(*[F.struct(F.lit(i).alias("pen_ord"), F.lit(float(p)).alias("penalty")) for i, p in enumerate(penalties)])
-    long = cells.withColumn("_p", F.explode(options)).select(
-        *keys, "stream", "cand_ord", "gt", "buffer", F.col("_p.pen_ord").alias("pen_ord"), F.col("_p.penalty").alias("penalty"),
-        F.when(F.col("road"), F.col("score") * F.col("_p.penalty")).otherwise(F.col("score")).alias("score"))
+    ordered = sorted(set(float(t) for t in thresholds))
+    place = lambda p: F.when(F.col("buffer"), threshold_rank(F.when(F.col("road"), F.col("score") * F.lit(float(p))).otherwise(F.col("score")), ordered)).otherwise(F.lit(0))
+    ranks = {f"_r{i}": place(p) for i, p in enumerate(penalties)}
+    settings = [({"pen_ord": i, "penalty": float(p)}, F.col(f"_r{i}")) for i, p in enumerate(penalties)]
     by = ["pen_ord", "penalty", "stream", "cand_ord"]
-    swept = sweep(long, F.col("score"), thresholds, [*keys, *by], keep=F.col("buffer"))
+    swept = joint_sweep(cells, ranks, settings, thresholds, [*keys, "stream", "cand_ord"])
     mean = weighted_sweep(swept, weights, keys, by)
     per_stream = first_best(mean, "iou", ["cand_ord", "thr_idx"], ["pen_ord", "penalty", "stream"])
     champion = first_best(per_stream, "iou", ["stream"], ["pen_ord", "penalty"])
     return first_best(champion, "iou", ["pen_ord"])
 
 
-def weight_rows(weight_sets: list[tuple[float, float, float]]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("w_ord"), F.lit(float(a)).alias("wr"), F.lit(float(b)).alias("wg"), F.lit(float(c)).alias("wb"))
-                     for i, (a, b, c) in enumerate(weight_sets)])
-
-
-def _shadow_cells(cells: DataFrame, weight_sets) -> DataFrame:
-    e = cells.withColumn("_w", F.explode(weight_rows(weight_sets)))
-    return e.withColumn("wsum", scores.weighted_rgb((F.col("_w.wr"), F.col("_w.wg"), F.col("_w.wb")), F.col("r"), F.col("g"), F.col("b"))).withColumn(
-        "w_ord", F.col("_w.w_ord")).drop("_w")
+def _sum_ranks(weight_sets: list[tuple[float, float, float]], thresholds: list[float]) -> dict[str, Column]:
+    """The threshold rank of the weighted channel sum under each set of weights."""
+    ordered = sorted(set(float(t) for t in thresholds))
+    return {f"_w{i}": threshold_rank(scores.weighted_rgb(tuple(F.lit(float(x)) for x in w), F.col("r"), F.col("g"), F.col("b")), ordered) for i, w in enumerate(weight_sets)}
 
 
 def shadow_grid(cells: DataFrame, weight_sets, thresholds: list[float], keys: list[str] = TILE) -> DataFrame:
@@ -64,19 +59,21 @@ def shadow_grid(cells: DataFrame, weight_sets, thresholds: list[float], keys: li
 
     `cells` holds only cells of the base mask with r, g, b and gt.
     """
-    swept = sweep(_shadow_cells(cells, weight_sets), F.col("wsum"), thresholds, [*keys, "w_ord"])
+    settings = [({"w_ord": i}, F.col(f"_w{i}")) for i in range(len(weight_sets))]
+    swept = joint_sweep(cells, _sum_ranks(weight_sets, thresholds), settings, thresholds, keys)
     return first_best(swept, "iou", ["w_ord", "thr_idx"], keys)
 
 
 def tune_shadow(cells: DataFrame, weight_sets, thresholds: list[float], protects: list[float], weights: DataFrame,
                 keys: list[str] = TILE) -> DataFrame:
     """First best (weights, threshold, protect score) by weighted IoU over tiles; a protected cell is always kept."""
-    options = F.array(*[F.struct(F.lit(i).alias("p_ord"), F.lit(float(p)).alias("protect")) for i, p in enumerate(protects)])
-    long = _shadow_cells(cells, weight_sets).withColumn("_p", F.explode(options)).select(
-        *keys, "w_ord", "wsum", "score", "gt", "_p.p_ord", "_p.protect")
+    guards = sorted(set(float(p) for p in protects))
+    top = F.lit(len(set(float(t) for t in thresholds)))
+    ranks = {**_sum_ranks(weight_sets, thresholds), "_guard": threshold_rank(F.col("score"), guards)}
+    settings = [({"w_ord": i, "p_ord": j, "protect": float(p)}, F.when(F.col("_guard") > guards.index(float(p)), top).otherwise(F.col(f"_w{i}")))
+                for i in range(len(weight_sets)) for j, p in enumerate(protects)]
     by = ["w_ord", "p_ord", "protect"]
-    swept = sweep(long, F.col("wsum"), thresholds, [*keys, *by], always=F.col("score") >= F.col("protect"))
-    joined = swept.join(weights.select(*keys, "weight"), keys)
+    joined = joint_sweep(cells, ranks, settings, thresholds, keys).join(weights.select(*keys, "weight"), keys)
     mean = joined.groupBy(*by, "thr_idx", "threshold").agg(
         weighted_or_zero(F.col("iou"), F.col("weight")).alias("iou"), F.sum("weight").alias("_w")).filter("_w > 0").drop("_w")
     return first_best(mean, "iou", ["w_ord", "thr_idx", "p_ord"])

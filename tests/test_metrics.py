@@ -71,3 +71,20 @@ def test_best_fold_without_rows_is_an_error(spark):
 def test_score_hist_flat_scores(spark):
     df = spark.createDataFrame([(0.5, True)] * 3, "score double, buffer boolean")
     assert metrics.score_hist(df, "score", "buffer", 4).filter("n > 0").collect()[0]["n"] == 3
+
+
+def test_joint_sweep_equals_a_sweep_for_each_setting(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(t), float(a), float(b), bool(g), bool(k)) for t, a, b, g, k in zip(rng.integers(0, 3, 300), rng.random(300).round(2), rng.random(300).round(2), rng.random(300) < .4, rng.random(300) < .7, strict=True)]
+    df = spark.createDataFrame(rows, "tile_id int, a double, b double, gt boolean, keep boolean")
+    thr, guards = [0.5, 0.2, 0.5, 0.9], [0.8, 0.3]
+    ordered = sorted(set(thr))
+    ranks = {f"_r{i}": F.when(F.col("keep"), metrics.threshold_rank(F.col("a") * w, ordered)).otherwise(F.lit(0)) for i, w in enumerate((1.0, 0.7))} | {"_g": metrics.threshold_rank(F.col("b"), sorted(guards))}
+    settings = [({"w": i, "g": g}, F.when(F.col("_g") > sorted(guards).index(g), len(ordered)).otherwise(F.col(f"_r{i}"))) for i in (0, 1) for g in guards]
+    got = {tuple(r) for r in metrics.joint_sweep(df, ranks, settings, thr).select("w", "g", "tile_id", "thr_idx", "tp", "fp", "fn", "tn").collect()}
+    want = set()
+    for i, w in enumerate((1.0, 0.7)):
+        for g in guards:
+            rank = F.when(F.col("keep"), F.col("a") * w).otherwise(-1.0)
+            want |= {(i, g, *r) for r in metrics.sweep(df, rank, thr, always=F.col("b") >= g).select("tile_id", "thr_idx", "tp", "fp", "fn", "tn").collect()}
+    assert got == want and len(got) == 4 * 3 * 4
