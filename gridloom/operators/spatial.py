@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from .focal import merge_intervals, run_cells
 from .tiling import TILE, dense_cells, with_dims
 
 
@@ -64,97 +65,127 @@ def edges(geoms: DataFrame, keep: list[str]) -> DataFrame:
             .select(*keep, F.explode(ring_edges(F.col("_r"))).alias("_e")).select(*keep, "_e.*"))
 
 
-def intersects_box(rings: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """True when a polygon meets a rectangle: an edge meets it or its corner lies inside."""
-    all_edges = F.flatten(F.transform(rings, ring_edges))
+GEOM = ["layer", "geom_id"]
 
-    def meets(e: Column) -> Column:
-        def side(cx: Column, cy: Column) -> Column:
-            return (e["x1"] - e["x0"]) * (cy - e["y0"]) - (e["y1"] - e["y0"]) * (cx - e["x0"])
-        corners = [side(x0, y0), side(x1, y0), side(x1, y1), side(x0, y1)]
-        return ((F.least(e["x0"], e["x1"]) <= x1) & (F.greatest(e["x0"], e["x1"]) >= x0)
-                & (F.least(e["y0"], e["y1"]) <= y1) & (F.greatest(e["y0"], e["y1"]) >= y0)
-                & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0))
 
-    def crosses(e: Column) -> Column:
-        at = e["x0"] + (y0 - e["y0"]) * (e["x1"] - e["x0"]) / F.nullif(e["y1"] - e["y0"], F.lit(0.0))
-        return ((e["y0"] > y0) != (e["y1"] > y0)) & (x0 < at)
+def _between(lo: Column, hi: Column, size: float) -> Column:
+    return F.explode(F.sequence(F.floor(lo / F.lit(float(size))), F.floor(hi / F.lit(float(size)))))
 
-    inside = F.size(F.filter(all_edges, crosses)) % 2 == 1
-    return F.exists(all_edges, meets) | inside
 
+def edges_meeting_boxes(sides: DataFrame, boxes: DataFrame, bucket: float, keep: list[str], keys: list[str]) -> DataFrame:
+    """Distinct (keep, keys) for which an edge meets a box. An edge is dealt to the buckets along its own line, not to those of its box."""
+    rows = sides.withColumn("_by", _between(F.least("y0", "y1"), F.greatest("y0", "y1"), bucket))
+    # x of the edge where it enters and leaves the bucket row, a little widened against rounding
+    def x_at(y: Column) -> Column:
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - F.col("y0")) / F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0))))
+        return F.col("x0") + t * (F.col("x1") - F.col("x0"))
 
-def spatial_join(geoms: DataFrame, tiles: DataFrame, bucket: float) -> DataFrame:
-    """Geometry x tile pairs that really intersect: bucketed boxes first, then the exact test."""
-    pairs = bbox_join(with_bbox(geoms), tile_boxes(tiles), bucket)
-    return pairs.filter(intersects_box(F.col("rings"), F.col("min_x_b"), F.col("min_y_b"), F.col("max_x_b"), F.col("max_y_b")))
+    low, high = x_at(F.col("_by") * F.lit(float(bucket))), x_at((F.col("_by") + 1) * F.lit(float(bucket)))
+    flat = F.col("y0") == F.col("y1")
+    a, b = F.when(flat, F.col("x0")).otherwise(low), F.when(flat, F.col("x1")).otherwise(high)
+    slack = (F.abs(F.col("x0")) + F.abs(F.col("x1")) + 1.0) * 1e-12
+    dealt = rows.withColumn("_bx", _between(F.least(a, b) - slack, F.greatest(a, b) + slack, bucket))
+    met = dealt.join(_bucketed(boxes, bucket).select(*keys, "_bx", "_by", "min_x", "max_x", "min_y", "max_y"), ["_bx", "_by"])
 
+    def side(cx: str, cy: str) -> Column:
+        return (F.col("x1") - F.col("x0")) * (F.col(cy) - F.col("y0")) - (F.col("y1") - F.col("y0")) * (F.col(cx) - F.col("x0"))
 
-def _pixel_edges(pairs: DataFrame, keep: list[str]) -> DataFrame:
-    e = edges(pairs, [*keep, "left", "top", "px", "height", "width"])
-    return e.select(
-        *keep, "height", "width",
-        ((F.col("x0") - F.col("left")) / F.col("px")).alias("x0"), ((F.col("top") - F.col("y0")) / F.col("px")).alias("y0"),
-        ((F.col("x1") - F.col("left")) / F.col("px")).alias("x1"), ((F.col("top") - F.col("y1")) / F.col("px")).alias("y1"))
+    corners = [side(x, y) for x in ("min_x", "max_x") for y in ("min_y", "max_y")]
+    hit = ((F.least("x0", "x1") <= F.col("max_x")) & (F.greatest("x0", "x1") >= F.col("min_x")) & (F.least("y0", "y1") <= F.col("max_y"))
+           & (F.greatest("y0", "y1") >= F.col("min_y")) & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0))
+    return met.filter(hit).select(*keep, *keys).distinct()
 
 
-def _rows_of(lo: Column, hi: Column) -> Column:
-    return F.explode(F.sequence(F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, F.col("height") - 1).cast("int")))
+def _meet_in_y(sides: DataFrame, lines: DataFrame, bucket: float, lo: str, hi: str) -> DataFrame:
+    """Edges and the `lines` rows whose [lo, hi] their own height range meets, each pair once."""
+    left = sides.withColumn("_b", _between(F.least("y0", "y1"), F.greatest("y0", "y1"), bucket))
+    right = lines.withColumn("_b", _between(F.col(lo), F.col(hi), bucket))
+    home = F.floor(F.greatest(F.least("y0", "y1"), F.col(lo)) / F.lit(float(bucket))) == F.col("_b")
+    return left.join(right, "_b").filter(home & (F.least("y0", "y1") <= F.col(hi)) & (F.greatest("y0", "y1") >= F.col(lo))).drop("_b")
 
 
-def _center_spans(px_edges: DataFrame, key: list[str]) -> DataFrame:
-    """Scanline fill: crossings of every row centre, sorted and paired into column intervals.
+def _inside(crossings: DataFrame, line: list[str]) -> DataFrame:
+    """Intervals [a, b) inside a geometry on each line, from its crossings `at`; a window holds the crossings of one line by one geometry."""
+    w = Window.partitionBy(*GEOM, *line).orderBy("at")
+    paired = crossings.withColumn("_i", F.row_number().over(w)).withColumn("b", F.lead("at").over(w)).filter("_i % 2 = 1")
+    return paired.select(*GEOM, *line, F.col("at").alias("a"), "b")
 
-    A window holds the crossings of one row of one geometry.
+
+def _crossing(y: Column) -> Column:
+    return F.col("x0") + (y - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+
+
+def spatial_join(geoms: DataFrame, tiles: DataFrame, bucket: float, keys: list[str] = TILE) -> DataFrame:
+    """(layer, geom_id, tile keys) of the geometries and tiles that really intersect.
+
+    An edge meets the tile, or none does and the tile lies inside: then its lower left corner is inside on the line through it. Only edges are joined, so a
+    geometry of many rings over many tiles is never copied.
     """
-    lo = F.ceil(F.least("y0", "y1") - F.lit(0.5))
-    hi = F.ceil(F.greatest("y0", "y1") - F.lit(0.5)) - 1
-    hits = (
-        px_edges.filter((F.greatest(lo, F.lit(0)) <= F.least(hi, F.col("height") - 1)))
-        .withColumn("y", _rows_of(lo, hi))
-        .select(*key, "width", "y", (F.col("x0") + (F.col("y") + F.lit(0.5) - F.col("y0")) * (F.col("x1") - F.col("x0"))
-                                     / (F.col("y1") - F.col("y0"))).alias("at"))
-    )
-    w = Window.partitionBy(*key, "y").orderBy("at")
-    pairs = hits.withColumn("_i", F.row_number().over(w)).withColumn("_to", F.lead("at").over(w)).filter("_i % 2 = 1")
-    return (pairs.select(*key, "y",
-                         F.greatest(F.ceil(F.col("at") - F.lit(0.5)), F.lit(0)).cast("int").alias("x0"),
-                         F.least(F.ceil(F.col("_to") - F.lit(0.5)) - 1, F.col("width") - 1).cast("int").alias("x1"))
-            .filter("x0 <= x1"))
-
-
-def _edge_spans(px_edges: DataFrame, key: list[str]) -> DataFrame:
-    """Columns met by each edge inside each row band."""
-    lo, hi = F.floor(F.least("y0", "y1")), F.floor(F.greatest("y0", "y1"))
-    bands = (px_edges.filter(F.greatest(lo, F.lit(0)) <= F.least(hi, F.col("height") - 1)).withColumn("y", _rows_of(lo, hi)))
+    sides, boxes = edges(geoms, GEOM), tile_boxes(tiles)
+    met = edges_meeting_boxes(sides, boxes, bucket, GEOM, keys)
+    lines = boxes.select(F.col("min_y").alias("line")).distinct()
+    crossed = _meet_in_y(sides, lines.withColumn("_top", F.col("line")), bucket, "line", "_top").filter((F.col("y0") > F.col("line")) != (F.col("y1") > F.col("line")))
+    spans = _inside(crossed.select(*GEOM, "line", _crossing(F.col("line")).alias("at")), ["line"]).filter("a < b")
+    corners = boxes.select(*keys, F.col("min_y").alias("line"), F.col("min_x").alias("corner"), F.floor(F.col("min_x") / F.lit(float(bucket))).alias("_b"))
+    within = spans.withColumn("_b", _between(F.col("a"), F.col("b"), bucket)).join(corners, ["line", "_b"]).filter("corner >= a and corner < b")
+    return met.unionByName(within.select(*GEOM, *keys)).distinct()
 
-    def x_at(y: Column) -> Column:
-        t = (y - F.col("y0")) / F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        return F.col("x0") + t * (F.col("x1") - F.col("x0"))
 
-    flat = F.col("y0") == F.col("y1")
-    a = F.when(flat, F.col("x0")).otherwise(x_at(F.col("y").cast("double")))
-    b = F.when(flat, F.col("x1")).otherwise(x_at(F.col("y") + F.lit(1.0)))
-    return (bands.select(*key, "y", F.greatest(F.floor(F.least(a, b)), F.lit(0)).cast("int").alias("x0"),
-                         F.least(F.floor(F.greatest(a, b)), F.col("width") - 1).cast("int").alias("x1"))
-            .filter("x0 <= x1"))
+BAND = ["top", "px", "height"]
 
 
-def rasterize(geoms: DataFrame, tiles: DataFrame, all_touched: bool, bucket: float, keys: list[str] = TILE) -> DataFrame:
-    """Cells burnt per layer: those touched by a geometry, or those whose centre lies inside."""
-    pairs = bbox_join(with_bbox(geoms), tile_boxes(tiles), bucket)
-    key = ["layer", "geom_id", *keys]
-    px = _pixel_edges(pairs, key)
-    spans = _center_spans(px, key)
-    if all_touched:
-        spans = spans.unionByName(_edge_spans(px, key))
-    cells = spans.select("layer", *keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    return cells.distinct()
+def _rows_of(lo: Column, hi: Column) -> Column:
+    return F.explode(F.sequence(F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, F.col("height") - 1).cast("int")))
+
 
+def rasterize(geoms: DataFrame, tiles: DataFrame, all_touched: bool, bucket: float, keys: list[str] = TILE) -> DataFrame:
+    """Cells burnt per layer: those touched by a geometry, or those whose centre lies inside.
 
-def clip_to_boxes(pairs: DataFrame) -> DataFrame:
-    """Clip the rings of geometry x tile pairs to the tile box (one pass per side of the box), drop empty results."""
+    Tiles of equal top, cell size and height form a band and share their rows. Edges meet bands by their own height range; each row's crossings are sorted and paired
+    in map coordinates, once for all tiles of the band, and only the row intervals meet tiles. A geometry over any number of tiles thus costs its edges' rows.
+    """
+    sides = edges(geoms, GEOM)
+    bands = tiles.select(*BAND).distinct().withColumn("_low", F.col("top") - F.col("height") * F.col("px"))
+    met = _meet_in_y(sides, bands, bucket, "_low", "top")
+    row0, row1 = (F.col("top") - F.col("y0")) / F.col("px"), (F.col("top") - F.col("y1")) / F.col("px")
+    met = met.withColumn("r0", row0).withColumn("r1", row1)
+    lo, hi = F.ceil(F.least("r0", "r1") - F.lit(0.5)), F.ceil(F.greatest("r0", "r1") - F.lit(0.5)) - 1
+    on_row = met.filter(F.greatest(lo, F.lit(0)) <= F.least(hi, F.col("height") - 1)).withColumn("y", _rows_of(lo, hi))
+    at = F.col("x0") + (F.col("y") + F.lit(0.5) - F.col("r0")) * (F.col("x1") - F.col("x0")) / (F.col("r1") - F.col("r0"))
+    spans = _inside(on_row.select(*GEOM, *BAND, "y", at.alias("at")), [*BAND, "y"]).select("layer", *BAND, "y", "a", "b", F.lit(True).alias("centre"))
+    if all_touched:
+        lo, hi = F.floor(F.least("r0", "r1")), F.floor(F.greatest("r0", "r1"))
+        banded = met.filter(F.greatest(lo, F.lit(0)) <= F.least(hi, F.col("height") - 1)).withColumn("y", _rows_of(lo, hi))
+
+        def x_at(y: Column) -> Column:
+            t = (y - F.col("r0")) / F.nullif(F.col("r1") - F.col("r0"), F.lit(0.0))
+            return F.col("x0") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) * (F.col("x1") - F.col("x0"))
+
+        flat = F.col("r0") == F.col("r1")
+        a = F.when(flat, F.col("x0")).otherwise(x_at(F.col("y").cast("double")))
+        b = F.when(flat, F.col("x1")).otherwise(x_at(F.col("y") + F.lit(1.0)))
+        spans = spans.unionByName(banded.select("layer", *BAND, "y", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.lit(False).alias("centre")))
+    boxes = tile_boxes(tiles)
+    placed = boxes.withColumn("_b", _between(F.col("min_x"), F.col("max_x"), bucket)).select(*keys, *BAND, "left", "width", "min_x", "max_x", "_b")
+    pairs = spans.withColumn("_b", _between(F.col("a"), F.col("b"), bucket)).join(placed, [*BAND, "_b"])
+    pairs = pairs.filter((F.col("a") <= F.col("max_x")) & (F.col("b") >= F.col("min_x")) & (F.floor(F.greatest("a", "min_x") / F.lit(float(bucket))) == F.col("_b")))
+    first, last = (F.col("a") - F.col("left")) / F.col("px"), (F.col("b") - F.col("left")) / F.col("px")
+    x0 = F.when(F.col("centre"), F.ceil(first - F.lit(0.5))).otherwise(F.floor(first))
+    x1 = F.when(F.col("centre"), F.ceil(last - F.lit(0.5)) - 1).otherwise(F.floor(last))
+    rows = pairs.select("layer", *keys, "y", F.greatest(x0, F.lit(0)).cast("int").alias("x0"), F.least(x1, F.col("width") - 1).cast("int").alias("x1")).filter("x0 <= x1")
+    return run_cells(merge_intervals(rows, ["layer", *keys]), keys=["layer", *keys])
+
+
+def clip_to_tiles(geoms: DataFrame, tiles: DataFrame, bucket: float, keys: list[str] = TILE) -> DataFrame:
+    """Geometries clipped to each tile that they intersect: (layer, geom_id, tile keys, rings). Rings are oriented once per geometry, before any pair exists."""
+    turned = geoms.withColumn("rings", oriented(F.col("rings")))
+    box = tile_boxes(tiles).select(*keys, *[F.col(c).alias(f"{c}_b") for c in ("min_x", "max_x", "min_y", "max_y")])
+    pairs = spatial_join(geoms, tiles, bucket, keys).join(turned, GEOM).join(box, keys)
+    return _clip_to_boxes(pairs).select(*GEOM, *keys, "rings")
+
+
+def _clip_to_boxes(pairs: DataFrame) -> DataFrame:
+    """Clip oriented rings to the boxes beside them (one pass per side of the box), drop empty results."""
     def clip(ring: Column, axis: str, keep_above: bool, bound: Column) -> Column:
         other = "y" if axis == "x" else "x"
         lo = {"x": "x0", "y": "y0"}
@@ -178,7 +209,7 @@ def clip_to_boxes(pairs: DataFrame) -> DataFrame:
     def one_side(axis: str, above: bool, bound: str) -> Column:
         return F.transform("rings", lambda r: clip(r, axis, above, F.col(bound)))
 
-    out = pairs.withColumn("rings", oriented(F.col("rings")))
+    out = pairs
     for axis, above, bound in (("x", True, "min_x_b"), ("x", False, "max_x_b"), ("y", True, "min_y_b"), ("y", False, "max_y_b")):
         out = out.withColumn("rings", one_side(axis, above, bound))
     out = out.withColumn("rings", F.filter("rings", lambda r: F.size(r) >= 3))

@@ -248,6 +248,31 @@ def with_ctes(body: str) -> str:
     return f"WITH RECURSIVE {head}{extra} {body}".strip()
 
 
+def shape_sql(cells: str, key: list[str], rounds: int = 14) -> str:
+    """CTEs for objects of `cells` (key, y, x): thinning unrolled to `rounds` rounds (`thin`, and `unfinished` with a row if the last one still removed cells), distances to the
+    background of an object's box (`far`) and the shape measures (`shape`)."""
+    k, same = ", ".join(key), lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in key)
+    ring = " ".join(f"WHEN {dy * 3 + dx} THEN {1 << i}" for i, (dy, dx) in enumerate([(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]))
+    ctes = [f"z0 AS MATERIALIZED (SELECT {k}, y, x FROM {cells})"]
+    for i in range(2 * rounds):
+        rule = "(b & 1 > 0 AND b & 4 > 0 AND b & 64 > 0) OR (b & 1 > 0 AND b & 16 > 0 AND b & 64 > 0)" if i % 2 else "(b & 1 > 0 AND b & 4 > 0 AND b & 16 > 0) OR (b & 4 > 0 AND b & 16 > 0 AND b & 64 > 0)"
+        ctes.append(f"""z{i + 1} AS MATERIALIZED (SELECT {k}, y, x FROM (SELECT {', '.join(f'c.{x}' for x in key)}, c.y, c.x, CAST(SUM(CASE (n.y - c.y) * 3 + n.x - c.x {ring} ELSE 0 END) AS INT) AS b
+            FROM z{i} c JOIN z{i} n ON {same('c', 'n')} AND n.y BETWEEN c.y - 1 AND c.y + 1 AND n.x BETWEEN c.x - 1 AND c.x + 1 GROUP BY ALL)
+            WHERE NOT (bit_count(b) BETWEEN 2 AND 6 AND bit_count(b & ~((b << 1) | (b >> 7)) & 255) = 1 AND NOT ({rule})))""")
+    ctes.append(f"thin AS (SELECT * FROM z{2 * rounds})")
+    ctes.append(f"unfinished AS (SELECT 1 WHERE (SELECT COUNT(*) FROM z{2 * rounds - 2}) <> (SELECT COUNT(*) FROM z{2 * rounds}))")
+    ctes.append(f"""boxes AS (SELECT *, CASE WHEN n = (y1 - y0 + 1) * (x1 - x0 + 1) THEN 1 ELSE 0 END AS pad FROM
+        (SELECT {k}, MIN(y) AS y0, MAX(y) AS y1, MIN(x) AS x0, MAX(x) AS x1, COUNT(*) AS n FROM z0 GROUP BY ALL))""")
+    ctes.append(f"""empty AS MATERIALIZED (SELECT {', '.join(f'p.{x}' for x in key)}, CAST(yy AS INT) AS y, CAST(xx AS INT) AS x FROM boxes p, unnest(range(y0 - pad, y1 + pad + 1)) u(yy), unnest(range(x0 - pad, x1 + pad + 1)) v(xx)
+        WHERE NOT EXISTS (SELECT 1 FROM z0 c WHERE {same('c', 'p')} AND c.y = yy AND c.x = xx))""")
+    ctes.append(f"""far AS (SELECT {', '.join(f't.{x}' for x in key)}, t.y, t.x, MIN(SQRT(CAST((t.y - e.y) * (t.y - e.y) + (t.x - e.x) * (t.x - e.x) AS DOUBLE))) AS d FROM thin t JOIN empty e ON {same('t', 'e')} GROUP BY ALL)""")
+    ctes.append(f"""edge AS (SELECT {k}, COUNT(*) AS p FROM z0 c WHERE (SELECT COUNT(*) FROM z0 n WHERE {same('n', 'c')} AND abs(n.y - c.y) + abs(n.x - c.x) = 1) < 4 GROUP BY ALL)""")
+    ctes.append(f"""shape AS (SELECT {', '.join(f'b.{x}' for x in key)}, CAST(coalesce(e.p, 0) AS DOUBLE) AS perimeter_px, CAST(4 * pi() * b.n / (coalesce(e.p, 0) * coalesce(e.p, 0) + 1e-8) AS DOUBLE) AS circularity,
+        CAST(coalesce(t.n, 0) AS DOUBLE) AS length_px, coalesce(t.w, 0) AS mean_width_px, CAST(coalesce(t.n, 0) / greatest(coalesce(t.w, 0), 1e-6) AS DOUBLE) AS skeleton_ratio
+        FROM boxes b LEFT JOIN edge e ON {same('e', 'b')} LEFT JOIN (SELECT {k}, COUNT(*) AS n, 2 * AVG(d) AS w FROM far GROUP BY ALL) t ON {same('t', 'b')})""")
+    return ",\n".join(ctes)
+
+
 def query(name: str, sql: str | None = None):
     def keep(fn: Query) -> Query:
         QUERIES[name] = fn

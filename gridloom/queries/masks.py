@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import components, focal, tiling
-from .data import (PS, SIZE, STRIDE, buffer, cells, context, dense, grid_patches, mask, placed, placed01, query, r6, tiles)
+from .data import (PS, SIZE, STRIDE, buffer, cells, context, dense, grid_patches, mask, placed, placed01, query, r6, shape_sql, tiles)
 
 
 @query("TIL-01", """SELECT c.tile_id, win_y, win_x, COUNT(*) AS n, CAST(SUM(r) AS BIGINT) AS sum_r FROM cells c JOIN wins w ON w.tile_id = c.tile_id
@@ -139,7 +139,8 @@ def _(spark, d):
     return components.distance_to_background(comp, comp, KEY).select("tile_id", root(), "y", "x", *r6("dist"))
 
 
-@query("NBR-11")
+@query("NBR-11", f"""WITH {shape_sql("(SELECT tile_id, CAST(root AS BIGINT) AS root, y, x FROM rooted8)", ["tile_id", "root"])} SELECT tile_id, root, y, x FROM thin
+    UNION ALL SELECT -1, -1, -1, -1 FROM unfinished""")
 def _(spark, d):
     return components.skeleton(objects(spark, d), KEY).select("tile_id", root(), "y", "x")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import components, proposals, refine
 from ..plans import chain
 from ..plans.scratch import cut
-from .data import CTES, RECURSIVE, buffer, context, mask, query, r6, tiles
+from .data import CTES, RECURSIVE, buffer, context, mask, query, r6, shape_sql, tiles
 
 CELL = ["tile_id", "y", "x"]
 CRF = refine.PairwiseConfig(prob_softness=0.15, trimap_band=0, pos_w=1.0, pos_xy_std=3.0, bilateral_w=2.0, bilateral_xy_std=8.0, bilateral_rgb_std=40.0, steps=3)
@@ -94,14 +94,16 @@ def _(spark, d):
     return out.withColumn("mean_score", F.col("mean_score") + 1e-10).select("tile_id", "zone", root(), "area_px", *r6(*BASIC[:4]))
 
 
-@query("PRO-03", "SELECT tile_id, zone, root, ROUND(least(pca_ratio, 1e6), 4) AS pca_ratio FROM pro_basic")
+@query("PRO-03", "SELECT tile_id, zone, root, ROUND(log10(pca_ratio), 6) AS pca_ratio_log10 FROM pro_basic")
 def _(spark, d):
     """Ratios beyond one million are objects of one row or column: their size depends on the last bits of the smaller eigenvalue."""
     out = proposals.basic_metrics(object_cells(spark, d), proposals.object_key())
-    return out.select("tile_id", "zone", root(), F.round(F.least("pca_ratio", F.lit(1e6)), 4).alias("pca_ratio"))
+    return out.select("tile_id", "zone", root(), F.round(F.log10("pca_ratio"), 6).alias("pca_ratio_log10"))  # relative, so that straight objects count
 
 
-@query("PRO-04")
+@query("PRO-04", f"""WITH {shape_sql("(SELECT tile_id, CAST(root AS BIGINT) AS root, y, x FROM rooted8)", ["tile_id", "root"])}
+    SELECT tile_id, root, perimeter_px, length_px, ROUND(circularity, 6) AS circularity, ROUND(mean_width_px, 6) AS mean_width_px, ROUND(skeleton_ratio, 6) AS skeleton_ratio FROM shape
+    UNION ALL SELECT -1, -1, 0, 0, 0, 0, 0 FROM unfinished""")
 def _(spark, d):
     out = proposals.shape_metrics(components.rooted_cells(mask(spark, d, "label"), 2), ["tile_id", "root"], 0.5)
     return out.select("tile_id", root(), "perimeter_px", "length_px", *r6("circularity", "mean_width_px", "skeleton_ratio"))
@@ -114,25 +116,41 @@ def verdicts(spark, d):
     return proposals.evaluate(object_cells(spark, d), RULES, 1.0)
 
 
-@query("PRO-05", f"""SELECT tile_id, zone, root, min_area_px, min_pca_ratio, min_mean_score, max_road_overlap, min_area_px AND min_pca_ratio AND min_mean_score AND max_road_overlap AS cheap_pass,
-    ROUND(CASE WHEN min_area_px AND min_pca_ratio AND min_mean_score AND max_road_overlap AND zone = 'outside_evaluated' THEN least(20, 3 + greatest(pca_ratio - 1.2, 0)) END, 4) AS allowed_width_m FROM {CHECK}""")
+#: Verdicts over all eight rules; a rule that needs a shape is false where none was measured.
+VERDICT = f"""WITH {shape_sql("(SELECT c.tile_id, c.zone, CAST(c.root AS BIGINT) AS root, c.y, c.x FROM pro_cells c JOIN {check} k ON k.tile_id = c.tile_id AND k.zone = c.zone AND k.root = c.root WHERE c.zone = 'inside_buffer_auto' OR (min_area_px AND min_pca_ratio AND min_mean_score AND max_road_overlap))".format(check=CHECK), ["tile_id", "zone", "root"])},
+    ruled AS (SELECT c.*, s.length_px, c.min_area_px AND c.min_pca_ratio AND c.min_mean_score AND c.max_road_overlap AND s.length_px IS NOT NULL AS ok,
+        least(20, 3 + greatest(pca_ratio - 1.2, 0)) AS width, s.mean_width_px, s.skeleton_ratio, s.circularity FROM {CHECK} c LEFT JOIN shape s ON s.tile_id = c.tile_id AND s.zone = c.zone AND s.root = c.root),
+    rules AS (SELECT *, coalesce(ok AND length_px >= 2, false) AS min_length_m, coalesce(ok AND mean_width_px <= width, false) AS max_width_m, coalesce(ok AND skeleton_ratio >= 0.5, false) AS min_skeleton_ratio,
+        coalesce(ok AND circularity <= 3, false) AS max_circularity FROM ruled),
+    passed AS (SELECT *, min_area_px::INT + min_length_m::INT + max_width_m::INT + min_skeleton_ratio::INT + min_pca_ratio::INT + max_circularity::INT + min_mean_score::INT + max_road_overlap::INT AS n FROM rules),
+    verdicts AS (SELECT *, zone = 'inside_buffer_auto' OR n = 8 AS accepted, CASE WHEN zone = 'inside_buffer_auto' THEN 1 ELSE n / 8 END AS acceptance_score,
+        CASE WHEN zone = 'inside_buffer_auto' THEN '' ELSE concat_ws(',', CASE WHEN NOT min_area_px THEN 'min_area_px' END, CASE WHEN NOT min_length_m THEN 'min_length_m' END, CASE WHEN NOT max_width_m THEN 'max_width_m' END,
+        CASE WHEN NOT min_skeleton_ratio THEN 'min_skeleton_ratio' END, CASE WHEN NOT min_pca_ratio THEN 'min_pca_ratio' END, CASE WHEN NOT max_circularity THEN 'max_circularity' END,
+        CASE WHEN NOT min_mean_score THEN 'min_mean_score' END, CASE WHEN NOT max_road_overlap THEN 'max_road_overlap' END) END AS reject_reasons,
+        row_number() OVER (PARTITION BY tile_id ORDER BY zone, root) AS component_id FROM passed)"""
+
+
+@query("PRO-05", f"""{VERDICT} SELECT tile_id, zone, root, {', '.join(proposals.RULES)}, min_area_px AND min_pca_ratio AND min_mean_score AND max_road_overlap AS cheap_pass,
+    ROUND(CASE WHEN ok AND zone = 'outside_evaluated' THEN width END, 4) AS allowed_width_m FROM rules""")
 def _(spark, d):
     out = verdicts(spark, d)
-    return out.select("tile_id", "zone", root(), *[F.col(c) for c in ("min_area_px", "min_pca_ratio", "min_mean_score", "max_road_overlap")],
-                      proposals.cheap_pass().alias("cheap_pass"), F.round("allowed_width_m", 4).alias("allowed_width_m"))
+    return out.select("tile_id", "zone", root(), *proposals.RULES, proposals.cheap_pass().alias("cheap_pass"), F.round("allowed_width_m", 4).alias("allowed_width_m"))
 
 
-@query("PRO-06")
+@query("PRO-06", f"""{VERDICT} SELECT tile_id, zone, root, CAST(component_id AS BIGINT) AS component_id, accepted, ROUND(CAST(acceptance_score AS DOUBLE), 6) AS acceptance_score, reject_reasons FROM verdicts
+    UNION ALL SELECT -1, '', -1, 0, false, 0, '' FROM unfinished""")
 def _(spark, d):
     out = verdicts(spark, d)
     return out.select("tile_id", "zone", root(), "component_id", "accepted", *r6("acceptance_score"), F.array_join("reject_reasons", ",").alias("reject_reasons"))
 
 
-@query("PRO-07")
+@query("PRO-07", f"""{VERDICT} SELECT variant, tile_id, y, x FROM (SELECT c.tile_id, c.y, c.x, unnest(list_filter(['candidate_mask', CASE WHEN c.zone = 'inside_buffer_auto' THEN 'candidate_inside_mask' ELSE 'candidate_outside_mask' END,
+    CASE WHEN c.zone <> 'inside_buffer_auto' THEN 'evaluated_outside_mask' END, CASE WHEN accepted AND c.zone = 'inside_buffer_auto' THEN 'accepted_inside_mask' END,
+    CASE WHEN accepted AND c.zone <> 'inside_buffer_auto' THEN 'accepted_outside_mask' END, CASE WHEN accepted THEN 'accepted_mask' ELSE 'rejected_mask' END], lambda v: v IS NOT NULL)) AS variant
+    FROM pro_cells c JOIN verdicts v ON v.tile_id = c.tile_id AND v.zone = c.zone AND v.root = CAST(c.root AS BIGINT))""")
 def _(spark, d):
     cells = cut(object_cells(spark, d), "objects")
-    out = proposals.proposal_masks(cells, proposals.evaluate(cells, RULES, 1.0), RULES)
-    return out.groupBy("variant", "tile_id").agg(F.count(F.lit(1)).alias("cells"))
+    return proposals.proposal_masks(cells, proposals.evaluate(cells, RULES, 1.0), RULES).select("variant", "tile_id", "y", "x")
 
 
 @query("PRO-08", """SELECT DISTINCT tile_id, y, x FROM (SELECT tile_id, y, x FROM ctx WHERE score >= 0.4 AND buffer AND r + g + b >= 200 UNION ALL

@@ -60,8 +60,7 @@ def _clipped(a0, a1, b0, b1):
     JOIN tiles t ON (NOT u.holed OR layer = 'label') AND {_clipped('a0 - u.holed::INT', 'a1 + u.holed::INT', 'b0 - u.holed::INT', 'b1 + u.holed::INT')} > 0""")
 def _(spark, d):
     every = geoms(spark, d).drop("tile_id").select("layer", "geom_id", "rings").unionByName(_holed(spark, d))
-    pairs = spatial.spatial_join(every, tiles(spark, d), 32.0)
-    clipped = spatial.clip_to_boxes(pairs)
+    clipped = spatial.clip_to_tiles(every, tiles(spark, d), 32.0)
     return clipped.select("layer", "geom_id", "tile_id", F.round(spatial.ring_area_sum(F.col("rings")), 6).alias("area"))
 
 

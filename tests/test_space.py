@@ -23,7 +23,7 @@ def test_clip_box_literal(spark):
     t, g = tiles(spark, (4, 4)), geom_df(spark, box(-100, -100, 2, 6))
     m = grid_of(spatial.rasterize(g, t, False, 8.0), (4, 4))
     assert m[:, :2].all() and not m[:, 2:].any()
-    clipped = spatial.clip_to_boxes(spatial.spatial_join(g, t, 8.0))
+    clipped = spatial.clip_to_tiles(g, t, 8.0)
     assert clipped.select(spatial.ring_area_sum(F.col("rings"))).first()[0] == 8.0
 
 
