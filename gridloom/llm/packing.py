@@ -33,8 +33,8 @@ class Plan:
     capacity: int = 2048
     linear: float = 1.0
     quadratic: float = 1.0 / 1024
-    group_tokens: int = 1 << 21
-    memo: int = 800_000  # pieces whose ids a worker remembers; less memory, more work
+    group_tokens: int = 1 << 20
+    memo: int = 250_000  # pieces whose ids a worker remembers; less memory, more work
 
 
 def capacities(total: int, capacity: int) -> list[int]:

@@ -61,7 +61,7 @@ _POINTS = ".,;:!?"
 class Encoder:
     """Ids of texts. `spaced` tokenizers keep a piece's leading space, the others drop white space.
 
-    Pieces are remembered up to `most`; then the half used more often stays.
+    Pieces are remembered up to `most`, or 64 bytes times that; then the half used more often stays, without pieces of more than 256 characters.
     """
 
     def __init__(self, file: str, most: int = 800_000):
@@ -69,7 +69,7 @@ class Encoder:
         self.spaced = '"type":"Lowercase"' not in self.library.to_str().replace(" ", "")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         (self.apart,) = self.library.encode(self.special[-1] if self.spaced else "\x01", add_special_tokens=False).ids
-        self.store, self.first, self.later = Store(), {}, {}
+        self.store, self.first, self.later, self.held = Store(), {}, {}, 0
         self.begins_white, self.ends_white, self.uses = (np.zeros(1 << 14, k) for k in (bool, bool, np.int64))
 
     def forget(self) -> None:
@@ -84,10 +84,12 @@ class Encoder:
             setattr(self, name, np.concatenate([getattr(self, name)[keep], np.zeros(self.most, getattr(self, name).dtype)]))
         self.uses //= 2
         at = place.tolist()
-        self.first, self.later = ({p: at[i] for p, i in known.items() if at[i] >= 0} for known in (self.first, self.later))
+        self.first, self.later = ({p: at[i] for p, i in known.items() if at[i] >= 0 and len(p) <= 256} for known in (self.first, self.later))
+        self.held = sum(map(len, self.first)) + sum(map(len, self.later))
 
     def learn(self, known: dict[str, int], pieces: list[str], prefix: str) -> None:
         """Add pieces; points after a letter are split off, as both tokenizers do, so that a word is merged once whatever follows it."""
+        self.held += sum(map(len, pieces))
         plain, pointed = [], []
         for p in pieces:
             core = p.rstrip(_POINTS)
@@ -136,7 +138,7 @@ class Encoder:
         """All ids, one text after another, and the number of ids of each text."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if self.store.count > self.most:
+        if self.store.count > self.most or self.held > 64 * self.most:
             self.forget()
         plain = texts if self.spaced else [t.replace("\n", " ") for t in texts]
         sizes = np.fromiter((t.count(" ") + 1 for t in plain), np.int64, len(plain))
