@@ -179,7 +179,7 @@ def stored(spark, d):
     odd = F.col("image_id") % 2 == 1
     for part in (rows.filter(odd), rows.filter(~odd), rows.filter("win_y = 0 and win_x = 0").withColumn("v", F.col("v") + 1000)):
         stores.write_features(part, path, "new", PS, 1)
-    return spark.read.parquet(path)
+    return stores.read_features(spark, path)
 
 
 @query("SNK-08", """SELECT tile_id AS image_id, win_y, win_x, COUNT(DISTINCT (py, px)) AS n, win_y = 0 AND win_x = 0 AS replaced FROM placed p
@@ -212,7 +212,7 @@ def _(spark, d):
     for spec, rows in (("a", e.filter("label < 4")), ("a", e.filter("label >= 4")), ("b", e.filter("label % 2 = 0"))):
         stores.write_bank(rows.withColumn("spec_hash", F.lit(spec)).withColumn("ps", F.lit(PS)).withColumn("context", F.lit(0)).withColumn("resample", F.lit(1)), path)
     v = F.col("embedding")
-    return spark.read.parquet(path).select("vec_id", "label", "image_id", "spec_hash", v[0].cast("double").alias("v_first"), F.element_at(v, -1).cast("double").alias("v_last"), F.size(v).alias("dims"))
+    return stores.read_bank(spark, path).select("vec_id", "label", "image_id", "spec_hash", v[0].cast("double").alias("v_first"), F.element_at(v, -1).cast("double").alias("v_last"), F.size(v).alias("dims"))
 
 
 @query("SNK-12", """SELECT stage, CAST(COUNT(*) AS BIGINT) AS "count", ROUND(AVG(duration_s), 6) AS mean_s, MAX(duration_s) AS max_s, ROUND(SUM(duration_s), 6) AS total_s FROM spans GROUP BY 1""")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tiling import WINDOW
+from . import versions
 
 MOSAIC_SCHEMA = "gy int, gx int, v int, variant string, block_y int, block_x int"
 BLOCK = 512
@@ -75,35 +76,17 @@ def backup_union(path: str, backup: str, step: int, every: int, spark: SparkSess
 
 # ---- features -------------------------------------------------------------------------------------------------
 
-IMAGE_BUCKETS = 64
+FEATURE_KEY = ["spec_hash", "ps", "resample", "image_id", *WINDOW]
 
 
-def _merge_write(new: DataFrame, path: str, part: list[str], replaced: list[str]) -> None:
-    """Write `new` into a partitioned store: old rows of the touched partitions stay unless `new` has their `replaced` key.
-
-    The merged partitions are written to a scratch table first, since a job must not overwrite what it reads; repeating a call changes nothing.
-    """
-    from ..plans.scratch import StepTable
-
-    spark = new.sparkSession
-    fresh = StepTable(new.withColumn("image_bucket", F.pmod(F.xxhash64("image_id"), F.lit(IMAGE_BUCKETS)).cast("int")), "store-new")
-    rows, merged = fresh.df, None
-    if exists(spark, path):
-        old = spark.read.schema(fresh.df.schema).parquet(path)
-        kept = old.join(fresh.df.select(*part).distinct(), part, "left_semi").join(fresh.df.select(*replaced).distinct(), replaced, "left_anti")
-        merged = StepTable(fresh.df.unionByName(kept), "store")
-        rows = merged.df
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path)
-    fresh.drop()
-    if merged:
-        merged.drop()
+def write_features(df: DataFrame, path: str, spec_hash: str, ps: int, resample: int, removed: DataFrame | None = None) -> None:
+    """Store windows of a spec as a new version; they replace what is stored of the same windows. `removed` (image_id and window columns) are deleted."""
+    spec = lambda rows: rows.withColumn("spec_hash", F.lit(spec_hash)).withColumn("ps", F.lit(ps)).withColumn("resample", F.lit(resample))
+    versions.append(spec(df), path, None if removed is None else spec(removed), FEATURE_KEY)
 
 
-def write_features(df: DataFrame, path: str, spec_hash: str, ps: int, resample: int) -> None:
-    """Store rows by spec and image; of what is stored only the windows given again are replaced."""
-    spec = ["spec_hash", "ps", "resample"]
-    rows = df.withColumn("spec_hash", F.lit(spec_hash)).withColumn("ps", F.lit(ps)).withColumn("resample", F.lit(resample))
-    _merge_write(rows, path, [*spec, "image_bucket"], [*spec, "image_id", *WINDOW])
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    return versions.read(spark, path, FEATURE_KEY)
 
 
 def valid_features(store: DataFrame, spec_hash: str, ps: int, resample: int, expected: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -139,8 +122,12 @@ BANK_KEY = ["image_id", "ps", "context", "resample", "spec_hash"]
 
 
 def write_bank(df: DataFrame, path: str) -> None:
-    """Store the banks of the images in `df` (BANK_KEY, vector columns); stale banks of the same images go, other images stay."""
-    _merge_write(df, path, ["image_bucket"], ["image_id"])
+    """Store the banks of the images in `df` (BANK_KEY, vector columns) as a new version; stale banks of the same images go, other images stay."""
+    versions.append(df, path)
+
+
+def read_bank(spark: SparkSession, path: str) -> DataFrame:
+    return versions.read(spark, path, ["image_id"])
 
 
 def prune_banks(store: DataFrame, current: dict) -> DataFrame:

@@ -202,13 +202,13 @@ def test_stores_keep_other_images(spark, tmp_path):
     stores.write_features(rows(1), path, "s", 4, 1)
     stores.write_features(rows(2), path, "s", 4, 1)
     stores.write_features(rows(1, v=9.0).filter("win_y = 16"), path, "s", 4, 1)
-    got = sorted((r["image_id"], r["win_y"], r["v"]) for r in spark.read.parquet(path).collect())
+    got = sorted((r["image_id"], r["win_y"], r["v"]) for r in stores.read_features(spark, path).collect())
     assert got == [(1, 0, 0.0), (1, 16, 9.0), (2, 0, 0.0), (2, 16, 0.0)]
     bank = str(tmp_path / "bank")
     for i, spec in ((1, "a"), (2, "a"), (1, "b")):
         key = spark.createDataFrame([(i, spec, 4, 0, 1, [1.0])], "image_id long, spec_hash string, ps int, context int, resample int, vec array<double>")
         stores.write_bank(key, bank)
-    assert sorted((r["image_id"], r["spec_hash"]) for r in spark.read.parquet(bank).collect()) == [(1, "b"), (2, "a")]
+    assert sorted((r["image_id"], r["spec_hash"]) for r in stores.read_bank(spark, bank).collect()) == [(1, "b"), (2, "a")]
 
 
 def test_appending_polygons_again_changes_nothing(spark, tmp_path):
