@@ -84,4 +84,4 @@ def op13_limb_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_cost_balanced_packing, op3_importance_resampling, op4_noisy_or_toxicity, op5_plane_files, op6_prefix_orders_join, op7_markov_secrets, op8_pivot_range_join,
                                   op9_transducer_bpe, op10_divergence_rules, op11_chat_templates, op12_astar_repair, op13_limb_codes)}
-SQL: dict[str, str] = {"op11_chat_templates": sql.CHAT, "op12_astar_repair": sql.REPAIR, "op13_limb_codes": sql.CODES}
+SQL: dict[str, str] = {"op6_prefix_orders_join": sql.NGRAM_JOIN, "op8_pivot_range_join": sql.RANGE_JOIN, "op11_chat_templates": sql.CHAT, "op12_astar_repair": sql.REPAIR, "op13_limb_codes": sql.CODES}

@@ -108,3 +108,37 @@ FROM coded"""
 
 
 CODES = _codes()
+
+
+def _least(nodes: str, links: str) -> str:
+    """Smallest id reachable over `links` (a, b, both ways) from each id of `nodes`."""
+    return f"""reach AS (SELECT a, b FROM {links} UNION SELECT r.a, l.b FROM reach r JOIN {links} l ON l.a = r.b),
+least AS (SELECT n.id, least(n.id, coalesce(min(r.b), n.id)) AS component_id FROM {nodes} n LEFT JOIN reach r ON r.a = n.id GROUP BY n.id)"""
+
+
+#: All pairs that share a shingle, with exact counts; then the transitive closure of the links.
+NGRAM_JOIN = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words WHERE len(w) > 0
+), sizes AS MATERIALIZED (SELECT w.id, count(s.s) AS n FROM words w LEFT JOIN shingles s ON s.id = w.id GROUP BY w.id),
+pairs AS MATERIALIZED (
+  SELECT x.id AS a, y.id AS b, count(*) AS k FROM shingles x JOIN shingles y ON y.s = x.s AND y.id <> x.id GROUP BY x.id, y.id
+), links AS MATERIALIZED (
+  SELECT p.a, p.b FROM pairs p JOIN sizes x ON x.id = p.a JOIN sizes y ON y.id = p.b WHERE 100 * p.k >= 75 * (x.n + y.n - p.k)
+), """ + _least("sizes", "links") + """
+SELECT s.id AS doc_id, s.n AS n_shingles, l.component_id FROM sizes s JOIN least l ON l.id = s.id
+"""
+
+#: All pairs of usable vectors.
+RANGE_JOIN = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+), links AS MATERIALIZED (
+  SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON y.id <> x.id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.9
+), nodes AS (SELECT vec_id AS id FROM embeddings), """ + _least("nodes", "links") + """,
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT l.id AS vec_id, coalesce(d.n, 0) AS n_links, l.component_id, l.id = l.component_id AS kept FROM least l LEFT JOIN degrees d ON d.a = l.id
+"""
