@@ -80,11 +80,17 @@ def list_tiles(spark: SparkSession, directory: str, glob: str = "*.tif") -> Data
 
     Local paths come back plain, without a scheme, as list files and done logs have them.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(directory)
-    plain = found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("modificationTime").alias("mtime"))
     # the file system itself says how deep the folder lies: with its scheme, absolute and without // or /./
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
-    whole = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toUri().getPath()
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    inner = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, glob)
+    if not list(fs.globStatus(inner) or []):
+        fs.listStatus(path)  # raises if there is no such folder
+        return spark.createDataFrame([], "path string, length long, mtime timestamp")
+    # matched entries of this one level are listed, never the tree below
+    found = spark.read.format("binaryFile").load(inner.toString())
+    plain = found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", F.col("modificationTime").alias("mtime"))
+    whole = fs.makeQualified(path).toUri().getPath()
     inside = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
     depth = len(_levels(whole)) + 1
     return plain.filter(F.size(F.split(inside, "/")) - 1 == depth).orderBy("path")
