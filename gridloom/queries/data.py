@@ -121,7 +121,7 @@ def placed01(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def spans(spark: SparkSession, d: str) -> DataFrame:
+def spans(spark: SparkSession, d: str, *more: str) -> DataFrame:
     e, i = table(spark, d, "events"), F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
@@ -129,7 +129,7 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
         F.when(i % 4 == 0, F.lit(None)).when(i % 4 == 1, "validation").otherwise("holdout_inference").alias("phase"),
         F.col("event_type").alias("stage"), F.when(k < 20, F.lit(None)).otherwise(F.concat(F.lit("s"), (k % 5).cast("string"))).alias("substage"),
         F.when(i % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("tile_"), F.col("user_id").cast("string"))).alias("tile"),
-        F.concat(F.lit("run_"), (F.col("user_id") % 4).cast("string")).alias("run_id"), F.col("value").alias("duration_s"))
+        F.concat(F.lit("run_"), (F.col("user_id") % 4).cast("string")).alias("run_id"), F.col("value").alias("duration_s"), *more)
 
 
 def part_catalog(spark: SparkSession, d: str) -> DataFrame:

@@ -50,11 +50,27 @@ def _(spark, d):
     return spark.read.parquet(out)
 
 
-@query("STR-03", """SELECT phase, stage, substage, COUNT(*) AS "count", ROUND(SUM(duration_s), 6) AS total_s, MIN(duration_s) AS min_s, MAX(duration_s) AS max_s FROM spans GROUP BY 1, 2, 3""")
+EVERY = 8
+
+
+@query("STR-03", f"""WITH log AS (SELECT *, coalesce(tile IS NOT NULL AND position = MAX(position) OVER (PARTITION BY tile), false) AS final FROM
+    (SELECT event_id AS position, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'validation' ELSE 'holdout_inference' END AS phase, event_type AS stage,
+    CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) < 20 THEN NULL ELSE 's' || (CAST(json_extract_string(props, '$.k') AS INT) % 5) END AS substage,
+    CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'tile_' || user_id END AS tile, value AS duration_s FROM events)),
+    marks AS (SELECT position AS p, row_number() OVER (ORDER BY position) AS tiles FROM log WHERE final)
+    SELECT tiles, phase, stage, substage, COUNT(*) AS "count", ROUND(SUM(duration_s), 6) AS total_s, MIN(duration_s) AS min_s, MAX(duration_s) AS max_s
+    FROM marks JOIN log ON position <= p WHERE tiles % {EVERY} = 0 GROUP BY 1, 2, 3, 4""")
 def _(spark, d):
-    out = new_path(spark, "spans-out")
-    live.stream_spans(as_stream(data.spans(spark, d), "spans-in"), out, new_path(spark, "ck")).awaitTermination()
-    return live.latest_snapshot(spark, out).select("phase", "stage", "substage", "count", *r6("total_s"), "min_s", "max_s")
+    """The log in file order, cut into uneven batches; each tile ends with its last span."""
+    log = cut(data.spans(spark, d, "event_id").withColumnRenamed("event_id", "position"), "log")
+    last = log.filter("tile is not null").groupBy("tile").agg(F.max("position").alias("_p"))
+    log = log.join(last, "tile", "left").withColumn("final", F.coalesce(F.col("position") == F.col("_p"), F.lit(False))).drop("_p")
+    top, path = log.agg(F.max("position")).first()[0] or 0, new_path(spark, "log-in")
+    for low, high in ((0, 0.2), (0.2, 0.9), (0.9, 2)):
+        log.filter((F.col("position") >= top * low) & (F.col("position") < top * high)).coalesce(1).write.mode("append").parquet(path)
+    src, out = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path), new_path(spark, "summaries")
+    live.stream_tile_summaries(src, EVERY, out, new_path(spark, "ck")).awaitTermination()
+    return live.tile_summaries(spark, out).select("tiles", *live.SPAN, "count", *r6("total_s"), "min_s", "max_s")
 
 
 @query("STR-04", f"""SELECT stage, ROUND(SUM(iou * weight) / SUM(weight), 6) AS iou, ROUND(SUM(f1 * weight) / SUM(weight), 6) AS f1, COUNT(*) AS tiles FROM {STAGE_ROWS} WHERE weight > 0 GROUP BY 1""")

@@ -1,4 +1,4 @@
-"""Incremental forms: rolling mosaics, completed tiles, live span and metric summaries."""
+"""Incremental forms: rolling mosaics, completed tiles, live span and metric summaries, and summaries at every n-th tile."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.spatial import place_on_mosaic
+from ..plans.ordering import running_total
 from ..plans.scratch import StepTable
-from ..sources.stores import append_union
+from ..sources.stores import append_union, exists
 
 
 def _run(writer, checkpoint: str) -> StreamingQuery:
@@ -58,6 +59,46 @@ def stream_spans(spans: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return _run(agg.writeStream.outputMode("complete").foreachBatch(_snapshot(out)), checkpoint)
 
 
+SPAN = ["phase", "stage", "substage"]
+
+
+def stream_tile_summaries(log: DataFrame, every: int, out: str, checkpoint: str, position: str = "position", final: str = "final") -> StreamingQuery:
+    """A summary of all spans so far at every `every`-th finished tile, wherever batches begin and end.
+
+    `log` has SPAN, duration_s, a rising `position`, and `final` on the row that finishes a tile. A row belongs to the first summary whose last tile it does not
+    follow. What is kept is the number of finished tiles of each batch and the sums of its rows by span and summary; both are written under the batch's own number, so
+    a batch that is repeated after a restart changes nothing.
+    """
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        spark, held = batch.sparkSession, StepTable(batch, "log")
+        done = held.df.filter(final).agg(F.count(F.lit(1)).alias("tiles"))
+        done.write.mode("overwrite").parquet(f"{out}/done/batch={batch_id}")
+        counts = spark.read.option("basePath", f"{out}/done").parquet(f"{out}/done")
+        base, now = (counts.filter(F.col("batch") <= b).agg(F.coalesce(F.sum("tiles"), F.lit(0))).first()[0] for b in (batch_id - 1, batch_id))
+        is_last, d = F.col(final).cast("int"), F.col("duration_s")
+        numbered = running_total(held.df, [F.col(position)], "_done", is_last)
+        summary = (F.floor((F.col("_done") - is_last + F.lit(base)) / every) + 1).alias("summary")
+        numbered.groupBy(*SPAN, summary).agg(F.count(F.lit(1)).alias("count"), F.sum(d).alias("total_s"), F.min(d).alias("min_s"), F.max(d).alias("max_s")).write.mode("overwrite").parquet(f"{out}/parts/batch={batch_id}")
+        first, last = base // every + 1, now // every
+        if first <= last:
+            parts = spark.read.option("basePath", f"{out}/parts").parquet(f"{out}/parts").filter((F.col("batch") <= batch_id) & (F.col("summary") <= last))
+            at = F.explode(F.sequence(F.greatest(F.col("summary"), F.lit(first)), F.lit(last).cast("bigint"))).alias("_m")
+            told = parts.select(*SPAN, "count", "total_s", "min_s", "max_s", at).groupBy((F.col("_m") * every).alias("tiles"), *SPAN).agg(
+                F.sum("count").alias("count"), F.sum("total_s").alias("total_s"), F.min("min_s").alias("min_s"), F.max("max_s").alias("max_s"))
+            told.write.mode("overwrite").parquet(f"{out}/summaries/batch={batch_id}")
+        held.drop()
+
+    return _run(log.writeStream.foreachBatch(one_batch), checkpoint)
+
+
+def tile_summaries(spark, out: str) -> DataFrame:
+    """(tiles, SPAN, count, total_s, min_s, max_s) of every summary written so far."""
+    schema = f"tiles bigint, {', '.join(f'{c} string' for c in SPAN)}, `count` bigint, total_s double, min_s double, max_s double"
+    if not exists(spark, f"{out}/summaries"):
+        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", f"{out}/summaries").parquet(f"{out}/summaries").drop("batch")
+
+
 def stream_metrics(metrics: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Running weighted sums per stage over tiles with ground truth; the mean is taken when the snapshot is read."""
     rows = metrics.filter("gt_available")
