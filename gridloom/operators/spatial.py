@@ -6,12 +6,17 @@ A geometry is `rings ARRAY<ARRAY<STRUCT<x, y>>>` (even-odd filling). A tile has
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from .blocks import ddl, ints, whole_groups, with_columns
 from .focal import merge_intervals, run_cells
-from .tiling import TILE, dense_cells, with_dims
+from .tiling import TILE, with_dims
 
 
 def with_bbox(geoms: DataFrame) -> DataFrame:
@@ -347,26 +352,66 @@ def merge_mosaics(mosaics: DataFrame) -> DataFrame:
     return mosaics.groupBy("variant", "gy", "gx").agg(F.max("v").alias("v"))
 
 
+BANDS, MARKS = ("r", "g", "b", "score"), ("label", "gt", "buffer", "road")
+#: Dense cells that are laid out at a time.
+_LAID = 1 << 20
+
+
+def _laid_rows(keys: list[str]):
+    """Dense cells of rows: records of a (tile, row) are its width (kind 0), image cells (1) and cells of each mark (2 and on), in this order."""
+    kept = [*keys, "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, number in whole_groups(batches, kept):
+            kind, x = ints(table, "kind"), ints(table, "x")
+            first = np.flatnonzero(np.diff(number, prepend=-1))
+            width = np.where(kind[first] == 0, x[first], 0)  # a row outside its tile has no width, and no cells
+            ends = np.cumsum(width)
+            bands = {c: table.column(c).to_numpy() for c in BANDS}
+            at = 0
+            while at < len(first):
+                # whole rows, of about as many dense cells as are laid out at a time
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _LAID, side="right")))
+                a, b = int(first[at]), int(first[to]) if to < len(first) else len(kind)
+                w, base = width[at:to], np.cumsum(width[at:to]) - width[at:to]
+                group = number[a:b] - number[a]
+                inside = (kind[a:b] > 0) & (x[a:b] >= 0) & (x[a:b] < w[group])
+                place, total = base[group] + x[a:b], int(w.sum())
+                columns = {}
+                for c, v in bands.items():
+                    hit = inside & (kind[a:b] == 1) & (v[a:b] == v[a:b])  # not null
+                    low = np.full(total, -np.inf)
+                    np.maximum.at(low, place[hit], v[a:b][hit].astype(np.float64))
+                    low[np.isneginf(low)] = 0
+                    columns[c] = low if c == "score" else low.astype(np.int32)
+                for k, c in enumerate(MARKS, 2):
+                    columns[c] = np.zeros(total, bool)
+                    columns[c][place[inside & (kind[a:b] == k)]] = True
+                rows = table.select(kept).take(pa.array(np.repeat(first[at:to], w)))
+                yield from with_columns(rows, kept, x=(np.arange(total) - np.repeat(base, w)).astype(np.int32), **columns)
+                at = to
+
+    return run
+
+
 def tile_context(image: DataFrame, label: DataFrame, gt: DataFrame, buffer: DataFrame, roads: DataFrame,
                  tiles: DataFrame, clip_gt: bool = True, keys: list[str] = TILE) -> DataFrame:
     """One dense table per tile: image, label, ground truth, buffer, roads and the ground truth used for evaluation.
 
-    The masks are stacked and folded with the dense grid by one aggregation on the cell, so one shuffle aligns all.
+    All layers meet once, by (tile, row), as the sparse cells that they are, with one record for each row of a tile; dense cells are laid out after that shuffle. Of
+    repeated image cells each band's largest value counts.
     """
-    cell = [*keys, "y", "x"]
-    bands = ("r", "g", "b", "score")
-    marks = ("label", "gt", "buffer", "road")
-
-    def layer(df: DataFrame, mark: str | None) -> DataFrame:
-        return df.select(*cell, *[(F.col(c) if mark == "image" else F.lit(None)).cast("double" if c == "score" else "int").alias(c) for c in bands],
-                         *[F.lit(1 if m == mark else 0).alias(m) for m in marks], F.lit(1 if mark == "grid" else 0).alias("_grid"))
-
-    stacked = layer(dense_cells(tiles, keys), "grid").unionByName(layer(image, "image"))
-    for df, mark in ((label, "label"), (gt, "gt"), (buffer, "buffer"), (roads, "road")):
-        stacked = stacked.unionByName(layer(df, mark))
-    out = stacked.groupBy(*cell).agg(
-        *[F.coalesce(F.max(c), F.lit(0).cast("double" if c == "score" else "int")).alias(c) for c in bands],
-        *[(F.max(m) == 1).alias(m) for m in marks], F.max("_grid").alias("_grid")).filter("_grid = 1").drop("_grid")
+    def layer(df: DataFrame, kind: int, x: str = "x") -> DataFrame:
+        return df.select(*keys, F.col("y").cast("int").alias("y"), F.col(x).cast("int").alias("x"), F.lit(kind).cast("tinyint").alias("kind"),
+                         *[(F.col(c) if kind == 1 else F.lit(None)).cast("double" if c == "score" else "int").alias(c) for c in BANDS])
+
+    rows = tiles.filter("height > 0 and width > 0").select(*keys, "width", F.explode(F.sequence(F.lit(0), (F.col("height") - 1).cast("int"))).alias("y"))
+    stacked = layer(rows, 0, "width").unionByName(layer(image, 1))
+    for kind, df in enumerate((label, gt, buffer, roads), 2):
+        stacked = stacked.unionByName(layer(df, kind))
+    dealt = stacked.repartition(*keys, "y").sortWithinPartitions(*keys, "y", "kind")
+    schema = ddl(stacked, [*keys, "y"]) + ", x int, r int, g int, b int, score double, " + ", ".join(f"{m} boolean" for m in MARKS)
+    out = dealt.mapInArrow(_laid_rows(keys), schema)
     used = F.col("gt") & F.col("buffer") if clip_gt else F.col("gt")
     return out.withColumn("gt_eval", used)
 

@@ -184,3 +184,42 @@ def test_holes_count_against_the_area(spark):
     for rings in ([square, hole], [square, hole[::-1]], [hole, square[::-1]]):
         df = spark.createDataFrame([(rings,)], "rings array<array<struct<x: double, y: double>>>")
         assert df.select(spatial.ring_area_sum(spatial.oriented(F.col("rings")))).first()[0] == 12.0
+
+
+def test_context_lays_out_rows(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "_LAID", 7)
+    t = tiles(spark, (3, 5), (2, 4))
+    image = spark.createDataFrame([(0, 0, 0, 1, 2, 3, .5), (0, 0, 0, 9, 1, 3, .25), (0, 2, 4, -7, None, 1, None), (0, 1, 9, 1, 1, 1, 1.0), (0, 8, 0, 1, 1, 1, 1.0), (5, 0, 0, 1, 1, 1, 1.0)],
+                                  "tile_id int, y int, x int, r int, g int, b int, score double")
+    none = mask_df(spark, np.zeros((1, 1)))
+    label, gt = mask_df(spark, np.eye(3), np.ones((1, 2))), mask_df(spark, np.ones((3, 9)))
+    out = {(r["tile_id"], r["y"], r["x"]): r for r in spatial.tile_context(image, label, gt, label, none, t).collect()}
+    assert sorted(out) == [(0, y, x) for y in range(3) for x in range(5)] + [(1, y, x) for y in range(2) for x in range(4)]
+    assert tuple(out[0, 0, 0])[3:7] == (9, 2, 3, .5) and tuple(out[0, 2, 4])[3:7] == (-7, 0, 1, 0.0) and tuple(out[1, 1, 1])[3:7] == (0, 0, 0, 0.0)
+    assert {k for k, r in out.items() if r["label"]} == {(0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 0), (1, 0, 1)} == {k for k, r in out.items() if r["buffer"]}
+    assert all(r["gt"] == (k[0] == 0) and not r["road"] and r["gt_eval"] == (r["gt"] and r["buffer"]) for k, r in out.items())
+
+
+def test_geometry_over_many_tiles_and_bands(spark):
+    rows = [(i * 10 + j, 10, 10 + j % 2, float(10 * j), float(100 - 10 * i), 1.0) for i in range(4) for j in range(5)]
+    t = spark.createDataFrame(rows, "tile_id int, height int, width int, left double, top double, px double")
+    outer, hole, other = box(3, 62, 48, 99), box(12, 71, 29, 88), [(0, 60), (20, 80), (40, 60)]
+    g = spark.createDataFrame([("a", 0, [[{"x": float(x), "y": float(y)} for x, y in r] for r in (outer, hole)]), ("b", 1, [[{"x": float(x), "y": float(y)} for x, y in other]])],
+                              "layer string, geom_id int, rings array<array<struct<x:double,y:double>>>")
+    cells = {(r["layer"], r["tile_id"], r["y"], r["x"]) for r in spatial.rasterize(g, t, False, 7.0).collect()}
+    want = set()
+    for tile, h, w, left, top, _ in rows:
+        for y in range(h):
+            for x in range(w):
+                cx, cy = left + x + .5, top - y - .5
+                if inside(outer, cx, cy) != inside(hole, cx, cy):
+                    want.add(("a", tile, y, x))
+                if inside(other, cx, cy):
+                    want.add(("b", tile, y, x))
+    assert cells == want
+    met = {(r["layer"], r["tile_id"]) for r in spatial.spatial_join(g, t, 7.0).collect()}
+    # a tile of this size meets a shape here exactly if it shares a cell with it or its outline touches the tile's border
+    touched = {(r["layer"], r["tile_id"]) for r in spatial.rasterize(g, t, True, 7.0).select("layer", "tile_id").distinct().collect()}
+    assert touched <= met and ("a", 12) in met and ("a", 11) in met and {k for k in met if k[0] == "b"} - touched <= {("b", 0), ("b", 1), ("b", 2), ("b", 3), ("b", 4), *[("b", i) for i in range(100)]}
+    clipped = {(r["layer"], r["tile_id"]): r["a"] for r in spatial.clip_to_tiles(g, t.filter("width = 10"), 7.0).select("layer", "tile_id", spatial.ring_area_sum(F.col("rings")).alias("a")).collect()}
+    assert clipped["a", 2] == 10 * 9.0 - 9 * 0 and sum(v for (k, _), v in clipped.items() if k == "b") > 0
