@@ -148,7 +148,9 @@ def _(spark, d):
     return tuning.crf_grid(context(spark, d), tiles(spark, d), configs, 0.5, weights(spark, d), steps=2)
 
 
-STAGE_SQL = {"champion_raw": "score >= 0.4", "champion_crf": "score >= 0.4 AND buffer", "champion_shadow": "score >= 0.4 AND buffer AND r + g + b >= 200", "knn_raw": "score >= 0.3"}
+#: The nine stages: two streams with scores and thresholds of their own and the champion, each raw, in the buffer, and without shadow.
+RAW = {"knn": "score >= 0.3", "xgb": "score + r / 1000 >= 0.5", "champion": "score >= 0.4"}
+STAGE_SQL = {f"{stream}_{step}": f"{raw}{more}" for stream, raw in RAW.items() for step, more in (("raw", ""), ("crf", " AND buffer"), ("shadow", " AND buffer AND r + g + b >= 200"))}
 STAGE_UNION = " UNION ALL ".join(f"SELECT tile_id, '{s}' AS stage, {counts(c)}, CAST(COUNT(*) FILTER (gt) AS DOUBLE) AS weight FROM ctx GROUP BY 1" for s, c in STAGE_SQL.items())
 STAGE_ROWS = f"""(SELECT *, 2 * "precision" * recall / ("precision" + recall + 1e-8) AS f1 FROM (SELECT *, tp / (tp + fp + 1e-8) AS "precision", tp / (tp + fn + 1e-8) AS recall, tp / (tp + fp + fn + 1e-8) AS iou FROM ({STAGE_UNION})))"""
 
@@ -169,7 +171,7 @@ WM = "ROUND(CASE WHEN SUM(weight) > 0 THEN SUM({c} * weight) / SUM(weight) ELSE
 
 
 @query("MET-15", f"""SELECT stage, {WM.format(c='iou')} AS iou_wmean, {WM.format(c='f1')} AS f1_wmean, {WM.format(c='"precision"')} AS precision_wmean, {WM.format(c='recall')} AS recall_wmean,
-    ROUND(MEDIAN(iou), 6) AS iou_median, ROUND(MEDIAN(f1), 6) AS f1_median, CASE stage WHEN 'knn_raw' THEN 1 WHEN 'champion_raw' THEN 7 WHEN 'champion_crf' THEN 8 ELSE 9 END AS stage_ord FROM {STAGE_ROWS} GROUP BY 1""")
+    ROUND(MEDIAN(iou), 6) AS iou_median, ROUND(MEDIAN(f1), 6) AS f1_median, list_position({metrics.STAGES}, stage) AS stage_ord FROM {STAGE_ROWS} GROUP BY 1""")
 def _(spark, d):
     out = metrics.stage_summary(stages(spark, d))
     return out.select("stage", *r6("iou_wmean", "f1_wmean", "precision_wmean", "recall_wmean", "iou_median", "f1_median"), "stage_ord")
