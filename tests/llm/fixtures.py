@@ -35,3 +35,22 @@ def frame(spark, rows, extra: bool = False):
         for name in ("score", "kept", "n", "component_id", "n_words", "ids", "log_ratio", "part", "root", "spans"):
             df = df.withColumn(name, F.lit("x"))
     return df
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def components(nodes, links):
+    root = {i: i for i in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in nodes}

@@ -10,6 +10,8 @@ import zlib
 import numpy as np
 import pytest
 from fixtures import SCHEMA, corpus, frame
+from fixtures import components as _components
+from fixtures import shingles as _shingles
 from pyspark.sql import functions as F
 
 from gridloom.llm import importance, katz, lexicon, metric_join, ngram_join, packing, plane_files, quality_rules, secret_scan, token_ids, toxicity
@@ -61,25 +63,6 @@ def test_katz_equals_the_definition_and_sums_to_one(spark, sf):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def _shingles(text):
-    w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-
-
-def _components(nodes, links):
-    root = {i: i for i in nodes}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-    for a, b in links:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in nodes}
-
-
 @pytest.mark.parametrize("s", [ngram_join.Settings(), ngram_join.Settings(crowd=3, block=4, hot=2, parts=7), ngram_join.Settings(percent=60, crowd=2, block=5)])
 def test_ngram_join_equals_all_pairs(spark, s):
     rows = corpus(n=40)
@@ -109,6 +92,18 @@ def _vectors(seed=3, n=150, d=16):
     return [(i, [float(x) for x in r]) for i, r in enumerate(v)]
 
 
+def test_ngram_join_of_more_rows_than_a_slice_numbers(spark):
+    """Many short texts in one Arrow batch: rows of a slice are numbered in 16 bits."""
+    pairs = 33_000
+    docs = spark.range(2 * pairs).selectExpr("id AS doc_id", f"concat('word', id % {pairs}, ' b c d e f') AS text").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "0")
+    try:
+        wrong = ngram_join.near_duplicates(docs).filter(f"component_id <> doc_id % {pairs} or n_shingles <> 2").count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert wrong == 0
+
+
 @pytest.mark.parametrize("s", [metric_join.Settings(), metric_join.Settings(block=7, pivots_per_root=1.0), metric_join.Settings(block=500, pivots_per_root=3.0)])
 def test_metric_join_equals_all_pairs(spark, s):
     good = _vectors()
