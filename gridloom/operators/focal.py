@@ -9,11 +9,15 @@ column or cell, never the tile alone, so one huge tile spreads over all tasks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, vectors
+from .blocks import ddl, ints, whole_groups
 from .tiling import PATCH, TILE, WINDOW, with_dims
 
 
@@ -98,11 +102,15 @@ def erode(mask: DataFrame, tiles: DataFrame, r: int, kernel: str = "disk", outsi
         .filter("y >= 0 and y < height and x0 <= x1")
         .withColumn("_need", rows_needed)
     )
-    return (
-        run_cells(support, ["_need"], keys)
-        .groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("_have"), F.max("_need").alias("_need"))
-        .filter("_have = _need").select(*keys, "y", "x")
+    # every kernel row's intervals as +1 and -1 events of a row; cells are generated only where all kernel rows cover
+    events = (
+        support.withColumn("_e", F.explode(F.array(F.struct(F.col("x0").alias("at"), F.lit(1).alias("d")), F.struct((F.col("x1") + 1).alias("at"), F.lit(-1).alias("d")))))
+        .groupBy(*keys, "y", F.col("_e.at").alias("at")).agg(F.sum("_e.d").alias("_d"), F.max("_need").alias("_need"))
     )
+    w = Window.partitionBy(*keys, "y").orderBy("at")
+    covered = (events.withColumn("_have", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("x1", F.lead("at").over(w) - 1)
+               .filter("_have = _need").select(*keys, "y", F.col("at").alias("x0"), "x1"))
+    return run_cells(covered, keys=keys)
 
 
 def focal(df: DataFrame, tiles: DataFrame, offsets: list[tuple[int, int]], value: str, border: str = "reflect",
@@ -175,25 +183,45 @@ def boundary_band_errors(pred: DataFrame, gt: DataFrame, tiles: DataFrame, n: in
     return both.join(band, cell, "left_semi").select(*cell, F.when(F.col("p") == 1, "fp").otherwise("fn").alias("kind"))
 
 
+def _reflected(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places with repeated edges: -1 is 0 and n is n - 1, then on and back."""
+    at = np.mod(at, 2 * n)
+    return np.where(at < n, at, 2 * n - 1 - at)
+
+
+def _axis_sum(vecs: DataFrame, group: list[str], along: str, size: str, r: int, kept: list[str]) -> DataFrame:
+    """Sums of the vectors within r places along one axis; a group is one line of patches of one window, and absent patches count as zero."""
+    names = [*group, along]
+    schema = ddl(vecs, kept) + ", v array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, number in whole_groups(batches, group, 20_000):
+            column = table.column("v").combine_chunks()
+            m = column.flatten().to_numpy().reshape(table.num_rows, -1)
+            first = np.flatnonzero(np.diff(number, prepend=-1))
+            n, at = ints(table, size), ints(table, along)
+            start = (np.cumsum(n[first]) - n[first])[number]
+            dense = np.zeros((int(n[first].sum()), m.shape[1]))
+            dense[start + at] = m
+            total = sum(dense[start + _reflected(at + d, n)] for d in range(-r, r + 1))
+            out = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, max(total.shape[1], 1), dtype=np.int32)), pa.array(total.reshape(-1)))
+            yield from pa.table([*[table.column(c) for c in kept], out], names=[*kept, "v"]).combine_chunks().to_batches()
+
+    return vecs.repartition(*group).sortWithinPartitions(*names).mapInArrow(run, schema)
+
+
 def local_mean(vecs: DataFrame, r: int, keys: list[str] = TILE) -> DataFrame:
-    """(2r+1)^2 mean of patch vectors inside each window with repeated edges, then unit length."""
+    """(2r+1)^2 mean of patch vectors inside each window with repeated edges, then unit length: sums along rows, then along columns; each vector is shuffled twice, whatever r is."""
     if r <= 0:
         return vecs
     win = [*keys, *WINDOW]
     sizes = vecs.groupBy(*win).agg((F.max("py") + 1).alias("_hp"), (F.max("px") + 1).alias("_wp"))
-    steps = F.sequence(F.lit(-r), F.lit(r))
-    target = (vecs.select(*win, *PATCH).join(sizes, win)
-              .withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-              .select(*win, *PATCH, scores.reflect(F.col("py") + F.col("_dy"), F.col("_hp")).alias("_py"),
-                      scores.reflect(F.col("px") + F.col("_dx"), F.col("_wp")).alias("_px")))
-    source = vecs.select(*win, F.col("py").alias("_py"), F.col("px").alias("_px"), vectors.to_double(F.col("vec")).alias("v"))
-    weight = 1.0 / float((2 * r + 1) ** 2)
-    # each list holds exactly (2r+1)^2 vectors
-    return (
-        target.join(source, [*win, "_py", "_px"])
-        .groupBy(*win, *PATCH).agg(F.collect_list(F.struct(F.lit(weight).alias("w"), "v")).alias("_p"))
-        .select(*win, *PATCH, vectors.l2(vectors.weighted_sum(F.col("_p"))).alias("vec"))
-    )
+    kept = [*win, *PATCH, "_hp", "_wp"]
+    placed = vecs.join(sizes, win).select(*kept, vectors.to_double(F.col("vec")).alias("v"))
+    rows = _axis_sum(placed, [*win, "py"], "px", "_wp", r, kept)
+    both = _axis_sum(rows, [*win, "px"], "py", "_hp", r, kept)
+    mean = F.transform("v", lambda x: x * F.lit(1.0 / float((2 * r + 1) ** 2)))
+    return both.select(*win, *PATCH, vectors.l2(mean).alias("vec"))
 
 
 def window_neighbours(df: DataFrame, value: str, keys: list[str] = TILE) -> DataFrame:

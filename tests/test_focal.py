@@ -96,3 +96,27 @@ def test_band_errors(spark):
     out = {(r["y"], r["x"], r["kind"]) for r in focal.boundary_band_errors(mask_df(spark, pred), mask_df(spark, gt), tiles(spark, (9, 9)), 1).collect()}
     assert {(2, x, "fn") for x in range(2, 6)} <= out
     assert {(y, k) for y, _, k in out} == {(2, "fn"), (6, "fp")}
+
+
+@pytest.mark.parametrize("r", [1, 2, 5])
+def test_local_mean_is_separable(spark, r):
+    rng = np.random.default_rng(r)
+    m = rng.normal(size=(4, 3, 2))
+    rows = [(0, w, 0, y, x, [float(v) for v in m[y, x]]) for w in (0, 16) for y in range(4) for x in range(3)]
+    df = spark.createDataFrame(rows, "tile_id int, win_y int, win_x int, py int, px int, vec array<double>").repartition(5)
+    pad = np.pad(m, ((20, 20), (20, 20), (0, 0)), mode="symmetric")
+    for o in focal.local_mean(df, r).collect():
+        y, x = o["py"] + 20, o["px"] + 20
+        mean = pad[y - r:y + r + 1, x - r:x + r + 1].mean((0, 1))
+        assert np.allclose(o["vec"], mean / (np.linalg.norm(mean) + 1e-8))
+
+
+@pytest.mark.parametrize("kernel", ["disk", "square", "diamond"])
+def test_erosion_by_events(spark, kernel):
+    g, t = blobs(4, 30, 33, 0.7), tiles(spark, (30, 33))
+    for r in (1, 3):
+        offsets = [(dy, dx) for dy, hw in focal.half_widths(r, kernel) for dx in range(-hw, hw + 1)]
+        for outside in (True, False):
+            pad = np.pad(g, r, constant_values=outside)
+            want = np.logical_and.reduce([pad[r + dy:r + dy + 30, r + dx:r + dx + 33] for dy, dx in offsets])
+            assert (grid_of(focal.erode(mask_df(spark, g), t, r, kernel, outside), g.shape) == want).all()
