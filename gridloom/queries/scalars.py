@@ -73,8 +73,7 @@ def _(spark, d):
 
 
 @query("SCL-09", """WITH m AS MATERIALIZED (SELECT tile_id, y, x, score, buffer FROM ctx), seed AS MATERIALIZED (SELECT tile_id, y, x FROM m WHERE score >= 0.6 AND buffer),
-    wide AS MATERIALIZED (SELECT DISTINCT g1.tile_id, g1.y, g1.x FROM seed s CROSS JOIN (SELECT dy, dx FROM disk WHERE dy * dy + dx * dx <= 1) k
-    JOIN m g1 ON g1.tile_id = s.tile_id AND g1.y = s.y + dy AND g1.x = s.x + dx)
+    wide AS MATERIALIZED (SELECT DISTINCT tile_id, y + dy AS y, x + dx AS x FROM seed, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) k(dy, dx))
     SELECT c.tile_id, c.y, c.x, ROUND(CASE WHEN NOT buffer THEN 1e-6 WHEN s.y IS NOT NULL THEN 0.98 WHEN w.y IS NOT NULL THEN 0.5 ELSE 0.02 END::DOUBLE, 6) AS fg,
     CASE WHEN s.y IS NOT NULL THEN 'seed' WHEN w.y IS NOT NULL THEN 'ring' ELSE 'rest' END AS part FROM m c
     LEFT JOIN seed s ON s.tile_id = c.tile_id AND s.y = c.y AND s.x = c.x LEFT JOIN wide w ON w.tile_id = c.tile_id AND w.y = c.y AND w.x = c.x""")
