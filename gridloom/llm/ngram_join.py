@@ -1,7 +1,7 @@
 """Jaccard self-join on word shingles by prefix filters under several global token orders.
 
 If two sets have Jaccard similarity t or more, then under any global order of tokens their prefixes of n - ceil(t n) + 1 tokens share one. Two orders
-are used, both rarest first: by exact document frequency then hash, and by the logarithm of the frequency then another hash. A pair is verified only if
+are used, both rarest first: by document frequency (exact up to 5,535 documents a chunk) then hash, and by the logarithm of the frequency then another hash. A pair is verified only if
 its prefixes meet under both.
 
 1. Read: each slice of documents is a chunk. Its distinct shingle hashes are dealt by hash to `parts` groups as packed numbers; a shingle that many documents of
@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import cut
-from .common import U64, batch_of, give_back, lean, looked_up, mix, ragged, slices, starts, texts, word_hashes
+from .common import SLICE_ROWS, U64, batch_of, give_back, lean, looked_up, mix, ragged, slices, starts, texts, word_hashes
 from .links import components, local_roots
 
 _LOW = U64((1 << 48) - 1)
-_HOT_MARK = 0xFFFF
+#: Numbers from here on are not rows of a slice (see common.SLICE_ROWS) but tell how many rows a shingle has that travels once.
+_HOT_MARK = SLICE_ROWS
+_MOST = 0xFFFF - SLICE_ROWS
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ class Settings:
     words: int = 5
     percent: int = 75
     parts: int = 0
-    hot: int = 16
+    hot: int = 2
     crowd: int = 64
     block: int = 512
     slice_bytes: int = 4 << 20
@@ -119,7 +121,7 @@ def _read(docs: DataFrame, parts: int, s: Settings) -> DataFrame:
                 # what travels: single entries by document, then one entry for each shingle of many documents
                 tp = np.concatenate([part[~many], part[hot_at]])
                 tt = np.concatenate([h[~many], h[hot_at]])
-                td = np.concatenate([d[~many], np.full(len(hot_at), _HOT_MARK)]).astype("<u2")
+                td = np.concatenate([d[~many], _HOT_MARK + np.minimum(np.diff(at)[np.diff(at) > s.hot], _MOST)]).astype("<u2")
                 order = np.argsort(td, kind="stable")
                 order = order[np.argsort(tp[order], kind="stable")]
                 tp, tt, td = tp[order], tt[order] & _LOW, td[order]
@@ -146,7 +148,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     row = np.repeat(np.arange(len(toks)), sizes)
     order = np.argsort(tok, kind="stable")
     at = _runs(tok[order])
-    weight = np.where(doc == _HOT_MARK, 17, 1)[order]
+    weight = np.where(doc > _HOT_MARK, doc.astype(np.int64) - _HOT_MARK, 1)[order]
     df = np.add.reduceat(weight, at[:-1]) if len(order) else np.zeros(0, np.int64)
     each = np.empty(len(tok), np.int64)
     each[order] = np.repeat(df, np.diff(at))
@@ -171,7 +173,7 @@ def _gather(percent: int):
         if k:
             hot, sizes = np.frombuffer(own["b"], "<u8", k), np.frombuffer(own["b"], "<i4", k, 8 * k).astype(np.int64)
             order = np.argsort(hot)
-            mark = doc == _HOT_MARK
+            mark = doc > _HOT_MARK
             slot = order[np.searchsorted(hot[order], tok[mark])]
             members = ragged(np.frombuffer(own["c"], "<u2").astype(np.int64), starts(sizes)[:-1][slot], sizes[slot])
             tok = np.concatenate([tok[~mark], np.repeat(tok[mark], sizes[slot])])
