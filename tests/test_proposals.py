@@ -106,3 +106,13 @@ def test_object_row_literal(spark):
     assert proposals.accept(proposals.checks(row, cfg)).first()["accepted"]
     failed = proposals.accept(proposals.checks(row.withColumn("area_px", F.lit(2.0)), cfg)).first()
     assert failed["acceptance_score"] == 3 / 8 and len(failed["reject_reasons"]) == 5
+
+
+def test_a_measure_at_its_limit_meets_it_wherever_the_object_lies(spark):
+    """The shape's elongation is exactly 1.2; var_samp and sqrt give 1.2 plus or minus a few last bits, by position and order."""
+    shapes = [((0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (2, 1)), ((0, 0), (0, 1), (1, 0), (1, 2), (2, 0), (2, 1)), ((0, 1), (0, 2), (1, 0), (1, 2), (2, 1), (2, 2))]
+    rows = [(0, proposals.OUTSIDE, 1000 * k + i, dy * 7 + y, dx * 5 + x, 0.3, False) for k, s in enumerate(shapes) for i, (dy, dx) in enumerate((a, b) for a in range(6) for b in range(6)) for y, x in s]
+    cells = spark.createDataFrame(rows, "tile_id int, zone string, root long, y int, x int, score double, road boolean")
+    got = proposals.cheap_checks(proposals.basic_metrics(cells, proposals.object_key()), CFG).select("pca_ratio", "min_pca_ratio", "min_mean_score").collect()
+    assert len(got) == 36 * len(shapes) and all(r["pca_ratio"] == pytest.approx(1.2, abs=1e-12) for r in got)
+    assert any(r["pca_ratio"] < 1.2 for r in got) and all(r["min_pca_ratio"] and r["min_mean_score"] for r in got)
