@@ -111,7 +111,7 @@ def crf_grid(cells: DataFrame, tiles: DataFrame, configs: list[dict], center: fl
         p = F.coalesce(p, scores.trimap(F.col("seed"), F.coalesce("wide", F.lit(False))))
     p = F.when(F.col("buffer"), scores.clip01(p)).otherwise(F.lit(scores.CLIP))
     keyed = [*keys, "cfg_ord"]
-    refined = pairwise_refine(long.withColumn("p", p), PairwiseConfig(steps=steps), keyed)
+    refined = pairwise_refine(long.withColumn("p", p), PairwiseConfig(steps=steps), keyed, max((float(c[n]) for c in configs for n in ("pos_xy_std", "bilateral_xy_std") if n in c), default=None))
     judged = refined.join(cells.select(*cell, "gt"), cell)
     per_tile = confusion(judged, F.col("mask"), F.col("gt"), keyed).join(weights.select(*keys, "weight"), keys)
     return first_best(per_tile.groupBy("cfg_ord").agg(weighted_mean(F.col("iou"), F.col("weight")).alias("iou")), "iou", ["cfg_ord"])

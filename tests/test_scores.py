@@ -85,3 +85,17 @@ def test_colour_edges_hold(spark):
     cfg = refine.PairwiseConfig(pos_w=0, bilateral_w=4, bilateral_xy_std=6, bilateral_rgb_std=10, steps=3)
     m = grid_of(refine.pairwise_refine(dense(spark, p, (r, r, r)), cfg).filter("mask"), p.shape)
     assert m[:, 6:].all() and not m[:, :6].any()
+
+
+@pytest.mark.parametrize("steps, block", [(2, 256), (3, 8), (3, 40)])
+def test_refinement_in_blocks_equals_tables_of_vertices(spark, steps, block):
+    """One block, blocks of one filter a pass, and blocks of two: all cells, whatever the cuts."""
+    rng = np.random.default_rng(5)
+    p, rgb = rng.random((70, 53)), [rng.integers(0, 256, (70, 53)) for _ in range(3)]
+    cfg = refine.PairwiseConfig(pos_w=1, pos_xy_std=2, bilateral_w=2, bilateral_xy_std=3, bilateral_rgb_std=60, steps=steps)
+    df = dense(spark, p, rgb, rng.random((70, 53)) < .9)
+    want = refine._through_vertices(df.withColumn("p", scores.clip01(F.col("p"))), cfg, ["tile_id"])
+    got = refine.pairwise_refine(df, cfg, block=block)
+    assert np.allclose(grid_of(got, p.shape, value="p_fg"), grid_of(want, p.shape, value="p_fg"), atol=1e-9)
+    assert (grid_of(got.filter("mask"), p.shape) == grid_of(want.filter("mask"), p.shape)).all() and got.count() == p.size
+    assert not any(x in got._jdf.queryExecution().optimizedPlan().toString() for x in ("Join", "Aggregate"))  # only cells are shuffled
