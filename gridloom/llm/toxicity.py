@@ -32,6 +32,8 @@ _EDGES = b".,;:!?\"'()*#$%&"
 TOXIC_FROM = 0.3
 #: Words whose weights a task remembers.
 MEMO_WORDS = 150_000
+#: Words whose parts are hashed at once on the driver: hashing takes about a hundred times the room of the words.
+HASH_WORDS = 20_000
 _ENDS = bytes.maketrans(b".!?\n", b"\n\n\n\n")
 
 
@@ -82,6 +84,18 @@ def _parts(words: Sequence[bytes], fit: Fit) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found).astype(np.int32), np.concatenate(owners)
 
 
+def _all_parts(words: Sequence[bytes], fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """`_parts` of many words, in order of their words and a bounded number at a time."""
+    parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), HASH_WORDS):
+        some = words[i:i + HASH_WORDS]
+        part, owner = _parts(some, fit)
+        parts.append(part[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner, minlength=len(some)))
+    n = np.concatenate(sizes)
+    return np.concatenate(parts), np.repeat(np.arange(len(n), dtype=np.int32), n)
+
+
 def sentences(text: bytes) -> list[list[bytes]]:
     """Words of each sentence; sentences end at . ! ? and line ends."""
     return [w for s in text.translate(_ENDS).split(b"\n") if (w := s.split())]
@@ -164,11 +178,9 @@ def learn(bags: Iterable[tuple[int, float, Sequence[int], list[bytes]]], fit: Fi
         tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
     if not labels:
         return Model(np.zeros(1 << fit.bits, np.float32), -np.inf, fit)
-    part, part_word = _parts(list(number), fit)
-    order = np.argsort(part_word, kind="stable")
     words = len(number)
+    part, part_word = _all_parts(list(number), fit)
     number.clear()
-    part, part_word = part[order], part_word[order].astype(np.int32)
     ends = starts(np.bincount(part_word, minlength=words))
     found = np.zeros((2, 1 << fit.bits))
     for label, own in zip(labels, tokens[1:], strict=True):

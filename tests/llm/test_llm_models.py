@@ -220,6 +220,23 @@ def _operators(docs, labels):
     yield plane_files.read(spark, folder)
 
 
+def test_parts_of_many_words_take_bounded_room():
+    """The driver hashes the words of its sample a bounded number at a time: same parts in the same order, a tenth of the room."""
+    import tracemalloc
+
+    words, fit = [f"word{i * 7919}x{i}".encode() for i in range(120_000)], toxicity.Fit()
+    part, owner = toxicity._parts(words, fit)
+    order = np.argsort(owner, kind="stable")
+    want, size = part[order], part.nbytes
+    del part, order
+    tracemalloc.start()
+    got, of = toxicity._all_parts(words, fit)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and (of == np.sort(owner)).all() and peak < 8 * size
+    assert all(len(x) == 0 for x in toxicity._all_parts([], fit))
+
+
 def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for out in _operators(spark.createDataFrame([], SCHEMA), labels):
