@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import extractors, vectors
 from ..operators import features
+from ..operators.tiling import blocks, repeat_blocks, windows
+from ..plans.scratch import cut
 from ..sources import stores
-from .data import PS, SIZE, STRIDE, placed01, query, r6, tiles, vecs
-from ..operators.tiling import windows
+from .data import PS, SIZE, STRIDE, dense, placed01, query, r6, tiles, vecs
 from .masks import GRADIENT, LBP
 from .scalars import HSV, SAT
 from .sources import stored
@@ -21,6 +22,15 @@ def long(df, col, *keys):
     return df.select(*keys, F.posexplode(col).alias("dim", "v")).select(*keys, "dim", *r6("v"))
 
 
+def blocks01(spark, d):
+    """Dense cells in blocks of one patch: windows start at whole patches, so a patch's features are those of its block."""
+    return blocks(dense(spark, d).withColumns({c: F.col(c) / F.lit(255.0) for c in "rgb"}), PS)
+
+
+def repeated(spark, d, df):
+    return repeat_blocks(df, tiles(spark, d), SIZE, STRIDE, PS)
+
+
 @query("FEA-01", """SELECT vec_id, CAST(p AS INT) AS patch, CAST(c AS INT) AS dim, ROUND(v / (SQRT(SUM(v * v) OVER (PARTITION BY vec_id, p)) + 1e-8), 6) AS v FROM
     (SELECT vec_id, p, c, (vec[(p + 2) * 8 + c + 1] + vec[64 - ((p + 2) * 8 + c)]) / 2 AS v FROM vecs, unnest(range(6)) a(p), unnest(range(8)) b(c))""")
 def _(spark, d):
@@ -42,13 +52,13 @@ def _(spark, d):
 @query("FEA-03", f"""SELECT {KEYS}, ROUND(AVG(r), 6) AS r_mean, ROUND(AVG(g), 6) AS g_mean, ROUND(AVG(b), 6) AS b_mean, ROUND(stddev_pop(r), 6) AS r_std,
     ROUND(stddev_pop(g), 6) AS g_std, ROUND(stddev_pop(b), 6) AS b_std FROM placed01 GROUP BY ALL""")
 def _(spark, d):
-    return features.rgb_stats(placed01(spark, d)).select(*KEY, *r6("r_mean", "g_mean", "b_mean", "r_std", "g_std", "b_std"))
+    return repeated(spark, d, features.rgb_stats(blocks01(spark, d))).select(*KEY, *r6("r_mean", "g_mean", "b_mean", "r_std", "g_std", "b_std"))
 
 
 @query("FEA-04", f"""SELECT {KEYS}, ROUND(AVG({HSV}), 6) AS h_mean, ROUND(AVG({SAT}), 6) AS s_mean, ROUND(AVG(mx), 6) AS v_mean FROM
     (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM placed01) GROUP BY ALL""")
 def _(spark, d):
-    return features.hsv_mean(placed01(spark, d)).select(*KEY, *r6("h_mean", "s_mean", "v_mean"))
+    return repeated(spark, d, features.hsv_mean(blocks01(spark, d))).select(*KEY, *r6("h_mean", "s_mean", "v_mean"))
 
 
 @query("FEA-05", f"SELECT {KEYS}, ROUND(AVG(SQRT(gx * gx + gy * gy)), 6) AS mag_mean, ROUND(stddev_pop(SQRT(gx * gx + gy * gy)), 6) AS mag_std FROM {GRADIENT} GROUP BY ALL")
@@ -79,11 +89,11 @@ def _(spark, d):
     c AS (SELECT {KEYS}, [rm * 0.5, gm * 0.5, bm * 0.5, rs * 0.5, gs * 0.5, bs * 0.5, h * 0.4, s * 0.4, v * 0.4]::DOUBLE[] AS vec FROM f)
     SELECT {KEYS}, CAST(i - 1 AS INT) AS dim, ROUND(vec[i] / (SQRT(list_dot_product(vec, vec)) + 1e-8), 6) AS v FROM c, unnest(range(1, 10)) u(i)""")
 def _(spark, d):
-    p = placed01(spark, d)
+    p = cut(blocks01(spark, d), "blocks")
     rgb = features.rgb_stats(p).select(*KEY, F.array("r_mean", "g_mean", "b_mean", "r_std", "g_std", "b_std").alias("rgb_stats"))
     hsv = features.hsv_mean(p).select(*KEY, F.array("h_mean", "s_mean", "v_mean").alias("hsv_mean"))
     fused = features.fuse_blocks(rgb.join(hsv, KEY), features.KNN_WEIGHTS, True)
-    return long(fused, "vec", *KEY)
+    return long(repeated(spark, d, fused), "vec", *KEY)
 
 
 STATS = "(SELECT i, AVG(vec[i]) AS m, greatest(stddev_pop(vec[i]), 1e-6) AS s FROM vecs, unnest(range(1, 65)) r(i) GROUP BY 1)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import polygons, spatial, spanlog, tiling
 from ..plans.scratch import new_path
 from ..sources import readers, stores
-from .data import (PS, SIZE, STRIDE, cells, dense, done_log, geoms, mask, part_catalog, placed, query, r6, rects, spans, table, tiles)
+from .data import (PS, SIZE, STRIDE, cells, dense, done_log, geoms, mask, part_catalog, query, r6, rects, spans, table, tiles)
 
 
 @query("SRC-01", "SELECT tile_id, y, x, r, g, b FROM cells")
@@ -167,8 +167,8 @@ def _(spark, d):
 
 
 def patch_store(spark, d):
-    return (placed(spark, d).groupBy("tile_id", "win_y", "win_x", "py", "px").agg(F.avg("r").alias("v"))
-            .withColumnRenamed("tile_id", "image_id"))
+    means = tiling.patch_means(cells(spark, d), tiles(spark, d), ["r"], SIZE, STRIDE, PS)
+    return means.select(F.col("tile_id").alias("image_id"), "win_y", "win_x", "py", "px", F.col("r").alias("v"))
 
 
 def stored(spark, d):

@@ -138,3 +138,32 @@ def test_context_clips_ground_truth(spark):
     assert ctx.count() == 6 and ctx.filter("gt").count() == 2 and ctx.filter("gt_eval").count() == 1
     row = workload(ctx, t, 2).first()
     assert (row["cells"], row["label_cells"], row["buffer_cells"], row["patch_rows"]) == (6, 2, 1, 1)
+
+
+@pytest.mark.parametrize("size, stride, ps", [(8, 4, 4), (10, 4, 2), (6, 8, 2), (7, 3, 2)])
+def test_summaries_of_blocks_repeated_equal_those_of_patches(spark, size, stride, ps):
+    """Same patches and means as over repeated cells, for tiles that patches do not fill, and with cells missing; no row is repeated before a sum."""
+    t = tiles(spark, (13, 10), (8, 8), (3, 1), (1, 9))
+    some = tiling.dense_cells(t).filter("(y * 7 + x * 3) % 5 <> 0").withColumn("v", F.expr("(y * 31 + x * 17 + tile_id) % 23"))
+    full = tiling.dense_cells(t).join(some, ["tile_id", "y", "x"], "left").fillna(0, ["v"])
+    own = ["tile_id", *tiling.WINDOW, *tiling.PATCH, "h_eff", "w_eff"]
+    want = sorted(map(tuple, tiling.patches(full, t, size, stride, ps).groupBy(*own).agg(F.avg("v")).collect()))
+    assert sorted(map(tuple, tiling.patch_means(some, t, ["v"], size, stride, ps).select(*own, "v").collect())) == want and want
+    if stride % ps:
+        with pytest.raises(ValueError):
+            tiling.repeat_blocks(full, t, size, stride, ps)
+    else:
+        summed = tiling.blocks(full, ps).groupBy("tile_id", *tiling.PATCH).agg(F.avg("v").alias("v"))
+        assert sorted(map(tuple, tiling.repeat_blocks(summed, t, size, stride, ps).select(*own, "v").collect())) == want
+
+
+def test_groups_within_a_large_cap_are_not_ordered(spark, monkeypatch):
+    """Only groups above the cap are ranked; the others keep every row."""
+    from gridloom.operators import banks
+
+    df = spark.range(40).select("id", F.when(F.col("id") < 30, "a").when(F.col("id") < 38, "b").alias("g"))
+    monkeypatch.setattr(banks, "RANK_LIMIT", 5)
+    got = {r["g"]: r["count"] for r in banks.cap_sample(df, 9, 42, ["g"], ["id"]).groupBy("g").count().collect()}
+    assert got == {"a": 9, "b": 8, None: 2}
+    monkeypatch.setattr(banks, "group_ordinal", None)  # without a group above the cap nothing is ranked
+    assert banks.cap_sample(df, 30, 42, ["g"], ["id"]).count() == 40
