@@ -25,20 +25,15 @@ def _(spark, d):
 
 @query("TIL-03", "SELECT tile_id, win_y, win_x, py, px, CAST(SUM(r) AS BIGINT) AS sum_r FROM placed GROUP BY 1, 2, 3, 4, 5")
 def _(spark, d):
-    return placed(spark, d).groupBy("tile_id", "win_y", "win_x", "py", "px").agg(F.sum("r").alias("sum_r"))
-
-
-def labelled(spark, d):
-    m = mask(spark, d, "label").withColumn("label", F.lit(1))
-    dense_label = dense(spark, d).select("tile_id", "y", "x").join(m, ["tile_id", "y", "x"], "left").fillna(0, ["label"])
-    return tiling.patches(dense_label, tiles(spark, d), SIZE, STRIDE, PS)
+    out = tiling.patch_sums(cells(spark, d), tiles(spark, d), ["r"], SIZE, STRIDE, PS)
+    return out.select("tile_id", "win_y", "win_x", "py", "px", F.col("r").alias("sum_r"))
 
 
 @query("TIL-04", """SELECT p.tile_id, win_y, win_x, py, px, ROUND(COUNT(m.y) / CAST(16 AS DOUBLE), 6) AS share,
     CASE WHEN COUNT(m.y) / CAST(16 AS DOUBLE) >= 0.1 THEN 'pos' WHEN COUNT(m.y) = 0 THEN 'neg' END AS kind
     FROM placed p LEFT JOIN label_mask m ON m.tile_id = p.tile_id AND m.y = p.y AND m.x = p.x GROUP BY 1, 2, 3, 4, 5""")
 def _(spark, d):
-    out = tiling.patch_labels(labelled(spark, d), "label", 0.1)
+    out = tiling.mask_patch_labels(mask(spark, d, "label"), tiles(spark, d), SIZE, STRIDE, PS, 0.1)
     return out.select("tile_id", "win_y", "win_x", "py", "px", *r6("share"), "kind")
 
 
