@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from gridloom.operators import tiling
-from helpers import blobs, dense_df, mask_df, tiles
+from gridloom.operators import focal, tiling
+from helpers import blobs, dense_df, grid_of, mask_df, tiles
 
 
 @pytest.mark.parametrize(("stride", "ps"), [(4, 4), (4, 2), (3, 2)])
@@ -30,3 +30,19 @@ def test_patch_sums_and_labels_of_sparse_cells(spark, stride, ps):
         dense = dense_df(spark, {"label": g.astype(int)})
         one = {tuple(r) for r in tiling.patch_labels(tiling.patches(dense, t, 8, stride, ps), thr=0.3).collect()}
         assert {tuple(r) for r in tiling.mask_patch_labels(mask, t.filter("tile_id = 0"), 8, stride, ps, 0.3).collect()} == one
+
+
+def test_median_counts_rows_of_several_tiles(spark):
+    grids = [blobs(1, 9, 7), blobs(2, 1, 5), np.ones((2, 1), bool), blobs(4, 30, 40)]
+    out = focal.median3(mask_df(spark, *grids), tiles(spark, *[g.shape for g in grids])).cache()
+    for k, g in enumerate(grids):
+        pad = np.pad(g.astype(int), 1, mode="edge")
+        near = sum(pad[a:a + g.shape[0], b:b + g.shape[1]] for a in range(3) for b in range(3))
+        assert (grid_of(out, g.shape, k) == (near >= 5)).all()
+    assert out.groupBy("tile_id", "y", "x").count().filter("count > 1").isEmpty()
+
+
+def test_median_sends_rows_of_columns(spark):
+    """Before, each cell was repeated nine times and counted by cell."""
+    plan = focal.median3(mask_df(spark, blobs(1, 9, 7)), tiles(spark, (9, 7)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(x" in plan
