@@ -9,7 +9,7 @@ from ..operators import features
 from ..operators.tiling import blocks, repeat_blocks, windows
 from ..plans.scratch import cut
 from ..sources import stores
-from .data import PS, SIZE, STRIDE, dense, placed01, query, r6, tiles, vecs
+from .data import PS, SIZE, STRIDE, cells, dense, placed01, query, r6, tiles, vecs
 from .masks import GRADIENT, LBP
 from .scalars import HSV, SAT
 from .sources import stored
@@ -130,13 +130,5 @@ def _(spark, d):
         n, h, w, c = images.shape
         return images.reshape(n, h // ps, ps, w // ps, ps, c).mean(axis=(2, 4), dtype="float64")
 
-    out = extractors.with_extractor(extractors.window_images(placed_full(spark, d)), mean_colour, PS)
+    out = extractors.with_extractor(extractors.tile_images(cells(spark, d), tiles(spark, d), SIZE, STRIDE), mean_colour, PS)
     return out.select(*KEY, F.round(F.col("vec")[0].cast("double"), 3).alias("r_mean"), F.round(F.col("vec")[2].cast("double"), 3).alias("b_mean"))
-
-
-def placed_full(spark, d):
-    """Window cells before cropping, as an extractor sees them."""
-    from ..operators import tiling
-    from .data import dense
-
-    return tiling.with_window_size(tiling.assign_windows(dense(spark, d), SIZE, STRIDE), tiles(spark, d), SIZE)

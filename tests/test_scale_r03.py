@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gridloom.functions import extractors
 from gridloom.operators import focal, tiling
 from helpers import blobs, dense_df, grid_of, mask_df, tiles
 
@@ -46,3 +48,18 @@ def test_median_sends_rows_of_columns(spark):
     """Before, each cell was repeated nine times and counted by cell."""
     plan = focal.median3(mask_df(spark, blobs(1, 9, 7)), tiles(spark, (9, 7)))._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(x" in plan
+
+
+def test_tile_images_equal_window_images(spark):
+    rng = np.random.default_rng(0)
+    rgb = rng.integers(0, 250, (9, 11, 3))
+    rgb[rng.random((9, 11)) < 0.6] = 0
+    rgb[4] = 0
+    t = tiles(spark, (9, 11), (3, 2))
+    dense = dense_df(spark, {c: rgb[..., i] for i, c in enumerate("rgb")})
+    black = tiling.dense_cells(t.filter("tile_id = 1")).select("*", *[F.lit(0).alias(c) for c in "rgb"])
+    placed = tiling.with_window_size(tiling.assign_windows(dense.unionByName(black), 8, 4), t, 8)
+    cols = ["tile_id", "win_y", "win_x", "h_eff", "w_eff", "pixels"]
+    want = sorted(map(tuple, extractors.window_images(placed).select(cols).collect()))
+    assert sorted(map(tuple, extractors.tile_images(dense.filter("r + g + b > 0"), t, 8, 4).select(cols).collect())) == want
+    assert len(want) == 10
