@@ -63,13 +63,16 @@ EVERY = 8
 def _(spark, d):
     """The log in file order, cut into uneven batches; each tile ends with its last span."""
     log = cut(data.spans(spark, d, "event_id").withColumnRenamed("event_id", "position"), "log")
-    last = log.filter("tile is not null").groupBy("tile").agg(F.max("position").alias("_p"))
-    log = log.join(last, "tile", "left").withColumn("final", F.coalesce(F.col("position") == F.col("_p"), F.lit(False))).drop("_p")
+    named = log.filter("tile is not null")  # rows without a tile would meet in one task
+    last = named.groupBy("tile").agg(F.max("position").alias("_p"))
+    final = F.coalesce(F.col("position") == F.col("_p"), F.lit(False))
+    log = named.join(last, "tile", "left").withColumn("final", final).drop("_p").unionByName(log.filter("tile is null").withColumn("final", F.lit(False)))
+    log = cut(log, "log-final")
     top, path = log.agg(F.max("position")).first()[0] or 0, new_path(spark, "log-in")
-    for low, high in ((0, 0.2), (0.2, 0.9), (0.9, 2)):
-        log.filter((F.col("position") >= top * low) & (F.col("position") < top * high)).coalesce(1).write.mode("append").parquet(path)
-    src, out = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path), new_path(spark, "summaries")
-    live.stream_tile_summaries(src, EVERY, out, new_path(spark, "ck")).awaitTermination()
+    out, ck = new_path(spark, "summaries"), new_path(spark, "ck")
+    for low, high in ((0, 0.2), (0.2, 0.9), (0.9, 2)):  # a run takes all files that have come, and goes on where the last one ended
+        log.filter((F.col("position") >= top * low) & (F.col("position") < top * high)).write.mode("append").parquet(path)
+        live.stream_tile_summaries(spark.readStream.schema(log.schema).parquet(path), EVERY, out, ck).awaitTermination()
     return live.tile_summaries(spark, out).select("tiles", *live.SPAN, "count", *r6("total_s"), "min_s", "max_s")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -82,9 +82,13 @@ def stream_tile_summaries(log: DataFrame, every: int, out: str, checkpoint: str,
         first, last = base // every + 1, now // every
         if first <= last:
             parts = spark.read.option("basePath", f"{out}/parts").parquet(f"{out}/parts").filter((F.col("batch") <= batch_id) & (F.col("summary") <= last))
-            at = F.explode(F.sequence(F.greatest(F.col("summary"), F.lit(first)), F.lit(last).cast("bigint"))).alias("_m")
-            told = parts.select(*SPAN, "count", "total_s", "min_s", "max_s", at).groupBy((F.col("_m") * every).alias("tiles"), *SPAN).agg(
-                F.sum("count").alias("count"), F.sum("total_s").alias("total_s"), F.min("min_s").alias("min_s"), F.max("max_s").alias("max_s"))
+            sums = {"count": F.sum, "total_s": F.sum, "min_s": F.min, "max_s": F.max}
+            held_by = parts.groupBy(*SPAN, F.greatest("summary", F.lit(first)).alias("summary")).agg(*[f(c).alias(c) for c, f in sums.items()])
+            # running sums of a span, each repeated up to the span's next row: as many rows as the summaries have
+            line = Window.partitionBy(*SPAN).orderBy("summary")
+            running = held_by.select(*SPAN, "summary", *[f(c).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c, f in sums.items()],
+                                     (F.coalesce(F.lead("summary").over(line), F.lit(last + 1)) - 1).alias("_to"))
+            told = running.withColumn("_m", F.explode(F.sequence("summary", "_to"))).select((F.col("_m") * every).alias("tiles"), *SPAN, *sums)
             told.write.mode("overwrite").parquet(f"{out}/summaries/batch={batch_id}")
         held.drop()
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import extractors
 from gridloom.operators import focal, tiling
+from gridloom.streaming import live
 from helpers import blobs, dense_df, grid_of, mask_df, tiles
 
 
@@ -63,3 +64,24 @@ def test_tile_images_equal_window_images(spark):
     want = sorted(map(tuple, extractors.window_images(placed).select(cols).collect()))
     assert sorted(map(tuple, extractors.tile_images(dense.filter("r + g + b > 0"), t, 8, 4).select(cols).collect())) == want
     assert len(want) == 10
+
+
+def test_summaries_of_spans_that_pause_and_runs_that_go_on(spark, tmp_path, monkeypatch):
+    """Before, the query dealt each batch through one task, and each sum was repeated for every later summary before it was added up."""
+    rows = [(i, "a", "s" if i % 5 == 0 and i < 40 else "t", None, float(i), i % 3 == 2) for i in range(90)]
+    schema = "position bigint, phase string, stage string, substage string, duration_s double, final boolean"
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for low, high in ((0, 31), (31, 32), (32, 90)):
+        spark.createDataFrame(rows[low:high], schema).repartition(3).write.mode("append").parquet(src)
+        live.stream_tile_summaries(spark.readStream.schema(schema).parquet(src), 4, out, ck).awaitTermination()
+    got = sorted((r["tiles"], r["stage"], r["count"], r["total_s"], r["min_s"], r["max_s"]) for r in live.tile_summaries(spark, out).collect())
+    want = []
+    for tiles_ in range(4, 31, 4):
+        for stage in "st":
+            d = [r[4] for r in rows[:3 * tiles_] if r[2] == stage]
+            want.append((tiles_, stage, len(d), sum(d), min(d), max(d)))
+    assert got == want
+    from gridloom.queries import QUERIES
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", None)
+    assert QUERIES["STR-03"](spark, "/root/testdata/sf0.001").count() > 0
