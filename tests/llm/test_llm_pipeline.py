@@ -71,3 +71,16 @@ def test_toxic_stage_and_query_share_one_limit(spark, sf, monkeypatch):
     docs = spark.createDataFrame([(1, "one sentence", "en", "s", 12), (2, "", "en", "s", 0)], spark.read.parquet(f"{sf}/documents.parquet").schema)
     assert [r["doc_id"] for r in corpus_pipeline.toxic(spark, docs, sf).collect()] == [2]
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in entry.queries()["op4_noisy_or_toxicity"](spark, sf).collect())
+
+
+def test_few_removed_ids_go_to_the_texts(spark, sf):
+    """Before, the planner took the size of all groups for that of the removed ids, so from some size on every text went through a shuffle."""
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('w', id % 29990, ' b c d e f') AS text", "'en' AS lang", "'s' AS source", "1 AS n_chars").select(spark.read.parquet(f"{sf}/documents.parquet").columns)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        out = corpus_pipeline.near_duplicates(spark, docs, sf)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r[0] for r in out.select("doc_id").collect()} == set(range(29_990))
