@@ -129,8 +129,7 @@ def _(spark, d):
     FROM (SELECT tile_id, root, COUNT(*) AS n FROM rooted4 WHERE m = 0 GROUP BY 1, 2)""")
 def _(spark, d):
     v = polygons.mask_polygons(mask(spark, d, "label"), tiles(spark, d))
-    home = v.select("geom_id", "tile_id").distinct()
-    return polygons.polygon_areas(v).join(home, "geom_id").select("geom_id", "tile_id", "area")
+    return polygons.polygon_areas(v, ["tile_id"]).select("geom_id", "tile_id", "area")
 
 
 @query("SNK-05", """SELECT CAST(dense_rank() OVER (ORDER BY m, tile_id, root) - 1 AS BIGINT) AS geom_id, m, tile_id, CAST(n AS DOUBLE) AS area
@@ -142,8 +141,7 @@ def _(spark, d):
         masks = part if masks is None else masks.unionByName(part)
     t = tiles(spark, d).withColumn("m", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     v = polygons.mask_polygons(masks, t, ["m", "tile_id"])
-    home = v.select("geom_id", "m", "tile_id").distinct()
-    return polygons.polygon_areas(v).join(home, "geom_id").select("geom_id", "m", "tile_id", "area")
+    return polygons.polygon_areas(v, ["m", "tile_id"]).select("geom_id", "m", "tile_id", "area")
 
 
 def appended(spark, d):

@@ -223,3 +223,15 @@ def test_geometry_over_many_tiles_and_bands(spark):
     assert touched <= met and ("a", 12) in met and ("a", 11) in met and {k for k in met if k[0] == "b"} - touched <= {("b", 0), ("b", 1), ("b", 2), ("b", 3), ("b", 4), *[("b", i) for i in range(100)]}
     clipped = {(r["layer"], r["tile_id"]): r["a"] for r in spatial.clip_to_tiles(g, t.filter("width = 10"), 7.0).select("layer", "tile_id", spatial.ring_area_sum(F.col("rings")).alias("a")).collect()}
     assert clipped["a", 2] == 10 * 9.0 - 9 * 0 and sum(v for (k, _), v in clipped.items() if k == "b") > 0
+
+
+@pytest.mark.parametrize("block", [3, 4, 16])
+def test_rings_do_not_depend_on_blocks(spark, block):
+    """Before, sides of all cells were ranked one by one over the network, whatever the block."""
+    g = blobs(5, 20, 18, .55)
+    g[2:19, 1] = g[18, 1:17] = g[2:19, 16] = True
+    mask, t = mask_df(spark, g, np.ones((7, 9), bool)), tiles(spark, (20, 18), (7, 9))
+    cols = ["geom_id", "tile_id", "ring", "is_outer", "seq", "wx", "wy"]
+    one, many = ({tuple(r) for r in polygons.mask_polygons(mask, t, block=b).select(cols).collect()} for b in (256, block))
+    assert one == many and len(one) > 50
+    assert sorted(r[4] for r in one if r[1] == 1) == [0, 9, 16, 25]  # the full tile's corners, counted along its sides
