@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import dataclasses
 import math
 import random
 import zlib
@@ -63,6 +64,39 @@ def test_katz_equals_the_definition_and_sums_to_one(spark, sf):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_katz_takes_nothing_from_counts_above_five(spark, sf):
+    """Before, counts above five lost 0.5, so that contexts whose pairs are all frequent had mass to back off with."""
+    odd = [(10**7 + i, "zzqx yyqx " * 8) for i in range(10)] + [(10**7 + 20, "zzqx zzqx the"), (10**7 + 21, "zzqx yyqx of")]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    held = F.col("doc_id").isin(10**7 + 20, 10**7 + 21)
+    got = {r["doc_id"]: r["score"] for r in katz.score(docs, held, dataclasses.replace(katz.KATZ, slice_bytes=50_000)).collect()}
+    texts = {r[0]: [*(r[1] or "").encode().lower().split(), b""] for r in docs.collect()}
+    one, two = collections.Counter(), collections.Counter()
+    for i, w in texts.items():
+        if i < 10**7 + 20:
+            one.update(w)
+            two.update(zip([None, *w[:-1]], w, strict=True))
+    n = sum(one.values())
+    d1, d2 = ((lambda c, d=_discount(x): d(c) if c <= 5 else c) for x in (one, two))
+    before = {**one, None: len(texts) - 2}
+    after = collections.defaultdict(list)
+    for (h, w), c in two.items():
+        after[h].append((w, c))
+    unknown = sum(c - d1(c) for c in one.values()) / n
+    p1 = lambda w: d1(one[w]) / n if w in one else unknown
+    total, alpha = {}, {}
+    for h, x in after.items():
+        freed = sum(c - d2(c) for _, c in x)
+        total[h], freed = (before[h], freed) if freed else (before[h] + 1, 1)
+        alpha[h] = freed / total[h] / (1 - sum(p1(w) for w, _ in x))
+    assert total[b"zzqx"] == one[b"zzqx"] + 1 and total[b"the"] == one[b"the"]
+    p = lambda w, h: d2(two[h, w]) / total[h] if (h, w) in two else alpha.get(h, 1.0) * p1(w)
+    for h in [None, b"the", b"zzqx", b"yyqx"]:
+        assert sum(p(w, h) for w in one) + alpha[h] * unknown == pytest.approx(1, abs=1e-9)
+    for i, w in texts.items():
+        assert got[i] == pytest.approx(sum(math.log10(p(x, h)) for h, x in zip([None, *w[:-1]], w, strict=True)), rel=1e-9)
+
+
 @pytest.mark.parametrize("s", [ngram_join.Settings(), ngram_join.Settings(crowd=3, block=4, hot=2, parts=7), ngram_join.Settings(percent=60, crowd=2, block=5)])
 def test_ngram_join_equals_all_pairs(spark, s):
     rows = corpus(n=40)
