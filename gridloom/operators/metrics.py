@@ -192,7 +192,9 @@ def stage_order(stage: Column) -> Column:
 def stage_summary(df: DataFrame) -> DataFrame:
     """Weighted means and exact medians per stage, in report order."""
     from ..plans.ordering import MEDIAN, exact_quantiles
+    from ..plans.scratch import cut
 
+    df = cut(df.select("stage", "weight", *RATIOS), "stages")  # a row for each tile and stage, read three times; what it comes from is not counted again
     means = df.groupBy("stage").agg(
         *[weighted_mean(F.col(c), F.col("weight")).alias(f"{c}_wmean") for c in ("iou", "f1", "precision", "recall")])
     for c in ("iou", "f1"):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import extractors
-from gridloom.operators import focal, tiling
+from gridloom.operators import focal, metrics, tiling
 from gridloom.streaming import live
 from helpers import blobs, dense_df, grid_of, mask_df, tiles
 
@@ -85,3 +85,12 @@ def test_summaries_of_spans_that_pause_and_runs_that_go_on(spark, tmp_path, monk
 
     monkeypatch.setattr(type(spark.range(1)), "coalesce", None)
     assert QUERIES["STR-03"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_stage_summary_reads_its_source_once(spark, tmp_path):
+    """Before, the means and each of both medians counted all cells anew."""
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([("knn_raw", 1.0, *[i / 4] * 4) for i in range(5)], "stage string, weight double, precision double, recall double, iou double, f1 double").write.parquet(path)
+    out = metrics.stage_summary(spark.read.parquet(path))
+    assert not any(path in f for f in out.inputFiles())
+    assert (out.first()["iou_wmean"], out.first()["f1_median"]) == (0.5, 0.5)
