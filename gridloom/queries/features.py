@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import extractors, vectors
-from ..operators import features
+from ..operators import features, texture
 from ..operators.tiling import blocks, repeat_blocks, windows
 from ..plans.scratch import cut
 from ..sources import stores
-from .data import PS, SIZE, STRIDE, cells, dense, placed01, query, r6, tiles, vecs
+from .data import PS, SIZE, STRIDE, cells, cells01, dense, placed01, query, r6, tiles, vecs
 from .masks import GRADIENT, LBP
 from .scalars import HSV, SAT
 from .sources import stored
@@ -72,7 +72,7 @@ def _(spark, d):
     SELECT p.tile_id, p.win_y, p.win_x, p.py, p.px, CAST(k AS INT) AS dim, ROUND(COALESCE(w, 0) / (total + 1e-8), 6) AS v FROM p CROSS JOIN unnest(range(8)) r(k)
     LEFT JOIN h ON h.tile_id = p.tile_id AND h.win_y = p.win_y AND h.win_x = p.win_x AND h.py = p.py AND h.px = p.px AND bin = k""")
 def _(spark, d):
-    return long(features.orient_hist(features.with_texture(placed01(spark, d)), 8), "hist", *KEY)
+    return long(texture.patch_orientations(cells01(spark, d), tiles(spark, d), SIZE, STRIDE, PS, 8), "hist", *KEY)
 
 
 @query("FEA-07", f"""WITH h AS (SELECT {KEYS}, code * 16 // 256 AS bin, COUNT(*) AS w FROM {LBP} GROUP BY ALL), p AS (SELECT DISTINCT {KEYS} FROM placed),
