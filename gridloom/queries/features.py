@@ -63,7 +63,7 @@ def _(spark, d):
 
 @query("FEA-05", f"SELECT {KEYS}, ROUND(AVG(SQRT(gx * gx + gy * gy)), 6) AS mag_mean, ROUND(stddev_pop(SQRT(gx * gx + gy * gy)), 6) AS mag_std FROM {GRADIENT} GROUP BY ALL")
 def _(spark, d):
-    return features.grad_stats(features.with_texture(placed01(spark, d))).select(*KEY, *r6("mag_mean", "mag_std"))
+    return texture.patch_gradients(cells01(spark, d), tiles(spark, d), SIZE, STRIDE, PS).select(*KEY, *r6("mag_mean", "mag_std"))
 
 
 @query("FEA-06", f"""WITH m AS (SELECT {KEYS}, SQRT(gx * gx + gy * gy) AS mag, CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + 2 * pi() ELSE atan2(gy, gx) END AS ori FROM {GRADIENT}),
