@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import color, scores
-from ..operators import features
+from ..operators import features, texture
 from ..operators.focal import dilate
-from .data import context, dense, mask, part_catalog, placed, query, r6, table, tiles
-from .masks import GRADIENT, placed01
+from .data import PS, SIZE, STRIDE, cells01, context, dense, mask, part_catalog, placed, query, r6, table, tiles
+from .masks import GRADIENT
 
 CELL = ["tile_id", "y", "x"]
 
@@ -38,7 +38,7 @@ def _(spark, d):
 @query("SCL-04", f"""SELECT tile_id, win_y, win_x, y, x, ROUND(SQRT(gx * gx + gy * gy), 6) AS mag,
     ROUND(CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + 2 * pi() ELSE atan2(gy, gx) END, 6) AS ori FROM {GRADIENT}""")
 def _(spark, d):
-    return features.with_texture(placed01(spark, d)).select("tile_id", "win_y", "win_x", "y", "x", *r6("mag", "ori"))
+    return texture.window_texture(cells01(spark, d), tiles(spark, d), SIZE, STRIDE, PS).select("tile_id", "win_y", "win_x", "y", "x", *r6("mag", "ori"))
 
 
 @query("SCL-05", """SELECT tile_id, y, x, ROUND(CASE WHEN hi = lo THEN 0 ELSE (score - lo) / (hi - lo) END, 6) AS heat,

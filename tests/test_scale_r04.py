@@ -49,7 +49,7 @@ def test_patches_across_windows_are_refused(scene):
         texture.patch_gradients(*scene, 8, 3, 2)
 
 
-@pytest.mark.parametrize("name", ["FEA-05", "FEA-06"])
+@pytest.mark.parametrize("name", ["FEA-05", "FEA-06", "SCL-04"])
 def test_no_window_copies_are_sorted(spark, sf, name):
     """Before, every cell was copied to its windows, and the copies were shuffled and sorted twice for their neighbours."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
