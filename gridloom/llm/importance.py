@@ -1,11 +1,11 @@
 """Quality by importance resampling with hashed n-grams.
 
-Two bags of hashed word unigrams and bigrams are counted: the target (labelled good documents, a bounded sample) and the raw text (all documents).
+Two bags of hashed word unigrams and bigrams are counted: the target (all labelled good documents) and the raw text (all documents).
 A document's log importance weight is the sum over its n-grams of log target share - log raw share. Adding independent Gumbel noise to the log
 weights and taking the k largest draws k documents without replacement in proportion to their weights.
 
 The noise is a function of the seed and the document id, so a run can be repeated. `k` is given, or is the number of documents at or above the key that
-separates labelled good and bad documents best; the k-th largest key itself is found by counting, never by sorting all rows in one task.
+separates all labelled good and bad documents best, from running totals over key ranges; the k-th largest key itself is found by counting, never by sorting all rows in one task.
 
 Defined cases: a null or empty text has weight 0; rows tied with the k-th key are all kept, so repeated rows share a fate; without labels, or with labels
 of one class only, every document is kept; an empty table gives an empty result.
@@ -21,18 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordering import running_total
 from ..plans.scratch import cut
 from .common import U64, batch_of, give_back, looked_up, mix, slices, texts, with_columns, word_hashes
 
 
 @dataclass(frozen=True)
 class Settings:
-    """`bits`: log2 of the n-gram buckets; `target_sample`, `label_sample`: at most so many labelled rows for the target and for the cut."""
+    """`bits`: log2 of the n-gram buckets; `ids_at_once`: labelled ids that go to the texts in one pass, more of them in more passes."""
 
     bits: int = 14
     smoothing: float = 1.0
-    target_sample: int = 20_000
-    label_sample: int = 20_000
+    ids_at_once: int = 500_000
     seed: int = 7
 
 
@@ -50,10 +50,7 @@ def _buckets(bodies: list[bytes], memo, bits: int) -> tuple[np.ndarray, np.ndarr
 
 def log_ratios(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
     """Log of target share over raw share for each bucket; 2^bits numbers."""
-    good = (labels.filter(F.col(label) == 1).select(F.col(key).alias("__k")).distinct().orderBy(F.xxhash64("__k"), "__k").limit(s.target_sample)
-            .withColumn("__good", F.lit(True)))
-    rows = (docs.select(F.col(key).alias("__k"), F.col(text).alias("text")).join(F.broadcast(good), "__k", "left")
-            .select(F.coalesce("__good", F.lit(False)).alias("good"), "text"))
+    good = cut(labels.filter(F.col(label) == 1).select(F.col(key).alias("__k")).distinct(), "good").withColumn("__good", F.lit(True))
     bits = s.bits
 
     def count(batches):
@@ -68,10 +65,17 @@ def log_ratios(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), key
         yield batch_of(schema, np.arange(1 << bits), total[0], total[1])
         give_back()
 
-    counted = rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    for r in counted.collect():  # 2^bits rows
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+    passes = max(1, -(-good.count() // s.ids_at_once))
+    for k in range(passes):
+        # ids go to the texts, so that no text is shuffled; the first pass counts all texts, the others those of their own ids
+        some = F.broadcast(good.filter(F.pmod(F.xxhash64("__k"), F.lit(passes)) == k))
+        rows = (docs.select(F.col(key).alias("__k"), F.col(text).alias("text")).join(some, "__k", "inner" if k else "left")
+                .select(F.coalesce("__good", F.lit(False)).alias("good"), "text"))
+        counted = rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        for r in counted.collect():  # 2^bits rows
+            raw[r["bucket"]] += 0 if k else r["raw"]
+            target[r["bucket"]] += r["target"]
     if not target.sum():
         return np.zeros(1 << bits)
     share = [(c + s.smoothing) / (c.sum() + s.smoothing * len(c)) for c in (target, raw)]
@@ -93,19 +97,19 @@ def weigh(docs: DataFrame, ratios: np.ndarray, s: Settings = Settings(), key: st
 
 
 def best_cut(weighed: DataFrame, labels: DataFrame, s: Settings = Settings(), key: str = "doc_id", label: str = "quality") -> float:
-    """The key at which fewest labelled documents fall on the wrong side, on at most `label_sample` labelled rows."""
-    chosen = (labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__k")).agg(F.max(label).alias("__y"))
-              .orderBy(F.xxhash64("__k"), "__k").limit(s.label_sample))
-    rows = weighed.select(F.col(key).alias("__k"), "gumbel_key").join(F.broadcast(chosen), "__k").select("gumbel_key", "__y").collect()  # label_sample rows
-    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    if not len(y) or y.min() == y.max():
+    """The key at which fewest of all labelled documents fall on the wrong side: between the last key below the cut and the next."""
+    chosen = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__k")).agg(F.max(label).alias("__y"))
+    good = F.col("__y").cast("bigint")
+    # good documents less bad ones, up to each key: what a cut after it has wrong beyond the bad documents
+    each = (weighed.select(F.col(key).alias("__k"), "gumbel_key").join(chosen, "__k").groupBy("gumbel_key")
+            .agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad")))
+    below = running_total(each, [F.col("gumbel_key")], "more", F.col("good") - F.col("bad"))
+    found = below.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.min(F.struct("more", "gumbel_key")).alias("at")).first()
+    if not found["good"] or not found["bad"] or found["at"]["more"] >= 0:
         return -np.inf
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(y == 1)]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
-    wrong[1:-1][x[1:] == x[:-1]] = len(y) + 1
-    i = int(np.flatnonzero(wrong == wrong.min())[0])
-    return -np.inf if i == 0 else np.inf if i == len(x) else float((x[i - 1] + x[i]) / 2)
+    last = found["at"]["gumbel_key"]
+    after = below.filter(F.col("gumbel_key") > F.lit(last)).agg(F.min("gumbel_key")).first()[0]
+    return np.inf if after is None else (last + after) / 2
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:

@@ -200,6 +200,41 @@ def test_importance_draws_exactly_k(spark):
     assert least == keys[36]
 
 
+@pytest.mark.parametrize("at_once", [500_000, 9_000])
+def test_importance_reads_all_labelled_documents(spark, at_once):
+    """Before, the target and the cut were taken from at most 20,000 labelled documents."""
+    n = 24_000
+    rows = [(i, f"w{i % 977} w{i % 31} end" if i % 5 else None) for i in range(n)]
+    docs = frame(spark, [*rows, (None, "w1 w2"), *[(n + i, "raw only") for i in range(50)]])
+    labels = spark.createDataFrame([(i, 1) for i, _ in rows] + [(3, 1), (None, 1), (n, 0), (10**9, 1)], "doc_id long, quality int")
+    s = importance.Settings(bits=10, ids_at_once=at_once)
+    memo = importance.word_hashes()
+    raw, target = (np.bincount(importance._buckets([(t or "").encode() for _, t in x], memo, s.bits)[0], minlength=1 << s.bits) for x in ([*rows, (None, "w1 w2"), *[(0, "raw only")] * 50], rows))
+    want = [np.log((c + s.smoothing) / (c.sum() + s.smoothing * len(c))) for c in (target, raw)]
+    got = importance.log_ratios(docs, labels, s)
+    assert np.allclose(got, want[0] - want[1], atol=1e-12)
+
+
+@pytest.mark.parametrize("case", ["mixed", "ties", "apart", "turned", "good only"])
+def test_importance_cuts_where_fewest_of_all_labels_are_wrong(spark, case):
+    rng = np.random.default_rng(2)
+    n = 23_000 if case == "mixed" else 300
+    y = np.ones(n, int) if case == "good only" else rng.integers(0, 2, n)
+    x = rng.normal(size=n) + {"apart": 50, "turned": -50}.get(case, 1) * y
+    if case == "ties":
+        x = x.round(1)
+    weighed = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(n, 0.0), (None, 9.0)], "doc_id long, gumbel_key double")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)] + [(10**9, 0), (None, 1), (n, None)], "doc_id long, quality int")
+    keys = np.unique(x)
+    wrong = [int((y == 0).sum())] + [int(((x <= v) & (y == 1)).sum() + ((x > v) & (y == 0)).sum()) for v in (keys if n < 1000 else [])]
+    got = importance.best_cut(weighed, labels)
+    if case == "mixed":
+        order = np.argsort(x)
+        wrong = np.concatenate([[0], np.cumsum(y[order])]) + (y == 0).sum() - np.concatenate([[0], np.cumsum(1 - y[order])])
+    i = int(np.argmin(wrong))
+    assert got == (-math.inf if i == 0 or y.all() else math.inf if i == len(keys) else (keys[i - 1] + keys[i]) / 2)
+
+
 @pytest.mark.parametrize("k", [0, 1, 5, 6, 7, 50])
 def test_kth_largest_with_ties(spark, k):
     values = [1.0, 1.0, 1.0, 2.0, 2.0, -7.5, 1e9]
