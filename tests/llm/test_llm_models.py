@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from fixtures import SCHEMA, corpus, frame
 from fixtures import components as _components
@@ -98,6 +99,27 @@ def test_katz_takes_nothing_from_counts_above_five(spark, sf):
         assert got[i] == pytest.approx(sum(math.log10(p(x, h)) for h, x in zip([None, *w[:-1]], w, strict=True)), rel=1e-9)
 
 
+def test_katz_counts_beyond_32_bits(spark):
+    """Before, counts were cut at 2^32 - 1, and pair counts from 2^31 on made every chunk the owner, so that contexts summed them once for each."""
+    docs = frame(spark, [(1, "ab cd ab cd"), (2, "cd ab")]).select("doc_id", "text").withColumn("held", F.lit(False)).coalesce(1)
+    many, dealt = 3 * 10**9, katz._deal(docs, 1, katz.KATZ).toPandas()
+    for c in ("b", "d"):  # as if this chunk had each word and pair so often, and another chunk too
+        dealt[c] = [katz._pack(np.full(len(katz._unpack(x, "<u4")), many, "<u4")) if part >= 0 else x for part, x in zip(dealt["part"], dealt[c], strict=True)]
+    own, keys = dealt[dealt["part"] < 0], dealt[dealt["part"] >= 0]
+    counted = katz._count(5)(pd.concat([keys, keys.assign(chunk=keys["chunk"] + 1)], ignore_index=True))
+    words, pairs = 3, 6
+    totals = katz.Totals(2 * many * words, words, 2 * many, katz.Discount((0,) * 6, 0.0), katz.Discount((0,) * 6, 0.0), 0.0)
+    seen = []
+    for chunk, rest in counted[counted["chunk"] >= 0].groupby("chunk"):
+        asked = katz._back_off(totals, 1)(pd.concat([own.assign(chunk=chunk), rest], ignore_index=True))
+        at = asked[asked["part"] >= 0].iloc[0]
+        assert set(katz._unpack(at["d"], "<u8").tolist()) == {2 * many}
+        seen.append(katz._unpack(at["c"], "<f8").sum())
+    # start ab, start cd, ab cd, cd ab, and the ends: each pair's word once, by one chunk
+    p = 2 * many / (2 * many * words + 1)
+    assert sorted(seen) == pytest.approx([0, pairs * p])
+
+
 @pytest.mark.parametrize("s", [ngram_join.Settings(), ngram_join.Settings(crowd=3, block=4, hot=2, parts=7), ngram_join.Settings(percent=60, crowd=2, block=5)])
 def test_ngram_join_equals_all_pairs(spark, s):
     rows = corpus(n=40)
